@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .quality import quality_rules
+from .simhash import near_duplicates
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +20,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+QUERIES = {"op5_simhash": op5_simhash, "op10_quality_rules": op10_quality_rules}
 
 ORACLES: dict[str, str] = {}
