@@ -11,6 +11,7 @@ from .packing import pack
 from .pii import KINDS, counted, listed, personal_data
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .toxicity import third, toxicity
 
 
 #: Where the installed package of public tokenizer files keeps them; nothing is copied.
@@ -30,6 +31,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the third of ids that is held out are never read by the fit."""
+    labels = table(spark, sf_dir, "labels").where(third("doc_id") != 1)
+    scored = toxicity(table(spark, sf_dir, "documents"), labels, carry=["doc_id"])
+    held_out = F.coalesce(third("doc_id") == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "offending")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -50,6 +59,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op2_packing": op2_packing, "op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
+    "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
+    "op10_quality_rules": op10_quality_rules,
+}
 
 ORACLES = {"op3_mixing": mixing.SQL}
