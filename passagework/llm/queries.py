@@ -11,6 +11,7 @@ from .packing import pack
 from .pii import KINDS, counted, listed, personal_data
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .token_counts import token_counts
 from .toxicity import third, toxicity
 
 
@@ -54,6 +55,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted_rows = token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return counted_rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -65,6 +71,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
+    "op8_token_counts": op8_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
