@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, topk, warc
 from .common import table
 from .packing import pack
 from .pii import KINDS, counted, listed, personal_data
@@ -15,6 +15,21 @@ from .token_counts import token_counts
 from .toxicity import third, toxicity
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.capture_index(warc.captures_of(table(spark, sf_dir, "pages")))
+    return index.select(
+        F.col("id").alias("page_id"),
+        F.col("n_bytes").alias("payload_bytes"),
+        F.col("sha1").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("refers").alias("refers_to"),
+        "url_key",
+        "time",
+        F.col("run").alias("archive"),
+        "offset",
+    )
+
+
 #: Where the installed package of public tokenizer files keeps them; nothing is copied.
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -60,18 +75,26 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted_rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.rounded_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    found = topk.top_k(rows, rows.where(F.col("id") % 50 == 0))
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
     "op8_token_counts": op8_token_counts,
+    "op9_topk": op9_topk,
     "op10_quality_rules": op10_quality_rules,
 }
 
