@@ -11,6 +11,7 @@ from .packing import pack
 from .pii import KINDS, counted, listed, personal_data
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .suffixes import without_repeats
 from .token_counts import token_counts
 from .toxicity import third, toxicity
 
@@ -70,6 +71,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted_rows = token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return counted_rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
@@ -93,6 +99,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_topk": op9_topk,
     "op10_quality_rules": op10_quality_rules,

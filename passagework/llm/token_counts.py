@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_width
+from .packed import pack_bytes, unpack_bytes
 
 BLOCK_CHARS, BLOCK_ROWS = 12_000_000, 60_000
 HOT = 32
@@ -94,21 +95,6 @@ def block_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays(found), np.concatenate(where)
 
 
-def pack_bytes(*parts: bytes) -> bytes:
-    sizes = np.array([len(p) for p in parts], "<i8").tobytes()
-    body = b"".join(parts)
-    return len(parts).to_bytes(1, "little") + sizes + len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True) if body else len(parts).to_bytes(1, "little") + sizes + bytes(8)
-
-
-def unpack_bytes(data: bytes) -> list[bytes]:
-    n = data[0]
-    sizes = np.frombuffer(data, "<i8", n, 1)
-    total = int.from_bytes(data[1 + 8 * n : 9 + 8 * n], "little")
-    body = pa.decompress(data[9 + 8 * n :], total, codec="zstd", asbytes=True) if total else b""
-    ends = np.cumsum(sizes)
-    return [body[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist())]
-
-
 def postings(texts: pa.Array, block: int, groups: int) -> Iterator[tuple[int, bytes]]:
     """(group, packed units and postings) of a block of texts."""
     units, where = block_units(texts)
