@@ -81,7 +81,7 @@ def informative(bags: list[str], labels: np.ndarray) -> dict[str, int]:
         counts = held[y > 0]
         for f in seen:
             counts[f] = counts.get(f, 0) + 1
-    share = float((labels > 0).mean())
+    share = float((labels > 0).mean()) if len(labels) else 0.0
     scored = []
     for f, n in held[1].items():
         expected = share * (n + held[0].get(f, 0))

@@ -1,0 +1,469 @@
+"""Each operator against a plain model, and on the cases its docstring defines."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import reference as R
+from pyspark.sql import functions as F
+
+from passagework.llm import components, mixing, packing, pii, quality, queries, simhash, suffixes, token_counts, topk, toxicity, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Null, empty, blank, tied, repeated and long texts; a null id; null language and source.
+ODD = [
+    (1, None, None, None, None),
+    (2, "", "en", "a", 0),
+    (3, " \t\n ", "en", "a", 4),
+    (4, "One two three four five six seven", "en", None, 10),
+    (5, "One two three four five six seven", "en", "b", 10),
+    (5, "One two three four five six seven", "en", "b", 10),
+    (None, "One two three four five six eight", "de", "b", 10),
+    (7, "word " * 30_000, "de", "a", 1),
+    (8, "é ñ\n" * 400 + "İx \x00 ΣΑΣ mail a@b.co +1 (555) 555-0100 ​", "fr", "c", 1),
+    (9, "same line of words\n" * 40, "fr", "c", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ODD, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def sample(spark, sf_dir):
+    return {r.doc_id: r for r in queries.table(spark, sf_dir, "documents").collect()}
+
+
+# --- quality ----------------------------------------------------------------------------------------
+
+
+def test_quality_statistics(spark, sf_dir, sample):
+    rows = queries.op10_quality_rules(spark, sf_dir).collect()
+    assert len(rows) == len(sample)
+    for r in rows:
+        want = R.quality(sample[r.doc_id].text)
+        assert {k: r[k] for k in want} == want
+        assert not (r.base_failed and r.kept)
+
+
+def test_quality_odd_rows(docs, empty):
+    rows = quality.quality_rules(docs.withColumn("kept", F.lit("x")), carry=["doc_id", "text"]).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((r[0] is None, r[0] or 0) for r in ODD)
+    for r in rows:
+        want = R.quality(r.text)
+        assert {k: r[k] for k in want} == want
+    assert quality.quality_rules(empty, carry=["doc_id"]).count() == 0
+
+
+def test_quality_distance_is_mahalanobis_of_the_concentrated_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        junk = i % 20 == 0
+        words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) + ("##" if junk else "") for _ in range(rng.integers(60, 120))]
+        rows.append((i, " ".join(words), "en", "a", 1))
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, DOCS), carry=["doc_id"]).collect()}
+    # the same estimate in numpy, from the same vectors
+    def vector(text):
+        q = R.quality(text)
+        lines = [x for x in text.split("\n") if x.split()]
+        return [math.log(q["word_chars"] / q["n_words"]), math.log1p(1000 * q["n_symbols"] / q["word_chars"]), q["n_dup_lines"] / len(lines), q["n_repeat_words"] / q["n_words"]]
+
+    x = np.round(np.array([vector(r[1]) for r in rows]) * quality.UNIT) / quality.UNIT
+    used = np.array([not R.quality(r[1])["base_failed"] for r in rows])
+    floors = np.diag(np.array(list(quality.FLOORS.values())) ** 2)
+    factor = quality.consistency(quality.COVERAGE, 4)
+    mean, cov = x[used].mean(axis=0), np.cov(x[used].T, bias=True) + floors
+    for _ in range(quality.STEPS):
+        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        bins = np.minimum(np.floor(np.log2(d + 1) * quality.BINS), quality.BINS * 64)
+        limit = np.sort(bins[used])[math.ceil(used.sum() * quality.COVERAGE) - 1]
+        inside = used & (bins <= limit)
+        before = np.linalg.slogdet(cov)[1]
+        mean, cov = x[inside].mean(axis=0), factor * np.cov(x[inside].T, bias=True) + floors
+        if abs(np.linalg.slogdet(cov)[1] - before) < quality.SETTLED:
+            break
+    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    assert np.allclose([got[i].distance for i in range(400)], d, rtol=1e-3, atol=1e-3)
+    assert {i for i, r in got.items() if not r.kept} == {i for i in range(400) if i % 20 == 0}
+
+
+def test_chi_square():
+    assert abs(quality.chi_square_quantile(0.95, 4) - 9.487729) < 1e-5
+    assert abs(quality.chi_square_cdf(3.841459, 1) - 0.95) < 1e-6
+
+
+# --- near-duplicates --------------------------------------------------------------------------------
+
+
+def test_simhash_against_all_pairs(spark, sf_dir, sample):
+    rows = queries.op5_simhash(spark, sf_dir).collect()
+    prints = {i: R.simhash(r.text) for i, r in sample.items()}
+    assert {r.doc_id: int(r.fingerprint, 16) for r in rows} == prints
+    assert {r.doc_id: r.component_id for r in rows} == R.components(prints)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_trie_links_against_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    fp = np.unique(np.array([c ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False))) for c in centres for _ in range(30)], np.uint64))
+    label = simhash.trie_links(fp, np.array([0]), np.array([len(fp)]))
+    want = R.components({k: int(x) for k, x in enumerate(fp)})
+    assert [int(x) for x in label] == [want[k] for k in range(len(fp))]
+
+
+@pytest.mark.parametrize("most", [1, 5, 1 << 18])
+def test_large_subtrees_are_dealt_anew(spark, most, monkeypatch):
+    monkeypatch.setattr(simhash, "WALK_BATCH", 1)
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 62, 5)
+    fps = sorted({int(c) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 5), replace=False)) for c in centres for _ in range(25)})
+    leaves = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, id long")
+    links = simhash.leaf_links(leaves, most_leaves=most)
+    found = {r.u: r.v for r in components.components(links).collect()}
+    want = R.components(dict(enumerate(fps)))
+    assert {i: found.get(i, i) for i in want} == want
+
+
+def test_simhash_odd_rows(docs, empty):
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == len(ODD)
+    by = {r.id: r for r in rows}
+    assert by[1].fp == by[2].fp == by[3].fp == 0 and by[3].component == 1
+    assert by[5].component == 4 and by[None].component is None
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    n = 200
+    order = np.random.default_rng(1).permutation(n).tolist()
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(5, 5), (1000, 1001)], "u long, v long")
+    found = {r.u: r.v for r in components.components(edges).collect()}
+    assert found == {i: 0 for i in range(1, n)} | {1001: 1000}
+
+
+# --- personal data ----------------------------------------------------------------------------------
+
+
+def test_pii_base_spans(spark, sf_dir, sample):
+    rows = queries.op6_pii(spark, sf_dir).collect()
+    assert len(rows) == len(sample)
+    for r in rows:
+        base = R.base_spans(sample[r.doc_id].text)
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x == k for x, _, _ in base) for k in pii.KINDS]
+        assert set(filter(None, listed.split(","))) <= set(r.spans.split(","))
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a@b@c.de a.b+c@d-e.f.g. @x.y x@y. z@-.- é@a.b a@b.c@d.e", "1.2.3.4 1.2.3.4.5 256.1.1.1 00001.2.3.4 1..2.3.4", "4111 1111-1111 1111 4111111111111111 41111111111111112", "+1 (555) 555-0100 +12 +123456789012345678 ++4 5555 5555 +1. 2)3(4567890"],
+)
+def test_base_patterns(text):
+    assert pii.base_spans(text) == R.base_spans(text)
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    rows = [(i, f"please write to agent{i}@mail.example.com today", "en", "a", 1) for i in range(12)]
+    rows += [(100, "please write to agent77@intranet today", "en", "a", 1), (101, "nothing of the kind in 2024 here", "en", "a", 1)]
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, DOCS), carry=["doc_id"]).select("doc_id", pii.listed("spans").alias("spans")).collect()}
+    assert found[0] == "email:16:39" and found[101] == ""
+    # the shape differs, so the pattern of the seeds does not vouch for it
+    assert found[100] == ""
+    rows = [(i, f"card no. 4111 1111 1111 1111 ends; call +1 (555) 555-01{i:02d} now", "en", "a", 1) for i in range(12)]
+    rows += [(200, "call +1 (555) 555-01 now", "en", "a", 1), (201, "x@y.example.com", "en", "a", 1)]
+    assert pii.personal_data(spark.createDataFrame(rows, DOCS), carry=["doc_id"]).count() == 14
+
+
+def test_pattern_scores_reach_unseen_tokens(spark):
+    rows = [(i, f"my badge id-{1000 + i} x@y{i}.example.com", "en", "a", 1) for i in range(3)]
+    rows += [(10 + i, f"mail me at user{i}@host.example.com ok", "en", "a", 1) for i in range(30)]
+    rows += [(50, "mail me at admin{7}@host.example.com ok", "en", "a", 1), (51, "mail me at root9@host.example.com", "en", "a", 1)]
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, DOCS), carry=["doc_id"]).select("doc_id", pii.listed("spans").alias("spans")).collect()}
+    assert found[51].startswith("email:")
+
+
+def test_pii_odd_rows_and_redaction(docs, empty):
+    found = pii.personal_data(docs.withColumn("spans", F.lit(1)), carry=["doc_id", "text"])
+    rows = found.withColumn("clean", pii.redacted(F.col("text"), F.col("spans"))).collect()
+    assert len(rows) == len(ODD)
+    mail = next(r for r in rows if r.doc_id == 8)
+    assert "[EMAIL]" in mail.clean and "[PHONE]" in mail.clean and "a@b.co" not in mail.clean
+    assert all(r.clean == r.text for r in rows if r.doc_id != 8)
+    assert pii.personal_data(empty, carry=["doc_id"]).count() == 0
+
+
+# --- mixing -----------------------------------------------------------------------------------------
+
+
+def views(spark, sf_dir, documents=None):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    return con
+
+
+def test_mixing_equals_its_sql(spark, sf_dir):
+    got = sorted(tuple(r) for r in queries.op3_mixing(spark, sf_dir).collect())
+    want = sorted(tuple(r) for r in views(spark, sf_dir).execute(mixing.SQL).fetchall())
+    assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
+    assert all(abs(g[3] - w[3]) < 1e-6 for g, w in zip(got, want))
+    assert got == sorted(tuple(r) for r in queries.op3_mixing(spark, sf_dir).collect())
+
+
+def test_targets_stop_and_reshare(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1), (None, 500), ("d", 0)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(sizes).collect()}
+    # ranks: a 5, b 2, c 1, d 5, null 2
+    assert got["a"] == 30 and got["c"] == 3 and got["d"] == 0
+    assert abs(sum(got.values()) - 1511) < 1e-6 and abs(got["b"] - got[None]) < 1e-6
+
+
+def test_mixing_odd_rows(docs, empty):
+    rows = mixing.mix(docs.withColumn("size", F.lit("x")), ["doc_id"]).collect()
+    assert len(rows) == len(ODD)
+    assert all(0 <= r.copies <= 3 for r in rows) and all(r["size"] == 0 for r in rows if r.doc_id in (1, 2, 3))
+    assert mixing.mix(empty, ["doc_id"]).count() == 0
+
+
+# --- packing and tokens -----------------------------------------------------------------------------
+
+
+def check_packing(rows, texts, capacity=2048):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    want = []
+    for i, text in texts:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        want += [(i, k, s, len(ids[s : s + capacity]), zlib.crc32(np.array(ids[s : s + capacity], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), capacity))]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[4])
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=order) == sorted(want, key=order)
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(places)
+
+
+def test_packing(spark, sf_dir, sample):
+    rows = queries.op2_packing(spark, sf_dir).collect()
+    used = check_packing(rows, [(i, r.text) for i, r in sample.items()])
+    assert used <= math.ceil(sum(r.length for r in rows) / 2048) * 1.01 + 1
+
+
+def test_packing_odd_rows(docs, empty):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    rows = packing.pack(docs, path).withColumnsRenamed({"id": "doc_id", "crc": "ids_crc32", "sequence": "sequence_id"}).collect()
+    check_packing(rows, [(r[0], r[1]) for r in ODD])
+    assert packing.pack(empty, path).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_configurations_hold_the_histogram(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 2049, 6000) if seed else np.repeat([700, 1349, 2048, 1], [4000, 3999, 50, 20])
+    kinds, counts = np.unique(lengths, return_counts=True)
+    histogram = dict(zip(kinds.tolist(), counts.tolist()))
+    made = packing.configurations(histogram)
+    held = {}
+    for config, n in made:
+        assert sum(config) <= 2048 and n > 0
+        for x in config:
+            held[x] = held.get(x, 0) + n
+    assert held == histogram
+    best = packing.best_fit(kinds, counts.copy(), 2048)
+    assert sum(n for _, n in made) <= sum(n for _, n in best) * 1.01
+
+
+def test_token_counts(spark, sf_dir, sample, docs, empty):
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    for r in queries.op8_token_counts(spark, sf_dir).collect():
+        text = sample[r.doc_id].text
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), len(sp.encode(text)), len(sp.encode(text)) > 4096)
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(["a", "é", " ", "  ", "\n", "\t", "▁", "foo", "<s>", "\x00", "."], rng.integers(0, 25))) for _ in range(800)]
+    odd = spark.createDataFrame(ODD + [(1000 + i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)
+    rows = token_counts.token_counts(odd.repartition(3), path).collect()
+    want = sorted((str(r[0]), len((r[1] or "").encode()), len(sp.encode(r[1] or ""))) for r in odd.select("doc_id", "text").collect())
+    assert sorted((str(r.id), r.n_bytes, r.n_tokens) for r in rows) == want
+    assert token_counts.token_counts(empty, path).count() == 0
+
+
+# --- repeats ----------------------------------------------------------------------------------------
+
+
+def test_suffix_dedup(spark, sf_dir, sample):
+    rows = queries.op7_suffix_dedup(spark, sf_dir).collect()
+    ids = sorted(sample)
+    want = dict(zip(ids, R.substring_dedup([sample[i].text for i in ids])))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_dedup_of_overlaps_and_runs(spark, seed):
+    rng = np.random.default_rng(seed)
+    word = lambda n: "".join(rng.choice(list("abcdé "), n))
+    shared = [word(n) for n in (399, 400, 401, 450, 600, 900)]
+    texts = [word(rng.integers(0, 300)) + "".join(x + word(rng.integers(0, 3)) for x in rng.choice(shared, rng.integers(0, 3))) + word(rng.integers(0, 300)) for _ in range(40)]
+    texts += ["a" * 1000, "ab" * 700, None, "", texts[0], texts[0], "\n".join(["a repeated line"] * 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = suffixes.without_repeats(docs).collect()
+    want = dict(enumerate(R.substring_dedup(texts)))
+    assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
+
+
+def test_prefix_loser_tree_merges_in_order():
+    rng = np.random.default_rng(4)
+    runs, every = [], []
+    for k in range(7):
+        strings = sorted({"".join(rng.choice(["a", "b"], 12)).encode() for _ in range(rng.integers(0, 40))})
+        every += strings
+        shared, rests = suffixes.front_coded(strings)
+        runs.append(suffixes.decoded(shared, rests, 12, list(range(len(strings)))))
+    out = list(suffixes.PrefixLoserTree(runs))
+    assert [s for _, s, _ in out] == sorted(every)
+    for (_, a, _), (p, b, _) in zip(out, out[1:]):
+        assert p == suffixes.common_prefix(a, b, 0)
+    assert list(suffixes.PrefixLoserTree([])) == []
+
+
+def test_suffix_dedup_odd_rows(docs, empty):
+    rows = suffixes.without_repeats(docs).collect()
+    assert len(rows) == len(ODD)
+    assert next(r for r in rows if r.id == 7).n_removed == len("word " * 30_000)
+    assert suffixes.without_repeats(empty).count() == 0
+
+
+# --- toxicity ---------------------------------------------------------------------------------------
+
+
+def test_toxicity_on_held_out_documents(spark):
+    rng = np.random.default_rng(7)
+    clean = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(300)]
+    bad = ["vilest", "scumbag", "wretch"]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        sentences = [" ".join(rng.choice(clean, 8)) for _ in range(rng.integers(3, 12))]
+        if toxic:
+            sentences[rng.integers(len(sentences))] += " " + bad[rng.integers(3)]
+        rows.append((i, ". ".join(sentences), "en", "a", 1))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    train = marks.where(toxicity.third("doc_id") != 1)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, train, ["doc_id", "text"]).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1]
+    right = sum((got[i].score >= 0.7) == (i % 4 == 0) for i in held)
+    assert right / len(held) > 0.97
+    for i in held:
+        for s in got[i].offending:
+            assert any(b in got[i].text[s.start : s.end] for b in bad)
+
+
+def test_toxicity_labels_of_the_third_are_not_read(spark, sf_dir):
+    docs = queries.table(spark, sf_dir, "documents")
+    labels = queries.table(spark, sf_dir, "labels")
+    turned = labels.withColumn("toxic", F.when(toxicity.third("doc_id") == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a = toxicity.learnt(docs, labels.where(toxicity.third("doc_id") != 1))
+    assert a == toxicity.learnt(docs, turned.where(toxicity.third("doc_id") != 1))
+
+
+def test_toxicity_odd_rows(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    rows = toxicity.toxicity(docs, none, ["doc_id"]).collect()
+    assert len(rows) == len(ODD) and all(r.score == 0 for r in rows)
+    one = spark.createDataFrame([(4, 1), (5, 1), (None, 0), (9, None)], "doc_id long, toxic int")
+    rows = toxicity.toxicity(docs, one, ["doc_id"]).collect()
+    assert all(r.score == (0.0 if r.doc_id in (1, 2) else 1.0) for r in rows)
+    both = spark.createDataFrame([(4, 1), (4, 0), (9, 0), (7, 0)], "doc_id long, toxic int")
+    rows = toxicity.toxicity(docs.withColumn("score", F.lit("x")), both, ["doc_id"]).collect()
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.toxicity(empty, both, ["doc_id"]).count() == 0
+
+
+# --- archives ---------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark):
+    big, other = "x" * 999 + "é", "y\r\n\r\nWARC/1.1\r\n" * 90
+    pages = [(1, "http://www.b.example/a", big), (2, "http://a.example:80/Q?x", big), (3, None, None), (4, "u\r\nX: 1", "small"), (5, "u", "small"), (6, "http://a.example/q", other), (7, "http://a.example/q", other), (8, "", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    rows = warc.capture_index(warc.captures_of(df)).collect()
+    got = {r.id: (r.n_bytes, r.sha1, r.type, r.refers) for r in rows}
+    refers = {1: 2, 6: 7}
+    for i, _, html in pages:
+        data = (html or "").encode()
+        assert got[i] == (len(data), hashlib.sha1(data).hexdigest(), "revisit" if i in refers else "response", refers.get(i))
+    keys = [(r.url_key.encode(), r.time, r.id) for r in rows]
+    assert keys == sorted(keys)
+    assert warc.capture_index(warc.captures_of(df.where("false"))).count() == 0
+
+
+def test_warc_of_pages(spark, sf_dir):
+    pages = {r.page_id: (r.html or "").encode() for r in queries.table(spark, sf_dir, "pages").collect()}
+    newest = {}
+    for i, data in pages.items():
+        if len(data) >= 1000:
+            newest[data] = max(i, newest.get(data, i))
+    rows = queries.op1_warc(spark, sf_dir).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        data = pages[r.page_id]
+        refers = newest.get(data) if newest.get(data, r.page_id) != r.page_id else None
+        assert (r.payload_bytes, r.payload_digest, r.refers_to, r.record_type) == (len(data), hashlib.sha1(data).hexdigest(), refers, "revisit" if refers is not None else "response")
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 8])
+def test_loser_tree(k):
+    rng = np.random.default_rng(k)
+    runs = [sorted(rng.integers(0, 50, rng.integers(0, 20)).tolist()) for _ in range(k)]
+    assert list(warc.LoserTree([iter(r) for r in runs], lambda x: x)) == sorted(x for r in runs for x in r)
+
+
+# --- top k ------------------------------------------------------------------------------------------
+
+
+def test_topk(spark, sf_dir):
+    vectors = {r.vec_id: r.embedding for r in queries.table(spark, sf_dir, "embeddings").collect()}
+    got = {}
+    for r in sorted(queries.op9_topk(spark, sf_dir).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == R.top_k(vectors)
+
+
+@pytest.mark.parametrize("block,group", [(4, 2), (64, 64)])
+def test_topk_odd_vectors(spark, block, group):
+    rng = np.random.default_rng(9)
+    vectors = {i: [float(x) for x in rng.choice([-1.5, -0.1, 0.0, 0.1, 0.7], 3)] for i in range(120)}
+    vectors |= {200: None, 201: [None, 1.0, 2.0], 202: [float("nan"), 0.0, 0.0], 203: [float("inf"), 0.0, 0.0], 250: [1.0, 2.0], 204: [], 300: [0.5, 0.5]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    rows = topk.rounded_vectors(df, "vec_id", "embedding")
+    got = {}
+    for r in sorted(topk.top_k(rows, rows.where("id % 50 = 0"), 5, block, group).collect(), key=lambda r: (r.query, r["rank"])):
+        got.setdefault(r.query, []).append((r.id, r.score))
+    vectors.pop(204)
+    single = {i: v if v is None else [None if x is None else float(np.float32(x)) for x in v] for i, v in vectors.items()}
+    assert got == {q: w for q, w in R.top_k(single).items() if w}
+    nothing = rows.where("false")
+    assert topk.top_k(nothing, nothing).count() == 0
