@@ -1,0 +1,27 @@
+"""Registered queries against their SQL in DuckDB."""
+
+from __future__ import annotations
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def connection(sf_dir):
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def plain(value):
+    if isinstance(value, float):
+        return round(value, 6)
+    if value is None or isinstance(value, (bool, str, int)):
+        return value
+    return str(value)
+
+
+def rows(columns, data):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
