@@ -26,8 +26,12 @@ anchor share its first ``width - HEAD + GRAM`` bytes.
    anchor overlap, so they make one interval.
 6. The intervals go back to the blocks.
 
-Copies inside a block travel once, so a passage that all documents share is one
-row a block, not one a document.
+Contexts that a block holds twice are repeats: the block settles their places by
+itself, and sends such a context once, as a partner for other blocks.  A
+beginning that occurs more than MOST_PLACES times would still bring many
+different contexts (around a passage that very many documents share) to one
+group.  Its windows are dealt by their own 128-bit hashes instead, each once a
+block, so that no group grows with the number of documents that share a passage.
 
 Defined cases: null text is empty; texts under ``width`` bytes lose nothing;
 repeated rows are other places like any; null or equal ids keep a row each; an
@@ -55,6 +59,10 @@ PAD = 255
 #: Odd multipliers of the hashes of bytes.
 STIR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCKS_A_PARTITION = 2
+MOST_PLACES = 4096
+#: Groups of windows, and rows that are settled already, are numbered below zero.
+WINDOWS, SETTLED = -(1 << 40), -1
+PLACE = np.dtype([("hash", "V16"), ("row", "<i8"), ("start", "<u4"), ("twice", "u1")])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -248,29 +256,65 @@ def _send_beginnings(groups: int, width: int):
         out = []
         for g in np.unique(group).tolist():
             mine = group == g
-            out.append((g, number, pack_bytes(found[mine].tobytes(), (counts[mine] > 1).astype("u1").tobytes())))
+            out.append((g, number, pack_bytes(found[mine].tobytes(), counts[mine].astype("<u4").tobytes())))
         return _parts(out)
 
     return run
 
 
-def _repeated_beginnings(group: pa.Table) -> pa.Table:
-    """To each block those of its beginnings that occur twice, anywhere."""
-    blocks = group.column("block").to_pylist()
-    hashes, twice = [], []
-    for body in group.column("body"):
-        found, multiple = unpack_bytes(body.as_py())
-        hashes.append(np.frombuffer(found, np.uint64))
-        twice.append(np.frombuffer(multiple, "u1").astype(np.int64))
-    every, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(at, 1 + np.concatenate(twice))
-    out, start = [], 0
-    for block, found in zip(blocks, hashes):
-        mine = found[total[at[start : start + len(found)]] > 1]
-        start += len(found)
-        if len(mine):
-            out.append((0, block, pack_bytes(mine.tobytes())))
-    return _parts(out)
+def _repeated_beginnings(most: int):
+    def run(group: pa.Table) -> pa.Table:
+        """To each block those of its beginnings that occur twice, anywhere, and whether more often than ``most``."""
+        blocks = group.column("block").to_pylist()
+        hashes, counts = [], []
+        for body in group.column("body"):
+            found, count = unpack_bytes(body.as_py())
+            hashes.append(np.frombuffer(found, np.uint64))
+            counts.append(np.frombuffer(count, "<u4").astype(np.int64))
+        every, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(at, np.concatenate(counts))
+        out, start = [], 0
+        for block, found in zip(blocks, hashes):
+            here = total[at[start : start + len(found)]]
+            start += len(found)
+            if (here > 1).any():
+                out.append((0, block, pack_bytes(found[here > 1].tobytes(), (here[here > 1] > most).astype("u1").tobytes())))
+        return _parts(out)
+
+    return run
+
+
+def _intervals(rows, start, end) -> bytes:
+    return pack_bytes(np.asarray(rows).astype("<i8").tobytes(), np.asarray(start).astype("<u4").tobytes(), np.asarray(end).astype("<u4").tobytes())
+
+
+def _window_rows(contexts: dict[bytes, list[int]], number: int, groups: int, row, place, width: int) -> list[tuple[int, int, bytes]]:
+    """A block's windows of crowded beginnings: each once, with a place to take out if it turns out to repeat."""
+    found: dict[bytes, dict[tuple[int, int], None]] = {}
+    for context, places in contexts.items():
+        ahead, behind = _extent(context, width)
+        line = context[width : width + behind][::-1] + context[:ahead]
+        for a in range(max(0, width - ahead), behind + 1):
+            key = hashlib.blake2b(line[behind - a : behind - a + width], digest_size=16).digest()
+            # a window has several anchors: places count once.  Two of a context show that its windows repeat
+            found.setdefault(key, {}).update({(int(row[k]), int(place[k]) - a): None for k in places[:2]})
+    out: dict[int, list] = {}
+    settled: list[tuple[int, int, int]] = []
+    for key, held in found.items():
+        first = next(iter(held))
+        out.setdefault(int.from_bytes(key[:4], "little") % groups, []).append((key, *first, len(held) > 1))
+        if len(held) > 1:
+            settled += [(r, start, start + width) for r, start in held]
+    made = [(WINDOWS - g, number, pack_bytes(np.array(x, PLACE).tobytes())) for g, x in out.items()]
+    if settled:
+        made.append((SETTLED - number, number, _intervals(*zip(*settled))))
+    return made
+
+
+def _extent(context: bytes, width: int) -> tuple[int, int]:
+    """Bytes of the text from the anchor on, and before it, that a context holds."""
+    after, before = context[:width].find(b"\xff"), context[width:].find(b"\xff")
+    return (width if after < 0 else after), (len(context) - width if before < 0 else before)
 
 
 def _send_runs(groups: int, width: int):
@@ -280,28 +324,42 @@ def _send_runs(groups: int, width: int):
         rows, texts = _texts_of(block, width)
         anchors = texts.anchors()
         begin = texts.beginnings(anchors)
-        wanted = np.sort(np.concatenate([np.frombuffer(unpack_bytes(b.as_py())[0], np.uint64) for b in repeated.column("body")]))
+        sent = [unpack_bytes(b.as_py()) for b in repeated.column("body")]
+        wanted = np.concatenate([np.frombuffer(w, np.uint64) for w, _ in sent])
+        crowded = np.concatenate([np.frombuffer(c, "u1") for _, c in sent])[np.argsort(wanted)].astype(bool)
+        wanted = np.sort(wanted)
         at = np.minimum(np.searchsorted(wanted, begin), len(wanted) - 1)
         hit = wanted[at] == begin
-        anchors, begin = anchors[hit], begin[hit]
+        anchors, begin, crowded = anchors[hit], begin[hit], crowded[at[hit]]
         owner = np.searchsorted(texts.ends, anchors, side="right")
-        group = (mixed(begin) >> np.uint64(20)).astype(np.int64) % groups
+        row, place = rows[owner], anchors - texts.starts[owner]
+        group = np.where(crowded, groups, (mixed(begin) >> np.uint64(20)).astype(np.int64) % groups)
         number = block.column("block")[0].as_py()
-        out = []
+        out, settled = [], []
         order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(groups + 1))
-        for g in range(groups):
+        cuts = np.searchsorted(group[order], np.arange(groups + 2))
+        for g in range(groups + 1):
             mine = order[cuts[g] : cuts[g + 1]]
             if not len(mine):
                 continue
             places: dict[bytes, list[int]] = {}
             for k in mine.tolist():
                 places.setdefault(texts.context(int(anchors[k]), int(owner[k])), []).append(k)
+            for context, held in places.items():
+                if len(held) > 1:
+                    ahead, behind = _extent(context, width)
+                    if behind >= width - ahead:
+                        settled += [(row[k], place[k] - behind, place[k] - max(0, width - ahead) + width) for k in held]
+            if g == groups:
+                out += _window_rows(places, number, groups, row, place, width)
+                continue
             strings = sorted(places)
             shared, rests = front_coded(strings)
-            times = np.array([len(places[s]) for s in strings], "<u4")
-            chosen = np.array([k for s in strings for k in places[s]], np.int64)
-            out.append((g, number, pack_bytes(shared.tobytes(), rests, times.tobytes(), rows[owner[chosen]].astype("<i8").tobytes(), (anchors[chosen] - texts.starts[owner[chosen]]).astype("<u4").tobytes())))
+            times = np.array([min(2, len(places[s])) for s in strings], "u1")
+            chosen = np.array([places[s][0] for s in strings], np.int64)
+            out.append((g, number, pack_bytes(shared.tobytes(), rests, times.tobytes(), row[chosen].astype("<i8").tobytes(), place[chosen].astype("<u4").tobytes())))
+        if settled:
+            out.append((SETTLED - number, number, _intervals(*zip(*settled))))
         return _parts(out)
 
     return run
@@ -310,37 +368,44 @@ def _send_runs(groups: int, width: int):
 def _merge_group(width: int):
     size = width + min(HEAD, width) - GRAM
 
+    def to_blocks(block_of, rows, start, end) -> pa.Table:
+        return _parts([(0, b, _intervals(rows[block_of == b], start[block_of == b], end[block_of == b])) for b in np.unique(block_of).tolist()])
+
     def run(group: pa.Table) -> pa.Table:
+        if not group.num_rows or SETTLED >= group.column("part")[0].as_py() > WINDOWS:
+            return group
         blocks = group.column("block").to_pylist()
-        runs, owners, places = [], [], []
+        if group.column("part")[0].as_py() <= WINDOWS:
+            found = [np.frombuffer(unpack_bytes(b.as_py())[0], PLACE) for b in group.column("body")]
+            every = np.concatenate(found)
+            _, at = np.unique(every["hash"], return_inverse=True)
+            hit = np.bincount(at, 1 + every["twice"])[at] > 1
+            start = every["start"].astype(np.int64)[hit]
+            return to_blocks(np.repeat(blocks, [len(f) for f in found])[hit], every["row"][hit], start, start + width)
+        runs, owners, places, often = [], [], [], []
         base = 0
         for body in group.column("body"):
             shared, rests, times, rows, at = unpack_bytes(body.as_py())
-            n = np.frombuffer(times, "<u4").astype(np.int64)
-            ends = base + np.cumsum(n)
-            runs.append(decoded(np.frombuffer(shared, "<u2"), rests, size, list(zip((ends - n).tolist(), ends.tolist()))))
+            often.append(np.frombuffer(times, "u1"))
             owners.append(np.frombuffer(rows, "<i8"))
             places.append(np.frombuffer(at, "<u4").astype(np.int64))
-            base += int(n.sum())
-        row_of, place_of = np.concatenate(owners), np.concatenate(places)
+            runs.append(decoded(np.frombuffer(shared, "<u2"), rests, size, list(range(base, base + len(often[-1])))))
+            base += len(often[-1])
+        row_of, place_of, often = np.concatenate(owners), np.concatenate(places), np.concatenate(often)
         block_of = np.repeat(blocks, [len(x) for x in owners])
         shared, strings, times, context_of = [], [], [], np.empty(base, np.int64)
-        for p, s, (first, last) in PrefixLoserTree(runs):
+        for p, s, k in PrefixLoserTree(runs):
             if p < size or not strings:
                 shared.append(p if strings else 0)
                 strings.append(s)
                 times.append(0)
-            times[-1] += last - first
-            context_of[first:last] = len(strings) - 1
+            times[-1] += int(often[k])
+            context_of[k] = len(strings) - 1
         contexts = np.frombuffer(b"".join(strings), np.uint8).reshape(len(strings), size)
         least, most = repeats(np.array(shared), contexts, np.array(times), width)
         start, end = place_of - most[context_of], place_of - least[context_of] + width
         kept = least[context_of] <= most[context_of]
-        out = []
-        for block in np.unique(block_of[kept]).tolist():
-            mine = kept & (block_of == block)
-            out.append((0, block, pack_bytes(row_of[mine].astype("<i8").tobytes(), start[mine].astype("<u4").tobytes(), end[mine].astype("<u4").tobytes())))
-        return _parts(out)
+        return to_blocks(block_of[kept], row_of[kept], start[kept], end[kept])
 
     return run
 
@@ -373,7 +438,7 @@ def _removed(with_bytes: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, with_bytes: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, with_bytes: bool = True, most_places: int = MOST_PLACES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept, kept_sha256) of each row; ``kept`` is null unless ``with_bytes``."""
     n = shuffle_width(docs.sparkSession)
     blocks, groups = n * BLOCKS_A_PARTITION, n * 2
@@ -381,7 +446,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     given = docs.select(F.col(id_column).cast("long").alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
     dealt = given.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).repartition(n, "block")
     beginnings = dealt.groupBy("block").applyInArrow(_send_beginnings(groups, width), PARTS)
-    repeated = beginnings.groupBy("part").applyInArrow(_repeated_beginnings, PARTS)
+    repeated = beginnings.groupBy("part").applyInArrow(_repeated_beginnings(most_places), PARTS)
     runs = dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_send_runs(groups, width), PARTS)
     intervals = runs.groupBy("part").applyInArrow(_merge_group(width), PARTS)
     return dealt.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(_removed(with_bytes), RESULT)

@@ -320,15 +320,15 @@ def test_suffix_dedup(spark, sf_dir, sample):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_suffix_dedup_of_overlaps_and_runs(spark, seed):
+@pytest.mark.parametrize("seed,most", [(0, 4096), (1, 4096), (2, 1), (3, 1), (4, 5)])
+def test_suffix_dedup_of_overlaps_and_runs(spark, seed, most):
     rng = np.random.default_rng(seed)
     word = lambda n: "".join(rng.choice(list("abcdé "), n))
     shared = [word(n) for n in (399, 400, 401, 450, 600, 900)]
     texts = [word(rng.integers(0, 300)) + "".join(x + word(rng.integers(0, 3)) for x in rng.choice(shared, rng.integers(0, 3))) + word(rng.integers(0, 300)) for _ in range(40)]
     texts += ["a" * 1000, "ab" * 700, None, "", texts[0], texts[0], "\n".join(["a repeated line"] * 60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    rows = suffixes.without_repeats(docs).collect()
+    rows = suffixes.without_repeats(docs, most_places=most).collect()
     want = dict(enumerate(R.substring_dedup(texts)))
     assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
 
