@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, shuffle_width
+from .common import fresh_path, settle, shuffle_width
 
 LEAST_BYTES = 1000
 #: Records of an archive at most; an archive is read as one value.
@@ -236,7 +236,8 @@ def capture_index(captures: DataFrame, least_bytes: int = LEAST_BYTES, path: str
     spark = captures.sparkSession
     path = path or fresh_path(spark, "warc")
     write_archives(captures, path, least_bytes)
-    return merge_runs(read_archives(spark, path))
+    # ranges are drawn from a sample of the runs: archives are parsed once, not once more for it
+    return merge_runs(settle(read_archives(spark, path), "warc-runs"))
 
 
 def histories(index: DataFrame) -> DataFrame:
