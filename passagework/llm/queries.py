@@ -24,13 +24,18 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("sha1").alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.col("refers").alias("refers_to"),
-        "url_key",
-        "time",
-        F.col("run").alias("archive"),
-        "offset",
     )
 
 
+SQL_WARC = """
+WITH bodies AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+newest AS (SELECT digest, max(page_id) AS response FROM bodies WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, b.digest AS payload_digest,
+  CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN response <> page_id THEN response END AS refers_to
+FROM bodies b LEFT JOIN newest w ON b.digest = w.digest AND n >= 1000
+"""
+
+
 #: Where the installed package of public tokenizer files keeps them; nothing is copied.
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -87,6 +92,17 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
 
 
+SQL_TOPK = """
+WITH given AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM given q JOIN given c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -105,4 +121,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES = {"op3_mixing": mixing.SQL}
+ORACLES = {"op1_warc": SQL_WARC, "op3_mixing": mixing.SQL, "op9_topk": SQL_TOPK}

@@ -467,3 +467,13 @@ def test_topk_odd_vectors(spark, block, group):
     assert got == {q: w for q, w in R.top_k(single).items() if w}
     nothing = rows.where("false")
     assert topk.top_k(nothing, nothing).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, sf_dir, name):
+    from oracle import connection, rows
+
+    got = queries.QUERIES[name](spark, sf_dir)
+    cursor = connection(sf_dir).execute(queries.ORACLES[name])
+    columns = [c[0] for c in cursor.description]
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, cursor.fetchall())
