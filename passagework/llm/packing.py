@@ -22,13 +22,14 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,51 +41,91 @@ SLACK = 0.02
 RATE = 4.0
 ROUNDS, PASSES = 60, 6
 #: Pieces of one length that share a counting bucket, on average.
-BUCKET = 50_000
+BUCKET = 500
 #: Rest below which single pieces are placed best-fit.
 SMALL_REST = 50_000
 
-_MEMO_ENTRIES, _MEMO_LENGTH, _BATCH_CHARS = 1_000_000, 48, 2_000_000
+_MEMO_ENTRIES, _MEMO_LENGTH, _BATCH_CHARS, _JOINED = 500_000, 48, 3_000_000, 512
+
+
+def _latin(word: str) -> bool:
+    """Letters below U+0250 only, whose lower case is one letter each and whose NFC is themselves."""
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
 
 
 class _Encoder:
-    """Ids of texts as little-endian bytes, each space- or newline-delimited chunk encoded once while it is remembered.
+    """Ids of texts, each space- or newline-delimited chunk encoded once while it is remembered.
 
     The tokenizer drops white space between pre-tokens and normalises within
-    them, so a text's ids are those of its chunks in turn.
+    them, so a text's ids are those of its chunks in turn.  Arrow splits the
+    texts and numbers the chunks; ids are then gathered by chunk.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        # a task has one core; threads of the library would only hold memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for lower-case Latin words, set apart by single spaces: there is nothing to normalise or to look for in them
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {"": b""}
 
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
     @staticmethod
     def _parts(chunk: str) -> tuple[str, str]:
-        """A Latin word and the one comma or stop after it are two pre-tokens; ASCII case does not matter."""
-        word, end = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," and chunk[:-1].isalpha() and max(chunk) < "\u0250" else (chunk, "")
-        return word.lower() if word.isascii() else word, end
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set(itertools.chain.from_iterable(split)).difference(self.memo)
-        if len(self.memo) + len(new) > _MEMO_ENTRIES:
-            self.memo = {"": b""}
-            new = set(itertools.chain.from_iterable(split)) - {""}
-        here = self.memo
-        parts = {c: self._parts(c) for c in new}
-        words = list({x for pair in parts.values() for x in pair}.difference(here))
-        here.update(zip(words, self._ids(words)))
-        here.update({c: here[word] + here[end] for c, (word, end) in parts.items()})
-        for chunks in split:
-            yield b"".join(map(here.__getitem__, chunks))
-        for c in {*new, *words}:
+        """A Latin word and the one comma or stop after it are two pre-tokens; case does not matter."""
+        word, end = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," and len(chunk) > 1 else (chunk, "")
+        return (word.lower(), end) if _latin(word) else (chunk, "")
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Latin words are one pre-token each, so many are encoded as one text and divided at the ids that end a word."""
+        out: dict[str, bytes] = {}
+        words = [c for c in chunks if _latin(c)]
+        joined = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
+        for part, e in zip(joined, self.plain.encode_batch_fast([" ".join(w) for w in joined], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(part):
+                data, at = ids.tobytes(), 0
+                for w, cut in zip(part, cuts.tolist()):
+                    out[w] = data[at:cut]
+                    at = cut
+        rest = [c for c in chunks if c not in out]
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            out[c] = np.array(e.ids, "<u4").tobytes()
+        return [out[c] for c in chunks]
+
+    def _found(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk; what is remembered is words without the comma or stop after them, in lower case."""
+        parts = [self._parts(c) if c else ("", "") for c in chunks]
+        memo = self.memo
+        new = {x for pair in parts for x in pair}.difference(memo)
+        if len(memo) + len(new) > _MEMO_ENTRIES:
+            memo = self.memo = {"": b""}
+            new = {x for pair in parts for x in pair if x}
+        words = list(new)
+        memo.update(zip(words, self._ids(words)))
+        found = [memo[word] + memo[end] if end else memo[word] for word, end in parts]
+        for c in words:
             if len(c) > _MEMO_LENGTH:
-                del here[c]
+                del memo[c]
+        return found
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of an array without nulls."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        found = self._found(coded.dictionary.to_pylist())
+        taken = pa.array(found, pa.binary()).take(coded.indices)
+        offsets = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, 4 * taken.offset) // 4
+        every = np.frombuffer(taken.buffers()[2] or b"", "<u4")
+        bounds = offsets[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield every[a:b]
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -95,26 +136,24 @@ def _encode_batches(path: str, capacity: int, closing: int):
         encoder = _encoders.get(path) or _encoders.setdefault(path, _Encoder(path))
         end = np.array([closing], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+            chars = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < len(texts):
-                part, chars = [], 0
-                first = at
-                while at < len(texts) and chars < _BATCH_CHARS:
-                    t = texts[at].as_py() or ""
-                    chars += len(t)
-                    part.append(t)
-                    at += 1
+                upto = int(np.searchsorted(chars, (chars[at - 1] if at else 0) + _BATCH_CHARS)) + 1
+                part = texts.slice(at, max(1, upto - at))
                 rows: list[tuple] = []
-                for k, data in enumerate(encoder.encode(part)):
-                    data += end
-                    n = len(data) // 4
+                for k, found in enumerate(encoder.encode(part)):
+                    n = len(found) + 1
                     for p, start in enumerate(range(0, n, capacity)):
-                        piece = data[4 * start : 4 * (start + capacity)]
-                        rows.append((first + k, p, start, len(piece) // 4, zlib.crc32(piece)))
+                        crc = zlib.crc32(found[start : start + capacity].tobytes())
+                        last = start + capacity >= n
+                        rows.append((at + k, p, start, n - start if last else capacity, zlib.crc32(end, crc) if last else crc))
                 where, *rest = zip(*rows)
                 columns = [ids.take(pa.array(where)), pa.array(rest[0], pa.int32()), *(pa.array(c, pa.int64()) for c in rest[1:])]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "crc"])
+                at += len(part)
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -28,7 +28,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -46,6 +46,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A token that may be an identifier: it has a digit or an @.
 TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+LEAST_LENGTH = 6
 EDGE = ".,;:!?\"'()[]{}<>#*$%&|="
 WORD_BEFORE = re.compile(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]+\Z")
 WORD_AFTER = re.compile(r"[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)")
@@ -102,8 +103,13 @@ def shape(token: str) -> str:
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str | None, str, str, str, str]]:
     """(start, end, seed kind or None, token, shape, words before, word after) of seeds and other tokens."""
-    taken = sorted((a, b, k) for k, a, b in base)
-    out = [(a, b, k) for a, b, k in taken]
+    out: list[tuple[int, int, str | None]] = sorted((a, b, k) for k, a, b in base)
+    covered: list[list[int]] = []
+    for a, b, _ in out:
+        if covered and a < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
     i = 0
     for m in TOKEN.finditer(text):
         a, b = m.span()
@@ -111,11 +117,9 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
             a += 1
         while b > a and text[b - 1] in EDGE:
             b -= 1
-        if b - a < 6:
-            continue
-        while i < len(taken) and taken[i][1] <= a - REACH * 4:
+        while i < len(covered) and covered[i][1] <= a:
             i += 1
-        if not any(x < b and a < y for x, y, _ in taken[i:]) if len(taken) - i < 50 else not _overlaps(taken, a, b):
+        if b - a >= LEAST_LENGTH and (i == len(covered) or b <= covered[i][0]):
             out.append((a, b, None))
     rows = []
     for a, b, k in out:
@@ -126,10 +130,6 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
     return rows
 
 
-def _overlaps(taken: list[tuple[int, int, str]], a: int, b: int) -> bool:
-    return any(x < b and a < y for x, y, _ in taken)
-
-
 FOUND = "spans array<struct<kind:string,start:int,end:int>>, near array<struct<start:int,end:int,kind:string,token:string,shape:string,before:string,after:string>>"
 
 
@@ -207,6 +207,8 @@ def personal_data(docs: DataFrame, text_column: str = "text", carry: list[str] |
         .groupBy(row_id)
         .agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     )
+    # few rows gain spans: written first, their size is known, and the texts move only if it is large
+    added = settle(added, "pii-added")
     ranked = F.array_sort(
         F.transform(
             F.concat("spans", F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>"))),
