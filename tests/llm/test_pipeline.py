@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import reference as R
-from test_operators import check_packing
+from test_corpus_operators import check_packing
 
 import corpus_pipeline
 from passagework.llm import mixing, queries
