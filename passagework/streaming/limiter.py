@@ -17,6 +17,10 @@ def limited(attempts: DataFrame, key: str, at: str, most: int, seconds: float, i
 
     Attempts of a batch are decided in order of time; the state of a key is at
     most ``most`` stamps, and is dropped after ``idle_ms`` without an attempt.
+    A key's attempts of one batch meet in one task: bound a batch by the source's
+    limits (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).  With the trigger
+    ``availableNow``, turn ``spark.sql.streaming.noDataMicroBatches.enabled`` off,
+    or batches for timeouts follow each other without end.
     """
     kind = attempts.schema[key].dataType.simpleString()
 

@@ -32,8 +32,13 @@ def test_limiter_stream_equals_batch(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame(rows, "k int, at double, i int").write.parquet(source)
     stream = spark.readStream.schema("k int, at double, i int").parquet(source + "*")
-    query = limiter.limited(stream, "k", "at", 3, 60.0).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    # a timeout by processing time asks for batches without data for as long as these are allowed
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        query = limiter.limited(stream, "k", "at", 3, 60.0).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = sorted((r.key, r["at"], r.admitted) for r in spark.sql("select * from limited").collect())
     batch = limits.sliding_log(spark.read.parquet(source), "k", "at", "i", 3, 60.0)
     assert got == sorted((r.k, r["at"], r.admitted) for r in batch.collect())
