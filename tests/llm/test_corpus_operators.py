@@ -477,3 +477,23 @@ def test_query_equals_sql(spark, sf_dir, name):
     cursor = connection(sf_dir).execute(queries.ORACLES[name])
     columns = [c[0] for c in cursor.description]
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, cursor.fetchall())
+
+
+def test_encoder_equals_the_tokenizer_on_odd_texts():
+    """Whole texts of letters, marks, special strings and white space of all kinds, one after another in one memory."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from passagework.llm.packing import _Encoder
+    from passagework.llm.queries import tokenizer_path
+
+    path = tokenizer_path("word_bpe_49k.json")
+    plain, encoder, pick = Tokenizer.from_file(path), _Encoder(path), random.Random(7)
+    odd = [*map(chr, range(0x250)), "\u0301", "\u0308", "\u200b", "\u2009", "\u3000", "\ufeff", "\u8a9e", "\ufb01", "\u1e9e", "</w>", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL"]
+    known = ["the", "The", "don't", "I'LL", "3.14", "e.g.", "stra\u00dfe", "na\u00efve,", "end.", "a,b"]
+    for _ in range(10):
+        texts = ["".join(pick.choice(odd) if pick.random() < 0.5 else pick.choice(known) + pick.choice(["", " ", "\n"]) for _ in range(pick.randint(0, 14))) for _ in range(300)]
+        for text, ids in zip(texts, encoder.encode(pa.array(texts)), strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
