@@ -306,11 +306,12 @@ def html_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def glyph_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with each glyph set apart, and as they are."""
+    """Whole documents with each glyph set apart, line by line, repaired; and the share of their single-glyph words."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    line = F.split_part("text", F.lit("\n"), F.lit(1))
-    spaced = F.regexp_replace(F.regexp_replace(line, r"(\S)(?=\S)", "$1 "), r"(\S) (?=\s)", "$1")
-    return docs.select("doc_id", pdf.repaired(F.regexp_replace(F.regexp_replace(line, " ", "   "), r"(\S)(?=\S)", "$1 ")).alias("repaired"), pdf.spaced_share(spaced).alias("share"))
+    apart = F.regexp_replace(F.regexp_replace("text", " ", "   "), r"(\S)(?=\S)", "$1 ")
+    spaced = F.regexp_replace(F.regexp_replace("text", r"(\S)(?=\S)", "$1 "), r"(\S) (?=\s)", "$1")
+    given = docs.select("doc_id", apart.alias("apart"), spaced.alias("spaced"))
+    return given.select("doc_id", pdf.repaired(F.col("apart")).alias("repaired"), pdf.spaced_share(F.col("spaced")).alias("share"))
 
 
 # --- conversations ----------------------------------------------------------------------------------
