@@ -3,8 +3,10 @@
 Only DataFrame functions are used: texts never leave the JVM.
 
 1. ``profile`` takes each whole text to its word statistics.
-2. ``groups`` keys a document by (lang, source), or by lang, or by the corpus,
-   whichever is the finest level with at least ``min_group`` documents.
+2. ``keyed`` judges a document by its (lang, source), or by its lang, or by the
+   corpus, whichever is the finest level with at least ``min_group`` documents that
+   enter its estimate.  The estimate of a lang or of the corpus is made of all its
+   documents, also of those that are judged by a finer level.
 3. ``mcd`` runs concentration steps per group: the ``coverage`` share of rows
    with the smallest Mahalanobis distance gives the next mean and covariance,
    until the log determinants of all groups settle.  The h-th smallest distance
@@ -140,23 +142,34 @@ def vectors(df: DataFrame) -> DataFrame:
 
 
 def keyed(df: DataFrame, lang: str, source: str, min_group: int) -> DataFrame:
-    """Add ``_q_key``: the finest level with at least ``min_group`` rows that have a vector."""
+    """Add ``_q_key``, the finest level with at least ``min_group`` rows that enter an estimate, and ``_q_keys``, the estimates that the row enters.
+
+    ``df`` has ``_q_failed``.  A row enters the estimate of its (lang, source) if that is large
+    enough, and those of its language and of the corpus wherever any group falls back on them.
+    """
 
     def part(c: str) -> Column:
         return F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.char_length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")))
 
     df = df.withColumns({"_q_lang": part(lang), "_q_fine": F.concat(part(lang), part(source))})
-    has = F.count("v_length").alias("n")
-    fine = df.groupBy("_q_lang", "_q_fine").agg(has)
-    coarse = fine.groupBy("_q_lang").agg(F.sum("n").alias("n_lang"))
+    fine = df.groupBy("_q_lang", "_q_fine").agg(F.count(F.when(~F.col("_q_failed"), F.col("v_length"))).alias("n"))
+    coarse = fine.groupBy("_q_lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    of_lang, of_fine = F.concat(F.lit("1"), F.col("_q_lang")), F.concat(F.lit("2"), F.col("_q_fine"))
+    # a language under min_group has only groups under it, which all fall back on the corpus
+    corpus = coarse.agg(F.coalesce(F.min("n_lang") < min_group, F.lit(False)).alias("_q_corpus"))
     level = (
         fine.join(coarse, "_q_lang")
+        .crossJoin(F.broadcast(corpus))
         .select(
             "_q_fine",
-            F.when(F.col("n") >= min_group, F.concat(F.lit("2"), F.col("_q_fine")))
-            .when(F.col("n_lang") >= min_group, F.concat(F.lit("1"), F.col("_q_lang")))
-            .otherwise(F.lit("0"))
-            .alias("_q_key"),
+            F.when(F.col("n") >= min_group, of_fine).when(F.col("n_lang") >= min_group, of_lang).otherwise(F.lit("0")).alias("_q_key"),
+            F.array_compact(
+                F.array(
+                    F.when(F.col("n") >= min_group, of_fine),
+                    F.when((F.col("n_lang") >= min_group) & (F.col("least") < min_group), of_lang),
+                    F.when(F.col("_q_corpus"), F.lit("0")),
+                )
+            ).alias("_q_keys"),
         )
     )
     level = settle(level, "quality-groups")
@@ -261,7 +274,7 @@ def quality_rules(docs: DataFrame, lang: str = "lang", source: str = "source", c
     rows = settle(vectors(profile(renamed)).drop("text"), "quality-profile")
     part = rows.select("_q_a", "_q_b", base_failed().alias("_q_failed"), *VECTOR)
     part = settle(keyed(part, "_q_a", "_q_b", min_group), "quality-vectors")
-    found = mcd(part.where(~F.col("_q_failed")).select("_q_key", *VECTOR), coverage)
+    found = mcd(part.where(~F.col("_q_failed")).select(F.explode("_q_keys").alias("_q_key"), *VECTOR), coverage)
     groups = settle(part.select("_q_a", "_q_b", "_q_key").distinct().join(found, "_q_key", "left").withColumnsRenamed({"_q_a": "_q_lang", "_q_b": "_q_source"}), "quality-estimates")
     joined = rows.join(groups, F.col("_q_a").eqNullSafe(F.col("_q_lang")) & F.col("_q_b").eqNullSafe(F.col("_q_source")), "left")
     outlier = F.coalesce((F.col("m_n") >= MIN_ESTIMATE) & (F.col("_q_d2") > chi_square_quantile(1 - tail, len(VECTOR))), F.lit(False))
