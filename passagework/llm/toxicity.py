@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning: sentence scores under a noisy-or, trained from document labels.
 
 A document is a bag of sentences.  A sentence's score is the logistic of a bias
-and the weights of its words; a document is toxic unless no sentence is:
-p = 1 - prod(1 - p_sentence).  The labels are of documents only; the gradient of
+and the weights of its words; a sentence without a known feature, or without a
+word, scores 0, so that length alone makes nothing toxic.  A document is toxic
+unless no sentence is: p = 1 - prod(1 - p_sentence).  The labels are of documents only; the gradient of
 the document's log loss shares the blame among its sentences, so that the model
 finds the offending ones.
 
@@ -107,6 +108,8 @@ def fit(bags: list[str], labels: np.ndarray, steps: int = STEPS) -> tuple[float,
             n_sentences += 1
     document_of = np.array(document_of, np.int64)
     sentence_of, held = np.array(sentence_of, np.int64), np.array(held, np.int64)
+    # as in scoring, a sentence without a known feature has no share
+    heard = np.bincount(sentence_of, minlength=n_sentences) > 0
     weights = np.zeros(len(index))
     y = labels.astype(float)
     # both classes weigh alike
@@ -115,7 +118,7 @@ def fit(bags: list[str], labels: np.ndarray, steps: int = STEPS) -> tuple[float,
     for t in range(1, steps + 1):
         z = BIAS + np.bincount(sentence_of, weights[held], minlength=n_sentences)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        total = np.bincount(document_of, np.logaddexp(0, z), minlength=len(y))
+        total = np.bincount(document_of, np.where(heard, np.logaddexp(0, z), 0.0), minlength=len(y))
         safe = np.maximum(total, 1e-9)
         slope = balance * np.where(y > 0, -np.exp(-safe) / -np.expm1(-safe), 1.0)
         pull = slope[document_of] * p
@@ -144,7 +147,6 @@ def learnt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column:
 
 
 def _scorer(bias: float, weights: dict[str, float], constant: float | None):
-    quiet = float(np.logaddexp(0, bias))
     memo: dict[str, float] = {}
 
     def weight(word: str) -> float:
@@ -160,8 +162,8 @@ def _scorer(bias: float, weights: dict[str, float], constant: float | None):
             for w in {*words(m.group())}:
                 x = memo.get(w)
                 z += weight(w) if x is None else x
+            # nothing known speaks: no share in the score
             if z == bias:
-                total += quiet
                 continue
             loud = max(z, 0) + math.log1p(math.exp(-abs(z)))
             total += loud
