@@ -77,8 +77,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes that go by the 400-byte rule; ``n_passages`` also counts repeated passages of over 50 words, which stay."""
     cut = without_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
-    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", F.size("passages").cast("long").alias("n_passages"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,42 +1,53 @@
 """Repeated substrings by a distributed, common-prefix-aware merge sort of suffixes.
 
-A byte goes if a ``width``-byte string that covers it also starts elsewhere.
-
-Only suffixes at anchors are sorted.  A window of ``width`` bytes has as its
-anchor the least hash of ``GRAM`` bytes in its first ``HEAD`` bytes, the leftmost
-if several are least; equal windows have their anchor at the same place.  What
-decides the windows of an anchor is its context: the ``width`` bytes from it on,
-then the bytes before it backwards, HEAD - GRAM of them.  All windows of an
-anchor share its first ``width - HEAD + GRAM`` bytes.
-
-1. Documents are dealt into blocks, once; all steps read that same shuffle.
+A byte goes if a ``width``-byte string that covers it also starts elsewhere.  The
+same sort marks ``passages``: maximal runs of repeated ``passage``-byte strings
+that hold more than ``PASSAGE_WORDS`` words; nothing of them is removed.
+
+Only suffixes at anchors are sorted.  A window of bytes has as its anchor the
+least hash of ``GRAM`` bytes in its first ``HEAD`` bytes, the leftmost if several
+are least; equal windows have their anchor at the same place.  What decides the
+windows of an anchor is its context: the ``width`` bytes from it on, then the
+bytes before it backwards, HEAD - GRAM of them.  All windows of an anchor share
+its first ``passage - HEAD + GRAM`` bytes.
+
+1. Documents are dealt into blocks of about BLOCK_BYTES, once; all steps read
+   that same shuffle.
 2. As in string sorting with distinguishing prefixes, hashes of the shared
-   beginnings are exchanged first (each once a block): a suffix whose beginning
-   occurs once cannot be part of a repeat, and is not sent at all.
+   beginnings are exchanged first, as rows, each once a block: a suffix whose
+   beginning occurs once cannot be part of a repeat, and is not sent at all.
 3. A block sorts the contexts of the others into runs, one for each group of
-   beginnings, equal contexts once, and sends them front-coded: the length of
-   the prefix shared with the one before, and the rest.
-4. A group combines its runs by a loser tree over (common prefix, string): two
-   heads with different common prefixes with the last winner need no look at their
-   bytes, and others are compared behind the common prefix only.  The tree also
-   yields the common prefix of each output with the one before it.
+   beginnings, equal contexts once, and sends them front-coded: a row for each
+   context, with the length of the prefix shared with the one before, and the rest.
+4. A group (sized so that about GROUP_BYTES of text belong to it) combines its
+   runs by a loser tree over (common prefix, string): two heads with different
+   common prefixes with the last winner need no look at their bytes, and others
+   are compared behind the common prefix only.  The tree also yields the common
+   prefix of each output with the one before it.
 5. In that order the contexts with equal beginnings of any length are neighbours.
    For each possible distance of the window's start before the anchor, contexts
-   that agree in the bytes on both sides are repeats.  The repeated windows of an
-   anchor overlap, so they make one interval.
-6. The intervals go back to the blocks.
+   that agree in the bytes on both sides are repeats; ranks by common prefixes of
+   both sides tell that, not hashes.  The repeated windows of an anchor overlap,
+   so they make one interval.
+6. The intervals, a row each, go back to the blocks.
+
+Rows follow the data alone: distinct beginnings of a block, contexts with a
+repeated beginning, and intervals; not partitions, blocks or groups.
 
 Contexts that a block holds twice are repeats: the block settles their places by
 itself, and sends such a context once, as a partner for other blocks.  A
-beginning that occurs more than MOST_PLACES times would still bring many
+beginning that occurs more than ``most_places`` times would still bring many
 different contexts (around a passage that very many documents share) to one
-group.  Its windows are dealt by their own 128-bit hashes instead, each once a
-block, so that no group grows with the number of documents that share a passage.
+group.  Its windows are dealt by their own 128-bit BLAKE2 digests instead, each
+once a block, so that no group grows with the number of documents that share a
+passage.
 
 Defined cases: null text is empty; texts under ``width`` bytes lose nothing;
 repeated rows are other places like any; null or equal ids keep a row each; an
 empty table gives an empty result; extra columns are ignored.  Texts are UTF-8,
-so the byte 255 never occurs in them, and pads contexts at a text's ends.
+so the byte 255 never occurs in them, and pads contexts at a text's ends.  Rows
+are numbered by partition and order: the input must read the same when it is read
+again, as tables do (``settle`` others first).
 """
 
 from __future__ import annotations
@@ -46,23 +57,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_width
 from .packed import pack_bytes, unpack_bytes
 
-WIDTH = 400
-HEAD = 200
+WIDTH, PASSAGE = 400, 256
+PASSAGE_WORDS = 50
+HEAD = 128
 GRAM = 8
 PAD = 255
 #: Odd multipliers of the hashes of bytes.
 STIR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-BLOCKS_A_PARTITION = 2
+#: Bytes of text of a block and of a group on average, and places whose hashes are held at once.
+BLOCK_BYTES, GROUP_BYTES, PIECE = 8 << 20, 4 << 20, 1 << 20
 MOST_PLACES = 4096
-#: Groups of windows, and rows that are settled already, are numbered below zero.
+#: Groups of windows, and intervals that are settled already, are numbered below zero.
 WINDOWS, SETTLED = -(1 << 40), -1
-PLACE = np.dtype([("hash", "V16"), ("row", "<i8"), ("start", "<u4"), ("twice", "u1")])
+PLACE = np.dtype([("hash", "V16"), ("row", "<i8"), ("start", "<u4"), ("width", "<u4"), ("twice", "u1")])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -71,52 +84,61 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Texts:
-    """Texts of a block in one buffer, with the hashes of each 8 bytes."""
+    """Texts of a block in one buffer; windows of the least of ``widths`` have anchors, contexts reach the greatest."""
 
-    def __init__(self, texts: list[bytes], width: int = WIDTH):
-        self.width, self.texts = width, texts
+    def __init__(self, texts: list[bytes], widths: tuple[int, ...] = (WIDTH, PASSAGE)):
+        self.widths, self.least, self.width, self.texts = widths, min(widths), max(widths), texts
+        self.head = min(HEAD, self.least)
+        self.back = self.head - GRAM
         self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
-        self.data = np.frombuffer(b"".join(texts) + bytes(GRAM), np.uint8)
-        self.words = np.ndarray((len(self.data) - GRAM + 1,), "<u8", self.data.tobytes(), strides=(1,))
+        data = b"".join(texts) + bytes(GRAM)
+        self.size = len(data) - GRAM
+        self.words = np.ndarray((self.size + 1,), "<u8", data, strides=(1,))
 
     def anchors(self) -> np.ndarray:
-        """Places of the anchors of all windows, ascending."""
-        head = min(HEAD, self.width)
-        grams = head - GRAM + 1
-        n = len(self.data) - GRAM
-        if not (self.lengths >= self.width).any():
-            return np.empty(0, np.int64)
-        key = (mixed(self.words[:n]) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
-        size = 1
-        while size * 2 <= grams:
-            key = np.minimum(key[:-size], key[size:]) if len(key) > size else key[:0]
-            size *= 2
-        if size < grams:
-            key = np.minimum(key[: len(key) - (grams - size)], key[grams - size :])
-        # windows that end inside the text they start in
-        counts = np.maximum(self.lengths - self.width + 1, 0)
+        """Places of the anchors of all windows, ascending; a piece of the buffer at a time."""
+        counts = np.maximum(self.lengths - self.least + 1, 0)
         full = np.flatnonzero(counts)
-        begin = np.repeat(self.starts[full], counts[full]) + (np.arange(counts[full].sum()) - np.repeat(np.cumsum(counts[full]) - counts[full], counts[full]))
-        place = (key[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        return place[np.concatenate([[True], place[1:] != place[:-1]])]
+        edge = np.zeros(self.size + 1, np.int8)
+        edge[self.starts[full]] += 1
+        edge[self.starts[full] + counts[full]] -= 1
+        inside = np.cumsum(edge, dtype=np.int8).astype(bool)
+        grams = self.head - GRAM + 1
+        found, last = [], -1
+        for at in range(0, self.size, PIECE):
+            begin = np.flatnonzero(inside[at : at + PIECE])
+            if not len(begin):
+                continue
+            words = self.words[at : min(at + PIECE + grams, self.size)]
+            key = (mixed(words) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(words), dtype=np.uint64)
+            reach = 1
+            while reach * 2 <= grams:
+                key = np.minimum(key[:-reach], key[reach:])
+                reach *= 2
+            if reach < grams:
+                key = np.minimum(key[: len(key) - (grams - reach)], key[grams - reach :])
+            place = (key[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64) + at
+            place = place[np.concatenate([place[:1] != last, place[1:] != place[:-1]])]
+            if len(place):
+                found.append(place)
+                last = place[-1]
+        return np.concatenate(found) if found else np.empty(0, np.int64)
 
     def beginnings(self, anchors: np.ndarray) -> np.ndarray:
         """Hashes of the bytes that all windows of an anchor share."""
-        shared = self.width - min(HEAD, self.width) + GRAM
+        shared = self.least - self.head + GRAM
         state = np.full(len(anchors), shared, np.uint64)
         for at in [*range(0, shared - GRAM, GRAM), shared - GRAM]:
             state = mixed(state ^ self.words[anchors + at]) * SPREAD
         return state
 
     def context(self, anchor: int, text: int) -> bytes:
-        """``width`` bytes forwards, then back from before the anchor; padded at the text's ends."""
-        start, end = int(self.starts[text]), int(self.ends[text])
-        back = min(HEAD, self.width) - GRAM
-        after = self.texts[text][anchor - start : anchor - start + self.width]
-        before = self.texts[text][max(0, anchor - start - back) : anchor - start][::-1]
-        return after.ljust(self.width, b"\xff") + before.ljust(back, b"\xff")
+        """``width`` bytes forwards, then ``back`` from before the anchor; padded at the text's ends."""
+        at, own = anchor - int(self.starts[text]), self.texts[text]
+        after, before = own[at : at + self.width], own[max(0, at - self.back) : at][::-1]
+        return after.ljust(self.width, b"\xff") + before.ljust(self.back, b"\xff")
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -179,274 +201,273 @@ class PrefixLoserTree:
             self._play(w)
 
 
-def front_coded(strings: list[bytes]) -> tuple[np.ndarray, bytes]:
-    """(common prefix with the one before, rests) of ascending strings."""
-    shared, rests, before = np.zeros(len(strings), "<u2"), [], b""
+def front_coded(strings: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(common prefix with the one before, rest) of ascending strings."""
+    before = b""
     for k, s in enumerate(strings):
-        if k:
-            shared[k] = common_prefix(before, s, 0)
-        rests.append(s[int(shared[k]) :])
+        p = common_prefix(before, s, 0) if k else 0
+        yield p, s[p:]
         before = s
-    return shared, b"".join(rests)
 
 
-def decoded(shared: np.ndarray, rests: bytes, size: int, payloads: list) -> Iterator[tuple[int, bytes, object]]:
-    before, at = b"", 0
-    for p, payload in zip(shared.tolist(), payloads):
-        before = before[:p] + rests[at : at + size - p]
-        at += size - p
+def decoded(shared: list[int], rests: list[bytes], payloads: list) -> Iterator[tuple[int, bytes, object]]:
+    before = b""
+    for p, rest, payload in zip(shared, rests, payloads):
+        before = before[:p] + rest
         yield p, before, payload
 
 
-def repeats(shared: np.ndarray, contexts: np.ndarray, times: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest distance of a repeated window's start before the anchor (least > greatest: none).
+def _extent(contexts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the text from the anchor on, and before it, that each context holds."""
+    return (contexts[:, :width] != PAD).sum(axis=1), (contexts[:, width:] != PAD).sum(axis=1)
+
 
-    ``contexts`` are different, ascending byte rows, ``shared`` their common
-    prefixes with the row before, ``times`` how often each occurs.
+def repeats(shared: np.ndarray, contexts: np.ndarray, times: np.ndarray, size: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest distance of a repeated ``size``-byte window's start before the anchor (least > greatest: none).
+
+    ``contexts`` are different, ascending byte rows, ``width`` bytes forwards and the rest
+    backwards; ``shared`` their common prefixes with the row before, ``times`` how often each occurs.
     """
     n, back = len(contexts), contexts.shape[1] - width
-    ahead = (contexts[:, :width] != PAD).sum(axis=1)
-    behind = (contexts[:, width:] != PAD).sum(axis=1)
-    least, most = np.full(n, back + 1), np.full(n, -1)
-    left = np.zeros(n, np.uint64)
+    ahead, behind = _extent(contexts, width)
+    low = np.maximum(0, size - ahead)
+    # a context that occurs twice repeats in every window that it holds
+    twice = (times > 1) & (behind >= low)
+    least, most = np.where(twice, low, back + 1), np.where(twice, behind, -1)
+    beginning = shared < size - back
+    alone = beginning & np.append(beginning[1:], True)
+    left = np.flatnonzero(~alone)
+    if not len(left):
+        return least, most
+    # ranks of the bytes before the anchor: rows that agree in the first a of them are neighbours in this order
+    behinds = np.ascontiguousarray(contexts[left, width:])
+    by_back = np.array(sorted(range(len(left)), key=[x.tobytes() for x in behinds].__getitem__))
+    equal = behinds[by_back[1:]] == behinds[by_back[:-1]]
+    agree = np.append(0, np.where(equal.all(axis=1), back, equal.argmin(axis=1)))
+    ahead, behind, times = ahead[left], behind[left], times[left]
+    n = len(left)
     for a in range(back + 1):
-        if a:
-            left = mixed((left ^ contexts[:, width + a - 1].astype(np.uint64)) + SPREAD) * STIR
-        valid = (ahead >= width - a) & (behind >= a)
-        rows = np.flatnonzero(valid)
-        if not len(rows):
+        rows = np.flatnonzero((ahead >= size - a) & (behind >= a))
+        if len(rows) < 2:
             continue
-        # contexts that agree in the first width - a bytes are neighbours
-        beginning = np.cumsum(shared < width - a)[rows].astype(np.uint64)
-        key = mixed(beginning * SPREAD + left[rows])
-        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[by_back] = np.cumsum(agree < a)
+        # contexts that agree in the first size - a bytes are neighbours
+        key = np.cumsum(shared < size - a)[left[rows]] * (n + 1) + rank[rows]
+        order = np.argsort(key)
         ranked = key[order]
         same = ranked[1:] == ranked[:-1]
-        twice = np.zeros(len(rows), bool)
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
-        hit = rows[twice | (times[rows] > 1)]
+        met = np.zeros(len(rows), bool)
+        met[order[1:]] |= same
+        met[order[:-1]] |= same
+        hit = left[rows[met]]
         least[hit] = np.minimum(least[hit], a)
-        most[hit] = a
+        most[hit] = np.maximum(most[hit], a)
     return least, most
 
 
 # --- Spark steps; each works on the rows of one key ------------------------------------------------
 
-PARTS = "part long, block long, body binary"
+#: A context of a run (part >= 0), packed windows (part <= WINDOWS), or an interval of a width that is settled.
+RUNS = "part long, block long, seq int, shared int, rest binary, times int, row long, start long, end long, width int"
+INTERVALS = "block long, row long, start long, end long, width int"
 
 
-def _parts(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.int64()), "body": pa.array([r[2] for r in rows], pa.binary())})
+def _table(schema: str, *columns) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns)})
 
 
-def _texts_of(block: pa.Table, width: int) -> tuple[np.ndarray, Texts]:
+def _texts_of(block: pa.Table, widths: tuple[int, ...]) -> tuple[np.ndarray, Texts]:
     """Row numbers and texts of a block, in order of the row numbers: shuffles keep no order."""
     rows = block.column("row").to_numpy()
     order = np.argsort(rows)
-    return rows[order], Texts(block.column("text").take(pa.array(order)).to_pylist(), width)
+    return rows[order], Texts(block.column("text").take(pa.array(order)).to_pylist(), widths)
 
 
-def _send_beginnings(groups: int, width: int):
+def _send_beginnings(widths: tuple[int, ...]):
     def run(block: pa.Table) -> pa.Table:
-        _, texts = _texts_of(block, width)
+        _, texts = _texts_of(block, widths)
         found, counts = np.unique(texts.beginnings(texts.anchors()), return_counts=True)
-        group = (found >> np.uint64(32)).astype(np.int64) % groups
         number = block.column("block")[0].as_py()
-        out = []
-        for g in np.unique(group).tolist():
-            mine = group == g
-            out.append((g, number, pack_bytes(found[mine].tobytes(), counts[mine].astype("<u4").tobytes())))
-        return _parts(out)
-
-    return run
-
-
-def _repeated_beginnings(most: int):
-    def run(group: pa.Table) -> pa.Table:
-        """To each block those of its beginnings that occur twice, anywhere, and whether more often than ``most``."""
-        blocks = group.column("block").to_pylist()
-        hashes, counts = [], []
-        for body in group.column("body"):
-            found, count = unpack_bytes(body.as_py())
-            hashes.append(np.frombuffer(found, np.uint64))
-            counts.append(np.frombuffer(count, "<u4").astype(np.int64))
-        every, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(at, np.concatenate(counts))
-        out, start = [], 0
-        for block, found in zip(blocks, hashes):
-            here = total[at[start : start + len(found)]]
-            start += len(found)
-            if (here > 1).any():
-                out.append((0, block, pack_bytes(found[here > 1].tobytes(), (here[here > 1] > most).astype("u1").tobytes())))
-        return _parts(out)
+        return _table("block long, begin long, times long", np.full(len(found), number), found.view(np.int64), counts)
 
     return run
 
 
-def _intervals(rows, start, end) -> bytes:
-    return pack_bytes(np.asarray(rows).astype("<i8").tobytes(), np.asarray(start).astype("<u4").tobytes(), np.asarray(end).astype("<u4").tobytes())
+def _settled(held: list[tuple[int, int]], context: bytes, widths: tuple[int, ...]) -> Iterator[tuple[int, int, int, int]]:
+    """(row, start, end, width) for places of one context that a block holds twice."""
+    (ahead,), (behind,) = _extent(np.frombuffer(context, np.uint8)[None, :], max(widths))
+    for size in widths:
+        low = max(0, size - int(ahead))
+        if behind >= low:
+            yield from ((row, at - int(behind), at - low + size, size) for row, at in held)
 
 
-def _window_rows(contexts: dict[bytes, list[int]], number: int, groups: int, row, place, width: int) -> list[tuple[int, int, bytes]]:
-    """A block's windows of crowded beginnings: each once, with a place to take out if it turns out to repeat."""
-    found: dict[bytes, dict[tuple[int, int], None]] = {}
+def _window_rows(contexts: dict[bytes, list[tuple[int, int]]], groups: int, widths: tuple[int, ...]) -> tuple[dict[int, list], list[tuple[int, int, int, int]]]:
+    """A block's windows of crowded beginnings by group: each once, with a place to take out if it turns out to repeat; and settled intervals."""
+    width, found = max(widths), {}
     for context, places in contexts.items():
-        ahead, behind = _extent(context, width)
+        (ahead,), (behind,) = _extent(np.frombuffer(context, np.uint8)[None, :], width)
+        ahead, behind = int(ahead), int(behind)
         line = context[width : width + behind][::-1] + context[:ahead]
-        for a in range(max(0, width - ahead), behind + 1):
-            key = hashlib.blake2b(line[behind - a : behind - a + width], digest_size=16).digest()
-            # a window has several anchors: places count once.  Two of a context show that its windows repeat
-            found.setdefault(key, {}).update({(int(row[k]), int(place[k]) - a): None for k in places[:2]})
+        for size in widths:
+            for a in range(max(0, size - ahead), behind + 1):
+                key = (hashlib.blake2b(line[behind - a : behind - a + size], digest_size=16).digest(), size)
+                # a window has several anchors: places count once.  Two of a context show that its windows repeat
+                found.setdefault(key, {}).update({(row, at - a): None for row, at in places[:2]})
     out: dict[int, list] = {}
-    settled: list[tuple[int, int, int]] = []
-    for key, held in found.items():
+    settled = []
+    for (key, size), held in found.items():
         first = next(iter(held))
-        out.setdefault(int.from_bytes(key[:4], "little") % groups, []).append((key, *first, len(held) > 1))
+        out.setdefault(int.from_bytes(key[:6], "little") % groups, []).append((key, *first, size, len(held) > 1))
         if len(held) > 1:
-            settled += [(r, start, start + width) for r, start in held]
-    made = [(WINDOWS - g, number, pack_bytes(np.array(x, PLACE).tobytes())) for g, x in out.items()]
-    if settled:
-        made.append((SETTLED - number, number, _intervals(*zip(*settled))))
-    return made
-
+            settled += [(r, start, start + size, size) for r, start in held]
+    return out, settled
 
-def _extent(context: bytes, width: int) -> tuple[int, int]:
-    """Bytes of the text from the anchor on, and before it, that a context holds."""
-    after, before = context[:width].find(b"\xff"), context[width:].find(b"\xff")
-    return (width if after < 0 else after), (len(context) - width if before < 0 else before)
 
-
-def _send_runs(groups: int, width: int):
+def _send_runs(groups: int, widths: tuple[int, ...]):
     def run(block: pa.Table, repeated: pa.Table) -> pa.Table:
         if not block.num_rows or not repeated.num_rows:
-            return _parts([])
-        rows, texts = _texts_of(block, width)
+            return _table(RUNS, *[[]] * 10)
+        rows, texts = _texts_of(block, widths)
         anchors = texts.anchors()
         begin = texts.beginnings(anchors)
-        sent = [unpack_bytes(b.as_py()) for b in repeated.column("body")]
-        wanted = np.concatenate([np.frombuffer(w, np.uint64) for w, _ in sent])
-        crowded = np.concatenate([np.frombuffer(c, "u1") for _, c in sent])[np.argsort(wanted)].astype(bool)
-        wanted = np.sort(wanted)
+        wanted = repeated.column("begin").to_numpy().view(np.uint64)
+        order = np.argsort(wanted)
+        wanted, crowded = wanted[order], repeated.column("crowded").to_numpy()[order]
         at = np.minimum(np.searchsorted(wanted, begin), len(wanted) - 1)
         hit = wanted[at] == begin
-        anchors, begin, crowded = anchors[hit], begin[hit], crowded[at[hit]]
+        anchors, begin, crowded = anchors[hit], begin[hit], crowded[at[hit]].astype(bool)
         owner = np.searchsorted(texts.ends, anchors, side="right")
-        row, place = rows[owner], anchors - texts.starts[owner]
-        group = np.where(crowded, groups, (mixed(begin) >> np.uint64(20)).astype(np.int64) % groups)
+        place = anchors - texts.starts[owner]
+        group = np.where(crowded, groups, (mixed(begin) >> np.uint64(1)).astype(np.int64) % groups)
+        held: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+        for g, a, o, r, p in zip(group.tolist(), anchors.tolist(), owner.tolist(), rows[owner].tolist(), place.tolist()):
+            held.setdefault(g, {}).setdefault(texts.context(a, o), []).append((r, p))
         number = block.column("block")[0].as_py()
-        out, settled = [], []
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(groups + 2))
-        for g in range(groups + 1):
-            mine = order[cuts[g] : cuts[g + 1]]
-            if not len(mine):
-                continue
-            places: dict[bytes, list[int]] = {}
-            for k in mine.tolist():
-                places.setdefault(texts.context(int(anchors[k]), int(owner[k])), []).append(k)
-            for context, held in places.items():
-                if len(held) > 1:
-                    ahead, behind = _extent(context, width)
-                    if behind >= width - ahead:
-                        settled += [(row[k], place[k] - behind, place[k] - max(0, width - ahead) + width) for k in held]
-            if g == groups:
-                out += _window_rows(places, number, groups, row, place, width)
-                continue
+        crowd, settled = held.pop(groups, {}), []
+        out: list[tuple] = []
+        for g, places in held.items():
             strings = sorted(places)
-            shared, rests = front_coded(strings)
-            times = np.array([min(2, len(places[s])) for s in strings], "u1")
-            chosen = np.array([places[s][0] for s in strings], np.int64)
-            out.append((g, number, pack_bytes(shared.tobytes(), rests, times.tobytes(), row[chosen].astype("<i8").tobytes(), place[chosen].astype("<u4").tobytes())))
-        if settled:
-            out.append((SETTLED - number, number, _intervals(*zip(*settled))))
-        return _parts(out)
+            for k, (s, (shared, rest)) in enumerate(zip(strings, front_coded(strings))):
+                row, start = places[s][0]
+                out.append((g, number, k, shared, rest, min(2, len(places[s])), row, start, None, None))
+        windows, settled = _window_rows(crowd, groups, widths)
+        out += [(WINDOWS - g, number, None, None, pack_bytes(np.array(x, PLACE).tobytes()), None, None, None, None, None) for g, x in windows.items()]
+        for places in (crowd, *held.values()):
+            for context, twice in places.items():
+                if len(twice) > 1:
+                    settled += _settled(twice, context, widths)
+        out += [(SETTLED - number, number, None, None, None, None, *x) for x in settled]
+        return _table(RUNS, *(zip(*out) if out else [[]] * 10))
 
     return run
 
 
-def _merge_group(width: int):
-    size = width + min(HEAD, width) - GRAM
-
-    def to_blocks(block_of, rows, start, end) -> pa.Table:
-        return _parts([(0, b, _intervals(rows[block_of == b], start[block_of == b], end[block_of == b])) for b in np.unique(block_of).tolist()])
+def _merge_group(widths: tuple[int, ...]):
+    width = max(widths)
 
     def run(group: pa.Table) -> pa.Table:
-        if not group.num_rows or SETTLED >= group.column("part")[0].as_py() > WINDOWS:
-            return group
-        blocks = group.column("block").to_pylist()
-        if group.column("part")[0].as_py() <= WINDOWS:
-            found = [np.frombuffer(unpack_bytes(b.as_py())[0], PLACE) for b in group.column("body")]
+        part = group.column("part")[0].as_py()
+        if SETTLED >= part > WINDOWS:
+            return group.select(["block", "row", "start", "end", "width"])
+        block = group.column("block").to_numpy()
+        if part <= WINDOWS:
+            found = [np.frombuffer(unpack_bytes(b.as_py())[0], PLACE) for b in group.column("rest")]
             every = np.concatenate(found)
             _, at = np.unique(every["hash"], return_inverse=True)
             hit = np.bincount(at, 1 + every["twice"])[at] > 1
-            start = every["start"].astype(np.int64)[hit]
-            return to_blocks(np.repeat(blocks, [len(f) for f in found])[hit], every["row"][hit], start, start + width)
-        runs, owners, places, often = [], [], [], []
-        base = 0
-        for body in group.column("body"):
-            shared, rests, times, rows, at = unpack_bytes(body.as_py())
-            often.append(np.frombuffer(times, "u1"))
-            owners.append(np.frombuffer(rows, "<i8"))
-            places.append(np.frombuffer(at, "<u4").astype(np.int64))
-            runs.append(decoded(np.frombuffer(shared, "<u2"), rests, size, list(range(base, base + len(often[-1])))))
-            base += len(often[-1])
-        row_of, place_of, often = np.concatenate(owners), np.concatenate(places), np.concatenate(often)
-        block_of = np.repeat(blocks, [len(x) for x in owners])
-        shared, strings, times, context_of = [], [], [], np.empty(base, np.int64)
+            every, block = every[hit], np.repeat(block, [len(f) for f in found])[hit]
+            start, size = every["start"].astype(np.int64), every["width"].astype(np.int32)
+            return _table(INTERVALS, block, every["row"], start, start + size, size)
+        order = np.lexsort((group.column("seq").to_numpy(), block))
+        group, block = group.take(pa.array(order)), block[order]
+        shared, rests = group.column("shared").to_pylist(), group.column("rest").to_pylist()
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        runs = [decoded(shared[a:b], rests[a:b], list(range(a, b))) for a, b in zip(cuts, cuts[1:])]
+        often, prefixes, strings, times, context_of = group.column("times").to_pylist(), [], [], [], np.empty(len(block), np.int64)
         for p, s, k in PrefixLoserTree(runs):
-            if p < size or not strings:
-                shared.append(p if strings else 0)
+            if not strings or p < len(s):
+                prefixes.append(p if strings else 0)
                 strings.append(s)
                 times.append(0)
-            times[-1] += int(often[k])
+            times[-1] += often[k]
             context_of[k] = len(strings) - 1
-        contexts = np.frombuffer(b"".join(strings), np.uint8).reshape(len(strings), size)
-        least, most = repeats(np.array(shared), contexts, np.array(times), width)
-        start, end = place_of - most[context_of], place_of - least[context_of] + width
-        kept = least[context_of] <= most[context_of]
-        return to_blocks(block_of[kept], row_of[kept], start[kept], end[kept])
+        contexts = np.frombuffer(b"".join(strings), np.uint8).reshape(len(strings), -1)
+        row, place = group.column("row").to_numpy(), group.column("start").to_numpy()
+        made = []
+        for size in widths:
+            least, most = (x[context_of] for x in repeats(np.array(prefixes), contexts, np.array(times), size, width))
+            kept = least <= most
+            made.append(_table(INTERVALS, block[kept], row[kept], (place - most)[kept], (place - least)[kept] + size, np.full(int(kept.sum()), size, np.int32)))
+        return pa.concat_tables(made)
 
     return run
 
 
-RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, passages array<struct<start:long,end:long>>"
+
 
+def joined_spans(found: list[tuple[int, int]]) -> list[list[int]]:
+    """Maximal runs of intervals that overlap or touch."""
+    spans: list[list[int]] = []
+    for s, e in sorted(found):
+        if spans and s <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], e)
+        else:
+            spans.append([s, e])
+    return spans
 
-def _removed(with_bytes: bool):
+
+def _removed(with_bytes: bool, width: int, passage: int | None):
     def run(block: pa.Table, intervals: pa.Table) -> pa.Table:
-        found: dict[int, list[tuple[int, int]]] = {}
-        for body in intervals.column("body"):
-            rows, start, end = (np.frombuffer(x, t).tolist() for x, t in zip(unpack_bytes(body.as_py()), ("<i8", "<u4", "<u4")))
-            for r, s, e in zip(rows, start, end):
-                found.setdefault(r, []).append((s, e))
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r, s, e, w in zip(*(intervals.column(c).to_pylist() for c in ("row", "start", "end", "width"))):
+            found.setdefault((r, w), []).append((s, e))
         out = []
         for id_, row, text in zip(*(block.column(c).to_pylist() for c in ("id", "row", "text"))):
-            spans: list[list[int]] = []
-            for s, e in sorted(found.get(row, ())):
-                if spans and s <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], e)
-                else:
-                    spans.append([s, e])
+            spans = joined_spans(found.get((row, width), []))
             cuts = [0, *(x for span in spans for x in span), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
-            out.append((id_, len(text), len(text) - len(kept), len(spans), kept if with_bytes else None, hashlib.sha256(kept).hexdigest()))
-        columns = list(zip(*out)) or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-        return pa.table(dict(zip(("id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"), (pa.array(c, t) for c, t in zip(columns, kinds)))))
+            passages = [{"start": a, "end": b} for a, b in joined_spans(found.get((row, passage), [])) if len(text[a:b].split()) > PASSAGE_WORDS]
+            out.append((id_, len(text), len(text) - len(kept), len(spans), kept if with_bytes else None, hashlib.sha256(kept).hexdigest(), passages))
+        columns = list(zip(*out)) or [[]] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        return pa.table(dict(zip(("id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "passages"), (pa.array(c, t) for c, t in zip(columns, kinds)))))
 
     return run
 
 
-def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, with_bytes: bool = True, most_places: int = MOST_PLACES) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept, kept_sha256) of each row; ``kept`` is null unless ``with_bytes``."""
-    n = shuffle_width(docs.sparkSession)
-    blocks, groups = n * BLOCKS_A_PARTITION, n * 2
+def without_repeats(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    width: int = WIDTH,
+    with_bytes: bool = True,
+    most_places: int = MOST_PLACES,
+    passage: int | None = PASSAGE,
+    block_bytes: int = BLOCK_BYTES,
+    group_bytes: int = GROUP_BYTES,
+) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept, kept_sha256, passages) of each row.
+
+    ``kept`` is null unless ``with_bytes``.  ``passages`` are byte ranges of repeated runs of over
+    PASSAGE_WORDS words and at least ``passage`` bytes, at most ``width``; none if ``passage`` is None.
+    """
+    if passage is not None and not GRAM <= passage <= width:
+        raise ValueError("passage must not exceed width")
+    widths = (width,) if passage in (None, width) else (width, passage)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary")
     given = docs.select(F.col(id_column).cast("long").alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, groups = 1 + total // block_bytes, 1 + total // group_bytes
+    n = max(shuffle_width(docs.sparkSession), 1 + blocks // 16)
     dealt = given.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).repartition(n, "block")
-    beginnings = dealt.groupBy("block").applyInArrow(_send_beginnings(groups, width), PARTS)
-    repeated = beginnings.groupBy("part").applyInArrow(_repeated_beginnings(most_places), PARTS)
-    runs = dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_send_runs(groups, width), PARTS)
-    intervals = runs.groupBy("part").applyInArrow(_merge_group(width), PARTS)
-    return dealt.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(_removed(with_bytes), RESULT)
+    beginnings = dealt.groupBy("block").applyInArrow(_send_beginnings(widths), "block long, begin long, times long")
+    everywhere = F.sum("times").over(Window.partitionBy("begin"))
+    repeated = beginnings.withColumn("places", everywhere).where("places > 1").select("block", "begin", (F.col("places") > most_places).cast("int").alias("crowded"))
+    runs = dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_send_runs(groups, widths), RUNS)
+    intervals = runs.groupBy("part").applyInArrow(_merge_group(widths), INTERVALS)
+    return dealt.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(_removed(with_bytes, width, passage), RESULT)

@@ -98,6 +98,23 @@ def substring_dedup(texts, width=400):
     return out
 
 
+def passages(texts, size=256, words=50):
+    """Maximal runs of repeated ``size``-byte strings that hold more than ``words`` words, for each text."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[i : i + size] for d in data for i in range(len(d) - size + 1))
+    out = []
+    for d in data:
+        spans = []
+        for i in range(len(d) - size + 1):
+            if seen[d[i : i + size]] > 1:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + size
+                else:
+                    spans.append([i, i + size])
+        out.append([(a, b) for a, b in spans if len(d[a:b].split()) > words])
+    return out
+
+
 def top_k(vectors, k=5):
     """{query: [(id, score)]} with floor(256 x) components; queries are ids divisible by 50."""
     import math

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import reference as R
 from pyspark.sql import functions as F
@@ -316,8 +317,9 @@ def test_token_counts(spark, sf_dir, sample, docs, empty):
 def test_suffix_dedup(spark, sf_dir, sample):
     rows = queries.op7_suffix_dedup(spark, sf_dir).collect()
     ids = sorted(sample)
-    want = dict(zip(ids, R.substring_dedup([sample[i].text for i in ids])))
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
+    texts = [sample[i].text for i in ids]
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == dict(zip(ids, R.substring_dedup(texts)))
+    assert {r.doc_id: r.n_passages for r in rows} == {i: len(x) for i, x in zip(ids, R.passages(texts))}
 
 
 @pytest.mark.parametrize("seed,most", [(0, 4096), (1, 4096), (2, 1), (3, 1), (4, 5)])
@@ -328,19 +330,59 @@ def test_suffix_dedup_of_overlaps_and_runs(spark, seed, most):
     texts = [word(rng.integers(0, 300)) + "".join(x + word(rng.integers(0, 3)) for x in rng.choice(shared, rng.integers(0, 3))) + word(rng.integers(0, 300)) for _ in range(40)]
     texts += ["a" * 1000, "ab" * 700, None, "", texts[0], texts[0], "\n".join(["a repeated line"] * 60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    rows = suffixes.without_repeats(docs, most_places=most).collect()
+    rows = suffixes.without_repeats(docs, most_places=most, block_bytes=4000 * (1 + seed), group_bytes=3000, passage=(256, 120, 400, None, 256)[seed]).collect()
     want = dict(enumerate(R.substring_dedup(texts)))
     assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
 
 
+def test_passages_by_length(spark):
+    """Passages of 51 to 120 words in two texts each: marked from 256 bytes on, removed from 400 on."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    texts = []
+    for n in [20, 30, *range(51, 121, 6)]:
+        passage = line(n)
+        texts += [f"{line(40)} {passage} {line(40)}", f"{line(90)} {passage} {line(9)}"]
+    docs = spark.createDataFrame(list(enumerate([*texts, line(300)])), "doc_id long, text string").repartition(3)
+    rows = {r.id: r for r in suffixes.without_repeats(docs).collect()}
+    want = R.substring_dedup(texts)
+    for k, n in enumerate([20, 30, *range(51, 121, 6)]):
+        for i in (2 * k, 2 * k + 1):
+            assert len(rows[i].passages) == (n > 50)
+            assert rows[i].n_removed == want[i][1]
+    assert rows[len(texts)].passages == [] and rows[len(texts)].n_removed == 0
+
+
+def test_messages_follow_the_data(spark, sf_dir):
+    """Rows between the steps do not grow with the number of shuffle partitions."""
+    made = []
+    for width in (4, 211):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        try:
+            docs = queries.table(spark, sf_dir, "documents")
+            cut = suffixes.without_repeats(docs, with_bytes=False)
+            cut.write.format("noop").mode("overwrite").save()
+            made.append(sorted(map(tuple, cut.select("id", "n_removed", "kept_sha256").collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert made[0] == made[1]
+    texts = suffixes.Texts([(r.text or "").encode() for r in docs.collect()])
+    found = np.unique(texts.beginnings(texts.anchors()), return_counts=True)
+    block = pa.table({"block": [0] * len(texts.texts), "row": list(range(len(texts.texts))), "text": pa.array(texts.texts, pa.binary())})
+    repeated = pa.table({"begin": found[0][found[1] > 1].view(np.int64), "crowded": np.zeros(int((found[1] > 1).sum()), np.int32)})
+    sent = [suffixes._send_runs(groups, texts.widths)(block, repeated) for groups in (8, 4000)]
+    assert sent[0].num_rows == sent[1].num_rows <= found[1][found[1] > 1].sum() * 3
+
+
 def test_prefix_loser_tree_merges_in_order():
     rng = np.random.default_rng(4)
     runs, every = [], []
     for k in range(7):
         strings = sorted({"".join(rng.choice(["a", "b"], 12)).encode() for _ in range(rng.integers(0, 40))})
         every += strings
-        shared, rests = suffixes.front_coded(strings)
-        runs.append(suffixes.decoded(shared, rests, 12, list(range(len(strings)))))
+        coded = list(suffixes.front_coded(strings))
+        runs.append(suffixes.decoded([p for p, _ in coded], [x for _, x in coded], list(range(len(strings)))))
     out = list(suffixes.PrefixLoserTree(runs))
     assert [s for _, s, _ in out] == sorted(every)
     for (_, a, _), (p, b, _) in zip(out, out[1:]):
