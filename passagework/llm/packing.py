@@ -9,11 +9,13 @@
    dynamic program over the capacity prices, for each length, the best
    configuration that holds it; those within ``SLACK`` of the best price grow.
 4. ``rounded``: the fractional counts are rounded systematically (floors of
-   running sums), as far as demand lasts; the rest is solved again, and what a
-   few passes leave goes best-fit by decreasing length.
+   running sums), as far as demand lasts; the rest is solved again.  So it goes at
+   every size, from one piece on.  What the passes leave (at most about one piece
+   of each length a pass, whatever the input) goes best-fit by decreasing length.
 5. Every piece gets a rank among those of its length, counted in buckets, and
    ranks map to places by a table whose size ``capacity``, ``ROUNDS`` and
-   ``PASSES`` bound.
+   ``PASSES`` bound.  The table is cut into ranges of ranks, so that a piece meets
+   one or two slots, not all of its length.
 
 Defined cases: null or empty text is one piece, the closing id alone; repeated
 rows are packed as often as they come; null ids are packed like others; an
@@ -214,7 +216,7 @@ def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: i
             found[key] = found.get(key, 0.0) + x
     # scaled so that the demand, by length, is covered once on average
     factor = (natural * share).sum() / (natural * np.minimum(covered, share)).sum() if covered.any() else 0.0
-    return {k: x * min(factor, 1.0) if factor < 1 else x for k, x in found.items()}
+    return {k: x * factor for k, x in found.items()}
 
 
 def rounded(found: dict[tuple[int, ...], float], rest: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
@@ -289,14 +291,14 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     rest = np.array([histogram[int(x)] for x in lengths], np.int64)
     made: list[tuple[tuple[int, ...], int]] = []
     for _ in range(PASSES):
-        left = int(rest.sum())
-        if left < 2000:
-            break
         live = np.flatnonzero(rest)
+        if not len(live):
+            break
         part = rest[live]
-        made += [(tuple(int(live[k]) for k in config), n) for config, n in rounded(fractional(lengths[live], part, capacity), part)]
+        took = rounded(fractional(lengths[live], part, capacity), part)
+        made += [(tuple(int(live[k]) for k in config), n) for config, n in took]
         rest[live] = part
-        if rest.sum() > 0.9 * left:
+        if not took:
             break
     made += greedy(lengths, rest, capacity, SMALL_REST)
     made += best_fit(lengths, rest, capacity)
@@ -321,6 +323,18 @@ def places(configs: list[tuple[list[int], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["p_length", "low", "high", "base", "times", "shift"]).astype("int64")
 
 
+def by_range(slots: pd.DataFrame) -> pd.DataFrame:
+    """Slots with ``wide`` and ``nth``: ranks rank // wide == nth of the length meet these rows; fewer than twice the slots."""
+    most = slots.groupby("p_length")["high"].transform("max")
+    number = slots.groupby("p_length")["high"].transform("size")
+    wide = -(-most // number)
+    first, last = slots["low"] // wide, (slots["high"] - 1) // wide
+    again = (last - first + 1).to_numpy()
+    out = slots.assign(wide=wide, nth=first).loc[slots.index.repeat(again)]
+    out["nth"] += np.arange(len(out)) - np.repeat(np.cumsum(again) - again, again)
+    return out.astype("int64")
+
+
 def ranks(pieces: DataFrame) -> DataFrame:
     """Add ``rank`` (from 0) among the pieces of a length: buckets of each length are numbered in themselves, then after each other."""
     counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
@@ -341,9 +355,14 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
     spark = docs.sparkSession
     pieces = settle(encode(docs, tokenizer_path, id_column, text_column, capacity, closing), "packing-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = places(configurations(histogram, capacity))
-    slots = spark.createDataFrame(pa.Table.from_pandas(table, preserve_index=False)) if len(table) else spark.createDataFrame([], "p_length long, low long, high long, base long, times long, shift long")
-    here = ranks(pieces).join(F.broadcast(slots), (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    table = by_range(places(configurations(histogram, capacity)))
+    if len(table):
+        slots = spark.createDataFrame(pa.Table.from_pandas(table, preserve_index=False))
+    else:
+        slots = spark.createDataFrame([], ", ".join(f"{c} long" for c in table.columns))
+    wide = slots.select(F.col("p_length").alias("length"), "wide").distinct()
+    ranked = ranks(pieces).join(F.broadcast(wide), "length").withColumn("_nth", F.floor(F.col("rank") / F.col("wide"))).drop("wide")
+    here = ranked.join(F.broadcast(slots), (F.col("length") == F.col("p_length")) & (F.col("_nth") == F.col("nth")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     nth = F.col("rank") - F.col("low")
     sequence = F.col("base") + F.floor(nth / F.col("times"))
     return here.select("id", "piece", "start", "length", "crc", sequence.cast("long").alias("sequence"), (F.col("shift") + F.pmod(nth, F.col("times")) * F.col("length")).alias("offset"))
