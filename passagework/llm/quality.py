@@ -7,13 +7,19 @@ Only DataFrame functions are used: texts never leave the JVM.
    corpus, whichever is the finest level with at least ``min_group`` documents that
    enter its estimate.  The estimate of a lang or of the corpus is made of all its
    documents, also of those that are judged by a finer level.
-3. ``mcd`` runs concentration steps per group: the ``coverage`` share of rows
-   with the smallest Mahalanobis distance gives the next mean and covariance,
-   until the log determinants of all groups settle.  The h-th smallest distance
-   comes from a histogram of log distances (a bounded number of bins a group),
+3. ``mcd`` runs concentration steps per group from two starts, as parallel keys of the
+   same aggregations: the mean and covariance of all rows, and the medians with
+   the median absolute deviations, which rows that are less than half cannot move.
+   The ``coverage`` share of rows with the smallest Mahalanobis distance gives the next mean
+   and covariance.  A start keeps its least determinant; steps end when no start of
+   any group gets lower, and a group takes the start with the least.  The h-th smallest
+   distance and the medians come from histograms (a bounded number of bins a group),
    so that no group is ever gathered or sorted in one task.
 4. A document is rejected when its distance exceeds the chi-square cutoff.
 
+Copies of an outlying text that make up less than 1 - ``coverage`` of a group do not enter its
+estimate.
+
 The covariance is regularised by a fixed diagonal (``FLOORS`` squared), since in
 most groups more than ``coverage`` of the documents have no symbol and no
 repeated line at all, and a plain determinant would be zero there.
@@ -38,18 +44,20 @@ from .common import SPACE_CHARS, SPACE_CLASS, settle, text_or_empty
 #: Statistics of the vector and the least spread each is credited with.
 FLOORS = {"v_length": 0.06, "v_symbols": 0.8, "v_lines": 0.12, "v_repeats": 0.12}
 VECTOR = tuple(FLOORS)
-COVERAGE = 0.75
+COVERAGE = 0.6
 TAIL = 1e-5
 MIN_GROUP = 200
 MIN_ESTIMATE = 20
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Concentration steps at most, and the change of a log determinant that ends them.
-STEPS, SETTLED = 8, 1e-3
+#: Fall of a log determinant below which a start is settled.
+SETTLED = 1e-3
 #: Bins of the distance histogram per doubling of the distance.
 BINS = 64
 #: Fixed-point unit of the vector: sums are exact, so that results do not depend on the order of rows.
 UNIT = 1 << 16
+#: Width of the bins of the medians, in units; and what makes a median absolute deviation a standard deviation of normal rows.
+MIDDLE, NORMAL = UNIT // 256, 1.4826
 
 
 def chi_square_cdf(x: float, p: int) -> float:
@@ -227,38 +235,73 @@ def distance_bin() -> Column:
     return F.least(F.floor(F.log2(F.col("_q_d2") + 1) * BINS), F.lit(BINS * 64)).cast("int")
 
 
-def mcd(rows: DataFrame, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
-    """Estimates per ``_q_key`` after concentration; ``rows`` holds the key and the vector."""
+def middles(rows: DataFrame, values: list[Column]) -> DataFrame:
+    """``m_0``, ``m_1`` ...: the median of each value (in units) per ``_q_key``, to the middle of its bin."""
+    from pyspark.sql import Window
+
+    bins = F.array(*(F.struct(F.lit(i).alias("i"), F.floor(v / MIDDLE).alias("bin")) for i, v in enumerate(values)))
+    counts = rows.select("_q_key", F.explode(bins).alias("b")).groupBy("_q_key", F.col("b.i").alias("i"), F.col("b.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("_q_key", "i")
+    ranked = counts.withColumns({"upto": F.sum("n").over(whole.orderBy("bin")), "all": F.sum("n").over(whole)})
+    middle = ranked.where(F.col("upto") * 2 >= F.col("all")).groupBy("_q_key", "i").agg(((F.min("bin") + 0.5) * MIDDLE).alias("m"))
+    return middle.groupBy("_q_key").agg(*(F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"m_{i}") for i in range(len(values))))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """First estimates per ``_q_key``, which begins with c for mean and covariance, r for medians and deviations."""
+    p = len(VECTOR)
+    classical = settle(estimates(moments(rows), 1.0), "quality-step")
+    centre = settle(middles(rows, [F.col(v) for v in VECTOR]), "quality-centre")
+    spread = middles(rows.join(centre, "_q_key"), [F.abs(F.col(v) - F.col(f"m_{i}")) for i, v in enumerate(VECTOR)])
+    robust = centre.join(spread.withColumnsRenamed({f"m_{i}": f"d_{i}" for i in range(p)}), "_q_key").join(classical.select("_q_key", "m_n"), "_q_key")
+    width = {i: F.sqrt((NORMAL * F.col(f"d_{i}") / UNIT) ** 2 + FLOORS[v] ** 2) for i, v in enumerate(VECTOR)}
+    robust = robust.select(
+        F.concat(F.lit("r"), "_q_key").alias("_q_key"),
+        "m_n",
+        # no row set has this determinant: the first step's is the first to count
+        F.lit(float("inf")).alias("log_det"),
+        *((F.col(f"m_{i}") / UNIT).alias(f"mu_{i}") for i in range(p)),
+        *((width[i] if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(p) for j in range(i + 1)),
+    )
+    return classical.withColumns({"_q_key": F.concat(F.lit("c"), "_q_key"), "log_det": F.lit(float("inf"))}).unionByName(robust)
+
+
+def step(rows: DataFrame, now: DataFrame, coverage: float) -> DataFrame:
+    """The estimates that the nearest ``coverage`` of each key's rows give."""
     from pyspark.sql import Window
 
-    factor = consistency(coverage, len(VECTOR))
+    placed = distance(rows.join(now, "_q_key")).withColumn("_q_bin", distance_bin())
+    counts = placed.groupBy("_q_key", "_q_bin").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("_q_key")
+    limit = (
+        counts.withColumns({"upto": F.sum("n").over(whole.orderBy("_q_bin")), "all": F.sum("n").over(whole)})
+        .where(F.col("upto") >= F.ceil(F.col("all") * coverage))
+        .groupBy("_q_key")
+        .agg(F.min("_q_bin").alias("_q_limit"))
+    )
+    # the limits are a row for each key; the plan reads the settled estimates and the narrow vectors
+    limit = settle(limit, "quality-limit")
+    inside = placed.select("_q_key", "_q_bin", *VECTOR).join(limit, "_q_key").where(F.col("_q_bin") <= F.col("_q_limit"))
+    return estimates(moments(inside), consistency(coverage, len(VECTOR)))
+
+
+def mcd(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """Estimates per ``_q_key`` after concentration; ``rows`` holds the key and the vector."""
     rows = rows.where(F.col("v_length").isNotNull())
-    now = settle(estimates(moments(rows), 1.0), "quality-step")
-    for _ in range(steps):
-        placed = distance(rows.join(now, "_q_key")).withColumn("_q_bin", distance_bin())
-        counts = placed.groupBy("_q_key", "_q_bin").agg(F.count(F.lit(1)).alias("n"))
-        to_here = Window.partitionBy("_q_key").orderBy("_q_bin")
-        whole = Window.partitionBy("_q_key")
-        limit = (
-            counts.withColumns({"upto": F.sum("n").over(to_here), "all": F.sum("n").over(whole)})
-            .where(F.col("upto") >= F.ceil(F.col("all") * coverage))
-            .groupBy("_q_key")
-            .agg(F.min("_q_bin").alias("_q_limit"))
-        )
-        # the limits are a row for each group; the plan reads the settled estimates and the narrow vectors
-        limit = settle(limit, "quality-limit")
-        inside = placed.select("_q_key", "_q_bin", *VECTOR).join(limit, "_q_key").where(F.col("_q_bin") <= F.col("_q_limit"))
-        after = settle(estimates(moments(inside), factor), "quality-step")
-        change = (
-            after.select("_q_key", F.col("log_det").alias("b"))
-            .join(now.select("_q_key", F.col("log_det").alias("a")), "_q_key")
-            .agg(F.max(F.abs(F.col("b") - F.col("a"))).alias("x"))
-            .first()["x"]
-        )
-        now = after
-        if change is None or change < SETTLED:
+    now = settle(starts(rows), "quality-step")
+    rows = rows.withColumn("_q_key", F.explode(F.array(*(F.concat(F.lit(x), "_q_key") for x in "cr"))))
+    best = None
+    while True:
+        # settled starts take no further step
+        found = settle(step(rows, now, coverage).join(now.select("_q_key", F.col("log_det").alias("_q_before")), "_q_key"), "quality-step")
+        lower = found.where(F.col("log_det") < F.col("_q_before")).drop("_q_before")
+        best = lower if best is None else settle(best.join(lower.select("_q_key"), "_q_key", "left_anti").unionByName(lower), "quality-best")
+        now = found.where(F.col("log_det") < F.col("_q_before") - SETTLED).drop("_q_before")
+        if now.isEmpty():
             break
-    return now
+    group = F.substring("_q_key", 2, 1 << 20)
+    least = best.groupBy(group.alias("_q_group")).agg(F.min(F.struct("log_det", "_q_key"))["_q_key"].alias("_q_key"))
+    return best.join(least, "_q_key").drop("_q_key").withColumnRenamed("_q_group", "_q_key")
 
 
 def quality_rules(docs: DataFrame, lang: str = "lang", source: str = "source", coverage: float = COVERAGE, tail: float = TAIL, min_group: int = MIN_GROUP, carry: list[str] | None = None) -> DataFrame:

@@ -98,6 +98,39 @@ def substring_dedup(texts, width=400):
     return out
 
 
+def mahalanobis(x, used, quality):
+    """Squared distance of each row of ``x`` (in units) from the robust estimate of the ``used`` ones."""
+    import numpy as np
+
+    floors = np.diag(np.array(list(quality.FLOORS.values())) ** 2)
+    factor = quality.consistency(quality.COVERAGE, 4)
+
+    def middle(v):
+        bins = np.sort(np.floor(v / quality.MIDDLE))
+        return (bins[-(-len(bins) // 2) - 1] + 0.5) * quality.MIDDLE
+
+    y, part = x / quality.UNIT, x[used]
+    centre = np.array([middle(part[:, i]) for i in range(4)])
+    spread = np.array([middle(np.abs(part[:, i] - centre[i])) for i in range(4)])
+    found = []
+    for mean, cov in ((y[used].mean(axis=0), np.cov(y[used].T, bias=True) + floors), (centre / quality.UNIT, np.diag((quality.NORMAL * spread / quality.UNIT) ** 2) + floors)):
+        least = np.inf
+        while True:
+            d = np.einsum("ij,jk,ik->i", y - mean, np.linalg.inv(cov), y - mean)
+            bins = np.minimum(np.floor(np.log2(d + 1) * quality.BINS), quality.BINS * 64)
+            inside = used & (bins <= np.sort(bins[used])[int(np.ceil(used.sum() * quality.COVERAGE)) - 1])
+            mean, cov = y[inside].mean(axis=0), factor * np.cov(y[inside].T, bias=True) + floors
+            now = np.linalg.slogdet(cov)[1]
+            if now < least:
+                best = (now, mean, cov)
+            if not now < least - quality.SETTLED:
+                break
+            least = now
+        found.append(best)
+    _, mean, cov = min(found, key=lambda f: f[0])
+    return np.einsum("ij,jk,ik->i", y - mean, np.linalg.inv(cov), y - mean)
+
+
 def passages(texts, size=256, words=50):
     """Maximal runs of repeated ``size``-byte strings that hold more than ``words`` words, for each text."""
     data = [(t or "").encode() for t in texts]

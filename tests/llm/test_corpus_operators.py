@@ -82,25 +82,53 @@ def test_quality_distance_is_mahalanobis_of_the_concentrated_rows(spark):
         lines = [x for x in text.split("\n") if x.split()]
         return [math.log(q["word_chars"] / q["n_words"]), math.log1p(1000 * q["n_symbols"] / q["word_chars"]), q["n_dup_lines"] / len(lines), q["n_repeat_words"] / q["n_words"]]
 
-    x = np.round(np.array([vector(r[1]) for r in rows]) * quality.UNIT) / quality.UNIT
+    x = np.round(np.array([vector(r[1]) for r in rows]) * quality.UNIT).astype(np.int64)
     used = np.array([not R.quality(r[1])["base_failed"] for r in rows])
-    floors = np.diag(np.array(list(quality.FLOORS.values())) ** 2)
-    factor = quality.consistency(quality.COVERAGE, 4)
-    mean, cov = x[used].mean(axis=0), np.cov(x[used].T, bias=True) + floors
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        bins = np.minimum(np.floor(np.log2(d + 1) * quality.BINS), quality.BINS * 64)
-        limit = np.sort(bins[used])[math.ceil(used.sum() * quality.COVERAGE) - 1]
-        inside = used & (bins <= limit)
-        before = np.linalg.slogdet(cov)[1]
-        mean, cov = x[inside].mean(axis=0), factor * np.cov(x[inside].T, bias=True) + floors
-        if abs(np.linalg.slogdet(cov)[1] - before) < quality.SETTLED:
-            break
-    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    d = R.mahalanobis(x, used, quality)
     assert np.allclose([got[i].distance for i in range(400)], d, rtol=1e-3, atol=1e-3)
     assert {i for i, r in got.items() if not r.kept} == {i for i in range(400) if i % 20 == 0}
 
 
+def test_kept_equals_the_model(spark):
+    """The verdict of every document of a table, by (lang, source) or the level above, against numpy."""
+    sf = "/root/testdata/sf0.01"
+    docs = queries.table(spark, sf, "documents")
+    given = {r.doc_id: r for r in docs.collect()}
+    got = {r.doc_id: r for r in queries.op10_quality_rules(spark, sf).collect()}
+    ids = sorted(given)
+    stats = [R.quality(given[i].text) for i in ids]
+    used = np.array([not q["base_failed"] for q in stats])
+    x = np.zeros((len(ids), 4), np.int64)
+    for k, (i, q) in enumerate(zip(ids, stats)):
+        if q["n_words"]:
+            lines = [t for t in (given[i].text or "").split("\n") if R.WORD.search(t)]
+            x[k] = np.round(np.array([math.log(q["word_chars"] / q["n_words"]), math.log1p(1000 * q["n_symbols"] / q["word_chars"]), q["n_dup_lines"] / len(lines), q["n_repeat_words"] / q["n_words"]]) * quality.UNIT)
+    lang, fine = np.array([str(given[i].lang) for i in ids]), np.array([f"{given[i].lang}|{given[i].source}" for i in ids])
+    cutoff = quality.chi_square_quantile(1 - quality.TAIL, 4)
+    want, near = {}, 0
+    for f in np.unique(fine):
+        mine = fine == f
+        for level in (mine, lang == lang[mine][0], np.ones(len(ids), bool)):
+            if (level & used).sum() >= quality.MIN_GROUP or level.all():
+                break
+        d = R.mahalanobis(x, level & used, quality)
+        near += int((np.abs(d[mine & used] - cutoff) < 0.05).sum())
+        want |= {ids[k]: bool(used[k] and d[k] <= cutoff) for k in np.flatnonzero(mine)}
+    assert sum(got[i].kept != want[i] for i in ids) <= near
+    assert 0 < sum(want.values()) < used.sum()
+
+
+@pytest.mark.parametrize("share", [3, 4])
+def test_copies_of_an_outlier_go(spark, share):
+    """A third of a group is one outlying text: it stays outside the estimate, and goes."""
+    rng = np.random.default_rng(9)
+    prose = lambda: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(80))
+    odd = " ".join(f"#{w}|" for w in prose().split())
+    rows = [(i, odd if i % share == 0 else prose(), "en", "a", 1) for i in range(600)]
+    got = quality.quality_rules(spark.createDataFrame(rows, DOCS), carry=["doc_id"]).collect()
+    assert {r.doc_id for r in got if not r.kept} == set(range(0, 600, share))
+
+
 def test_chi_square():
     assert abs(quality.chi_square_quantile(0.95, 4) - 9.487729) < 1e-5
     assert abs(quality.chi_square_cdf(3.841459, 1) - 0.95) < 1e-6
@@ -461,11 +489,14 @@ def test_messages_follow_the_data(spark, sf_dir):
             spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert made[0] == made[1]
     texts = suffixes.Texts([(r.text or "").encode() for r in docs.collect()])
-    found = np.unique(texts.beginnings(texts.anchors()), return_counts=True)
+    anchors = texts.anchors()
+    held = [h[ok] for _, _, h, ok in texts.cores(anchors, np.searchsorted(texts.ends, anchors, side="right"))]
+    found, times = np.unique(np.concatenate(held), return_counts=True)
+    found = found[times > 1].view(np.int64)
     block = pa.table({"block": [0] * len(texts.texts), "row": list(range(len(texts.texts))), "text": pa.array(texts.texts, pa.binary())})
-    repeated = pa.table({"begin": found[0][found[1] > 1].view(np.int64), "kind": np.zeros(int((found[1] > 1).sum()), np.int32)})
-    sent = [suffixes._send_runs(groups, texts.widths)(block, repeated).num_rows for groups in (8, 4000, 1 << 40)]
-    assert sent[0] < sent[1] <= sent[2] <= found[1][found[1] > 1].sum() + len(texts.texts)
+    wanted = pa.table({"begin": found, "kind": np.full(len(found), suffixes.CORE, np.int32)})
+    sent = [suffixes._send_runs(groups, texts.widths)(block, wanted).num_rows for groups in (8, 4000, 1 << 40)]
+    assert sent[0] < sent[1] <= sent[2] <= times[times > 1].sum() + len(texts.texts)
 
 
 def test_prefix_loser_tree_merges_in_order():
