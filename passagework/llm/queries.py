@@ -73,6 +73,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(counted("base", k).alias(f"n_{k}") for k in KINDS),
         F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
         listed("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
