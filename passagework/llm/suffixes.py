@@ -13,12 +13,14 @@ its first ``passage - HEAD + GRAM`` bytes.
 
 1. Documents are dealt into blocks of about BLOCK_BYTES, once; all steps read
    that same shuffle.
-2. As in string sorting with distinguishing prefixes, hashes of the shared
-   beginnings are exchanged first, as rows, each once a block: a suffix whose
-   beginning occurs once cannot be part of a repeat, and is not sent at all.
+2. As in string sorting with distinguishing prefixes, hashes of shared parts are
+   exchanged first, as rows, each once a block: those of the beginnings, and where these
+   occur twice, those of the bytes that each ``STEP`` neighbouring windows of the
+   anchor share.  A suffix with no such part that occurs twice cannot be part of a
+   repeat, and is not sent at all.
 3. A block sorts the contexts of the others into runs, one for each group of
-   beginnings, equal contexts once, and sends them front-coded: a row for each
-   context, with the length of the prefix shared with the one before, and the rest.
+   beginnings, equal contexts once, and sends each run front-coded: the lengths of
+   the prefixes shared with the one before, and the rests, in one compressed row.
 4. A group (sized so that about GROUP_BYTES of text belong to it) combines its
    runs by a loser tree over (common prefix, string): two heads with different
    common prefixes with the last winner need no look at their bytes, and others
@@ -31,16 +33,17 @@ its first ``passage - HEAD + GRAM`` bytes.
    so they make one interval.
 6. The intervals, a row each, go back to the blocks.
 
-Rows follow the data alone: distinct beginnings of a block, contexts with a
-repeated beginning, and intervals; not partitions, blocks or groups.
+Rows follow the data alone, not the partitions: distinct shared parts of a block,
+runs (never more than contexts with a repeated beginning, nor than pairs of a block and a
+group, which bytes of text size), and intervals.
 
 Contexts that a block holds twice are repeats: the block settles their places by
 itself, and sends such a context once, as a partner for other blocks.  A
 beginning that occurs more than ``most_places`` times would still bring many
 different contexts (around a passage that very many documents share) to one
-group.  Its windows are dealt by their own 128-bit BLAKE2 digests instead, each
-once a block, so that no group grows with the number of documents that share a
-passage.
+group.  Those of its windows whose shared part occurs twice are dealt by their own
+128-bit BLAKE2 digests instead, each once a block, so that no group grows with the
+number of documents that share a passage.
 
 Defined cases: null text is empty; texts under ``width`` bytes lose nothing;
 repeated rows are other places like any; null or equal ids keep a row each; an
@@ -57,10 +60,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import settle, shuffle_width
 from .packed import pack_bytes, unpack_bytes
 
 WIDTH, PASSAGE = 400, 256
@@ -71,8 +75,10 @@ PAD = 255
 #: Odd multipliers of the hashes of bytes.
 STIR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text of a block and of a group on average, and places whose hashes are held at once.
-BLOCK_BYTES, GROUP_BYTES, PIECE = 8 << 20, 4 << 20, 1 << 20
+BLOCK_BYTES, GROUP_BYTES, PIECE = 8 << 20, 8 << 20, 1 << 20
 MOST_PLACES = 4096
+#: Neighbouring windows of an anchor that have a shared part of their own.
+STEP = 32
 #: Groups of windows, and intervals that are settled already, are numbered below zero.
 WINDOWS, SETTLED = -(1 << 40), -1
 PLACE = np.dtype([("hash", "V16"), ("row", "<i8"), ("start", "<u4"), ("width", "<u4"), ("twice", "u1")])
@@ -134,6 +140,17 @@ class Texts:
             state = mixed(state ^ self.words[anchors + at]) * SPREAD
         return state
 
+    def cores(self, anchors: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(least, greatest distance, hashes, whether the text holds them) of what each STEP neighbouring windows share."""
+        behind, ahead = anchors - self.starts[owner], self.ends[owner] - anchors
+        for low in range(0, self.back + 1, STEP):
+            high = min(low + STEP - 1, self.back)
+            length = self.least - (high - low)
+            state = np.full(len(anchors), length << 16 | low, np.uint64)
+            for at in [*range(0, length - GRAM, GRAM), length - GRAM]:
+                state = mixed(state ^ self.words[np.clip(anchors - low + at, 0, self.size)]) * SPREAD
+            yield low, high, state, (behind >= low) & (ahead >= self.least - high)
+
     def context(self, anchor: int, text: int) -> bytes:
         """``width`` bytes forwards, then ``back`` from before the anchor; padded at the text's ends."""
         at, own = anchor - int(self.starts[text]), self.texts[text]
@@ -210,10 +227,13 @@ def front_coded(strings: list[bytes]) -> Iterator[tuple[int, bytes]]:
         before = s
 
 
-def decoded(shared: list[int], rests: list[bytes], payloads: list) -> Iterator[tuple[int, bytes, object]]:
-    before = b""
-    for p, rest, payload in zip(shared, rests, payloads):
-        before = before[:p] + rest
+def decoded(shared: list[int], rests: bytes, size: int, payloads: list) -> Iterator[tuple[int, bytes, object]]:
+    """Strings of ``size`` bytes from their front coding."""
+    before, at = b"", 0
+    for p, payload in zip(shared, payloads):
+        end = at + size - p
+        before = before[:p] + rests[at:end]
+        at = end
         yield p, before, payload
 
 
@@ -268,8 +288,11 @@ def repeats(shared: np.ndarray, contexts: np.ndarray, times: np.ndarray, size: i
 
 # --- Spark steps; each works on the rows of one key ------------------------------------------------
 
-#: A context of a run (part >= 0), packed windows (part <= WINDOWS), or an interval of a width that is settled.
-RUNS = "part long, block long, seq int, shared int, rest binary, times int, row long, start long, end long, width int"
+#: A packed run (part >= 0), packed windows (part <= WINDOWS), or an interval of a width that is settled.
+RUNS = "part long, block long, body binary, row long, start long, end long, width int"
+BEGINNINGS = "block long, begin long, times long"
+#: Kinds of hashes that a block gets back: beginnings in too many places for one group, and shared parts of neighbouring windows that occur twice.
+CROWDED, CORE = 0, 1
 INTERVALS = "block long, row long, start long, end long, width int"
 
 
@@ -291,32 +314,36 @@ def _send_beginnings(widths: tuple[int, ...]):
         _, texts = _texts_of(block, widths)
         found, counts = np.unique(texts.beginnings(texts.anchors()), return_counts=True)
         number = block.column("block")[0].as_py()
-        return _table("block long, begin long, times long", np.full(len(found), number), found.view(np.int64), counts)
+        return _table(BEGINNINGS, np.full(len(found), number), found.view(np.int64), counts)
 
     return run
 
 
-def _settled(held: list[tuple[int, int]], context: bytes, widths: tuple[int, ...]) -> Iterator[tuple[int, int, int, int]]:
+def _settled(held: list[tuple[int, int, int]], context: bytes, widths: tuple[int, ...]) -> Iterator[tuple[int, int, int, int]]:
     """(row, start, end, width) for places of one context that a block holds twice."""
     (ahead,), (behind,) = _extent(np.frombuffer(context, np.uint8)[None, :], max(widths))
     for size in widths:
         low = max(0, size - int(ahead))
         if behind >= low:
-            yield from ((row, at - int(behind), at - low + size, size) for row, at in held)
+            yield from ((row, at - int(behind), at - low + size, size) for row, at, _ in held)
+
 
+def _window_rows(contexts: dict[bytes, list[tuple[int, int, int]]], groups: int, widths: tuple[int, ...]) -> tuple[dict[int, list], list[tuple[int, int, int, int]]]:
+    """A block's windows of crowded beginnings by group: each once, with a place to take out if it turns out to repeat; and settled intervals.
 
-def _window_rows(contexts: dict[bytes, list[tuple[int, int]]], groups: int, widths: tuple[int, ...]) -> tuple[dict[int, list], list[tuple[int, int, int, int]]]:
-    """A block's windows of crowded beginnings by group: each once, with a place to take out if it turns out to repeat; and settled intervals."""
+    Places are (row, place, bits of the STEP windows with a repeated shared part).
+    """
     width, found = max(widths), {}
-    for context, places in contexts.items():
-        (ahead,), (behind,) = _extent(np.frombuffer(context, np.uint8)[None, :], width)
-        ahead, behind = int(ahead), int(behind)
-        line = context[width : width + behind][::-1] + context[:ahead]
+    for context, held in contexts.items():
+        (ahead,), (behind,) = (x.tolist() for x in _extent(np.frombuffer(context, np.uint8)[None, :], width))
+        line, places = context[width : width + behind][::-1] + context[:width], held[:2]
         for size in widths:
             for a in range(max(0, size - ahead), behind + 1):
+                if not places[0][2] >> a // STEP & 1:
+                    continue
                 key = (hashlib.blake2b(line[behind - a : behind - a + size], digest_size=16).digest(), size)
                 # a window has several anchors: places count once.  Two of a context show that its windows repeat
-                found.setdefault(key, {}).update({(row, at - a): None for row, at in places[:2]})
+                found.setdefault(key, {}).update({(row, at - a): None for row, at, _ in places})
     out: dict[int, list] = {}
     settled = []
     for (key, size), held in found.items():
@@ -327,47 +354,100 @@ def _window_rows(contexts: dict[bytes, list[tuple[int, int]]], groups: int, widt
     return out, settled
 
 
-def _send_runs(groups: int, widths: tuple[int, ...]):
+def joined_spans(found: list[tuple[int, int]]) -> list[list[int]]:
+    """Maximal runs of intervals that overlap or touch."""
+    spans: list[list[int]] = []
+    for s, e in sorted(found):
+        if spans and s <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], e)
+        else:
+            spans.append([s, e])
+    return spans
+
+
+def _fewer(intervals: list[tuple[int, int, int, int]], widths: tuple[int, ...]) -> Iterator[tuple[int, int, int, int]]:
+    """(row, start, end, width) joined where they overlap; what a wider window covers already is left out."""
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for row, start, end, size in intervals:
+        found.setdefault((row, size), []).append((start, end))
+    for (row, size), spans in found.items():
+        wider = {(s, e) for w in widths if w > size for s, e in joined_spans(found.get((row, w), []))}
+        yield from ((row, s, e, size) for s, e in joined_spans(spans) if (s, e) not in wider)
+
+
+def _within(hashes: np.ndarray, sought: pa.Table) -> np.ndarray:
+    """Which hashes are among those sought."""
+    every = np.sort(sought.column("begin").to_numpy().view(np.uint64))
+    return every[np.minimum(np.searchsorted(every, hashes), len(every) - 1)] == hashes if len(every) else np.zeros(len(hashes), bool)
+
+
+def _send_cores(widths: tuple[int, ...]):
     def run(block: pa.Table, repeated: pa.Table) -> pa.Table:
         if not block.num_rows or not repeated.num_rows:
-            return _table(RUNS, *[[]] * 10)
-        rows, texts = _texts_of(block, widths)
+            return _table(BEGINNINGS, [], [], [])
+        _, texts = _texts_of(block, widths)
         anchors = texts.anchors()
-        begin = texts.beginnings(anchors)
-        wanted = repeated.column("begin").to_numpy().view(np.uint64)
-        order = np.argsort(wanted)
-        wanted, crowded = wanted[order], repeated.column("crowded").to_numpy()[order]
-        at = np.minimum(np.searchsorted(wanted, begin), len(wanted) - 1)
-        hit = wanted[at] == begin
-        anchors, begin, crowded = anchors[hit], begin[hit], crowded[at[hit]].astype(bool)
-        owner = np.searchsorted(texts.ends, anchors, side="right")
-        place = anchors - texts.starts[owner]
-        group = np.where(crowded, groups, (mixed(begin) >> np.uint64(1)).astype(np.int64) % groups)
-        held: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-        for g, a, o, r, p in zip(group.tolist(), anchors.tolist(), owner.tolist(), rows[owner].tolist(), place.tolist()):
-            held.setdefault(g, {}).setdefault(texts.context(a, o), []).append((r, p))
+        anchors = anchors[_within(texts.beginnings(anchors), repeated)]
+        held = [hashes[valid] for _, _, hashes, valid in texts.cores(anchors, np.searchsorted(texts.ends, anchors, side="right"))]
+        found, counts = np.unique(np.concatenate(held), return_counts=True)
+        return _table(BEGINNINGS, np.full(len(found), block.column("block")[0].as_py()), found.view(np.int64), counts)
+
+    return run
+
+
+def _contexts(block: pa.Table, cores: pa.Table, crowded: pa.Table, groups: int, widths: tuple[int, ...]) -> dict[int, dict[bytes, list[tuple[int, int, int]]]]:
+    """{group: {context: [(row, place, bits of the repeated parts)]}} of the anchors with one; crowded ones have the group -1."""
+    rows, texts = _texts_of(block, widths)
+    anchors = texts.anchors()
+    owner = np.searchsorted(texts.ends, anchors, side="right")
+    bits = np.zeros(len(anchors), np.int64)
+    for low, _, hashes, valid in texts.cores(anchors, owner):
+        bits |= (valid & _within(hashes, cores)).astype(np.int64) << (low // STEP)
+    anchors, owner, bits = anchors[bits > 0], owner[bits > 0], bits[bits > 0]
+    begin = texts.beginnings(anchors)
+    group = np.where(_within(begin, crowded), -1, (mixed(begin) >> np.uint64(1)).astype(np.int64) % groups)
+    held: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
+    for g, a, o, *place in zip(*(x.tolist() for x in (group, anchors, owner, rows[owner], anchors - texts.starts[owner], bits))):
+        held.setdefault(g, {}).setdefault(texts.context(a, o), []).append(tuple(place))
+    return held
+
+
+def _send_runs(groups: int, widths: tuple[int, ...]):
+    def run(block: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not block.num_rows or not wanted.num_rows:
+            return _table(RUNS, *[[]] * 7)
+        is_core = pa.compute.equal(wanted.column("kind"), CORE)
+        held = _contexts(block, wanted.filter(is_core), wanted.filter(pa.compute.invert(is_core)), groups, widths)
         number = block.column("block")[0].as_py()
-        crowd, settled = held.pop(groups, {}), []
+        crowd = held.pop(-1, {})
         out: list[tuple] = []
         for g, places in held.items():
             strings = sorted(places)
-            for k, (s, (shared, rest)) in enumerate(zip(strings, front_coded(strings))):
-                row, start = places[s][0]
-                out.append((g, number, k, shared, rest, min(2, len(places[s])), row, start, None, None))
+            coded = list(front_coded(strings))
+            first = [places[x][0] for x in strings]
+            body = pack_bytes(
+                np.array([p for p, _ in coded], "<u2").tobytes(),
+                b"".join(rest for _, rest in coded),
+                np.array([min(2, len(places[x])) for x in strings], "u1").tobytes(),
+                np.array([r for r, _, _ in first], "<i8").tobytes(),
+                np.array([p for _, p, _ in first], "<u4").tobytes(),
+            )
+            out.append((g, number, body, None, None, None, None))
         windows, settled = _window_rows(crowd, groups, widths)
-        out += [(WINDOWS - g, number, None, None, pack_bytes(np.array(x, PLACE).tobytes()), None, None, None, None, None) for g, x in windows.items()]
+        out += [(WINDOWS - g, number, pack_bytes(np.array(x, PLACE).tobytes()), None, None, None, None) for g, x in windows.items()]
         for places in (crowd, *held.values()):
             for context, twice in places.items():
                 if len(twice) > 1:
                     settled += _settled(twice, context, widths)
-        out += [(SETTLED - number, number, None, None, None, None, *x) for x in settled]
-        return _table(RUNS, *(zip(*out) if out else [[]] * 10))
+        out += [(SETTLED - number, number, None, *x) for x in _fewer(settled, widths)]
+        return _table(RUNS, *(zip(*out) if out else [[]] * 7))
 
     return run
 
 
 def _merge_group(widths: tuple[int, ...]):
     width = max(widths)
+    size = width + min(HEAD, min(widths)) - GRAM
 
     def run(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
@@ -375,33 +455,41 @@ def _merge_group(widths: tuple[int, ...]):
             return group.select(["block", "row", "start", "end", "width"])
         block = group.column("block").to_numpy()
         if part <= WINDOWS:
-            found = [np.frombuffer(unpack_bytes(b.as_py())[0], PLACE) for b in group.column("rest")]
+            found = [np.frombuffer(unpack_bytes(b.as_py())[0], PLACE) for b in group.column("body")]
             every = np.concatenate(found)
             _, at = np.unique(every["hash"], return_inverse=True)
             hit = np.bincount(at, 1 + every["twice"])[at] > 1
             every, block = every[hit], np.repeat(block, [len(f) for f in found])[hit]
-            start, size = every["start"].astype(np.int64), every["width"].astype(np.int32)
-            return _table(INTERVALS, block, every["row"], start, start + size, size)
-        order = np.lexsort((group.column("seq").to_numpy(), block))
-        group, block = group.take(pa.array(order)), block[order]
-        shared, rests = group.column("shared").to_pylist(), group.column("rest").to_pylist()
-        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
-        runs = [decoded(shared[a:b], rests[a:b], list(range(a, b))) for a, b in zip(cuts, cuts[1:])]
-        often, prefixes, strings, times, context_of = group.column("times").to_pylist(), [], [], [], np.empty(len(block), np.int64)
+            start, wide = every["start"].astype(np.int64), every["width"].astype(np.int64)
+            made = [(b, *x) for b in np.unique(block).tolist() for x in _fewer(list(zip(*(y[block == b].tolist() for y in (every["row"], start, start + wide, wide)))), widths)]
+            return _table(INTERVALS, *(zip(*made) if made else [[]] * 5))
+        runs, owners, places, often, base = [], [], [], [], 0
+        for body in group.column("body"):
+            shared, rests, times, rows, at = unpack_bytes(body.as_py())
+            often += list(times)
+            owners.append(np.frombuffer(rows, "<i8"))
+            places.append(np.frombuffer(at, "<u4").astype(np.int64))
+            runs.append(decoded(np.frombuffer(shared, "<u2").tolist(), rests, size, list(range(base, len(often)))))
+            base = len(often)
+        prefixes, strings, times, context_of = [], [], [], np.empty(base, np.int64)
         for p, s, k in PrefixLoserTree(runs):
-            if not strings or p < len(s):
+            if not strings or p < size:
                 prefixes.append(p if strings else 0)
                 strings.append(s)
                 times.append(0)
             times[-1] += often[k]
             context_of[k] = len(strings) - 1
-        contexts = np.frombuffer(b"".join(strings), np.uint8).reshape(len(strings), -1)
-        row, place = group.column("row").to_numpy(), group.column("start").to_numpy()
-        made = []
-        for size in widths:
-            least, most = (x[context_of] for x in repeats(np.array(prefixes), contexts, np.array(times), size, width))
+        contexts = np.frombuffer(b"".join(strings), np.uint8).reshape(len(strings), size)
+        row, place, block = np.concatenate(owners), np.concatenate(places), np.repeat(block, [len(x) for x in owners])
+        made, outer = [], None
+        for w in sorted(widths, reverse=True):
+            least, most = (x[context_of] for x in repeats(np.array(prefixes), contexts, np.array(times), w, width))
+            start, end = place - most, place - least + w
             kept = least <= most
-            made.append(_table(INTERVALS, block[kept], row[kept], (place - most)[kept], (place - least)[kept] + size, np.full(int(kept.sum()), size, np.int32)))
+            if outer is not None:  # what a wider window covers already is left out
+                kept &= ~(outer[0] & (outer[1] <= start) & (end <= outer[2]))
+            outer = (least <= most, start, end) if outer is None else outer
+            made.append(_table(INTERVALS, block[kept], row[kept], start[kept], end[kept], np.full(int(kept.sum()), w, np.int32)))
         return pa.concat_tables(made)
 
     return run
@@ -410,17 +498,6 @@ def _merge_group(widths: tuple[int, ...]):
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, passages array<struct<start:long,end:long>>"
 
 
-def joined_spans(found: list[tuple[int, int]]) -> list[list[int]]:
-    """Maximal runs of intervals that overlap or touch."""
-    spans: list[list[int]] = []
-    for s, e in sorted(found):
-        if spans and s <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], e)
-        else:
-            spans.append([s, e])
-    return spans
-
-
 def _removed(with_bytes: bool, width: int, passage: int | None):
     def run(block: pa.Table, intervals: pa.Table) -> pa.Table:
         found: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -431,7 +508,8 @@ def _removed(with_bytes: bool, width: int, passage: int | None):
             spans = joined_spans(found.get((row, width), []))
             cuts = [0, *(x for span in spans for x in span), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
-            passages = [{"start": a, "end": b} for a, b in joined_spans(found.get((row, passage), [])) if len(text[a:b].split()) > PASSAGE_WORDS]
+            # wider windows are made of repeated narrower ones
+            passages = [] if passage is None else [{"start": a, "end": b} for a, b in joined_spans([x for w in {width, passage} for x in found.get((row, w), [])]) if len(text[a:b].split()) > PASSAGE_WORDS]
             out.append((id_, len(text), len(text) - len(kept), len(spans), kept if with_bytes else None, hashlib.sha256(kept).hexdigest(), passages))
         columns = list(zip(*out)) or [[]] * 7
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
@@ -465,9 +543,15 @@ def without_repeats(
     blocks, groups = 1 + total // block_bytes, 1 + total // group_bytes
     n = max(shuffle_width(docs.sparkSession), 1 + blocks // 16)
     dealt = given.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).repartition(n, "block")
-    beginnings = dealt.groupBy("block").applyInArrow(_send_beginnings(widths), "block long, begin long, times long")
-    everywhere = F.sum("times").over(Window.partitionBy("begin"))
-    repeated = beginnings.withColumn("places", everywhere).where("places > 1").select("block", "begin", (F.col("places") > most_places).cast("int").alias("crowded"))
-    runs = dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_send_runs(groups, widths), RUNS)
+
+    def twice(hashes: DataFrame) -> DataFrame:
+        return hashes.withColumn("places", F.sum("times").over(Window.partitionBy("begin"))).where("places > 1")
+
+    # written, as it is read twice
+    beginnings = settle(twice(dealt.groupBy("block").applyInArrow(_send_beginnings(widths), BEGINNINGS)).select("block", "begin", "places"), "suffix-beginnings")
+    cores = twice(dealt.groupBy("block").cogroup(beginnings.groupBy("block")).applyInArrow(_send_cores(widths), BEGINNINGS))
+    crowded = beginnings.where(F.col("places") > most_places).select("block", "begin", F.lit(CROWDED).alias("kind"))
+    wanted = cores.select("block", "begin", F.lit(CORE).alias("kind")).unionByName(crowded)
+    runs = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_send_runs(groups, widths), RUNS)
     intervals = runs.groupBy("part").applyInArrow(_merge_group(widths), INTERVALS)
     return dealt.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(_removed(with_bytes, width, passage), RESULT)
