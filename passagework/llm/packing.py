@@ -13,8 +13,8 @@
    every size, from one piece on.  What the passes leave (at most about one piece
    of each length a pass, whatever the input) goes best-fit by decreasing length.
 5. Every piece gets a rank among those of its length, counted in buckets, and
-   ranks map to places by a table whose size ``capacity``, ``ROUNDS`` and
-   ``PASSES`` bound.  The table is cut into ranges of ranks, so that a piece meets
+   ranks map to places by a table whose size ``MOST_CONFIGS``, ``PASSES`` and
+   ``SMALL_REST`` bound.  The table is cut into ranges of ranks, so that a piece meets
    one or two slots, not all of its length.
 
 Defined cases: null or empty text is one piece, the closing id alone; repeated
@@ -42,6 +42,8 @@ CLOSING_ID = 0
 SLACK = 0.02
 RATE = 4.0
 ROUNDS, PASSES = 60, 6
+#: Configurations of one pass at most: with ``PASSES`` and ``SMALL_REST`` this bounds the table of places, whatever the input.
+MOST_CONFIGS = 8192
 #: Pieces of one length that share a counting bucket, on average.
 BUCKET = 500
 #: Rest below which single pieces are placed best-fit.
@@ -219,12 +221,16 @@ def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: i
     return {k: x * factor for k, x in found.items()}
 
 
-def rounded(found: dict[tuple[int, ...], float], rest: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Whole counts by floors of running sums; ``rest``, the demand, is lowered by what they take."""
+def rounded(found: dict[tuple[int, ...], float], rest: np.ndarray, most: int = MOST_CONFIGS) -> list[tuple[tuple[int, ...], int]]:
+    """Counts in whole steps by floors of running sums; ``rest``, the demand, is lowered by what they take.
+
+    A step is one sequence, or as many as leave at most ``most`` configurations.
+    """
     out, total, taken = [], 0.0, 0
+    unit = max(1, -(-int(sum(found.values())) // most))
     for config, x in sorted(found.items(), key=lambda c: (-c[1], c[0])):
         total += x
-        want = int(total) - taken
+        want = int(total / unit) * unit - taken
         if want <= 0:
             continue
         kinds, times = np.unique(config, return_counts=True)
