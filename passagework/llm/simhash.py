@@ -12,6 +12,11 @@
 4. A task gives each leaf one link to the smallest id of its own links' group,
    never all pairs; ``components`` joins those links over all subtrees.
 
+``distinct_documents`` keeps one document of each group whose texts are equal or are
+joined by links of a ``similarity`` of word shingles that is verified; the trie
+offers the links, so pairs that are similar but differ in more than
+its budget of bits are not met.
+
 Defined cases: null or empty text and text of white space only have fingerprint
 zero and link like any other; fewer words than a shingle make one shingle of all
 words; repeated rows share their component; a null id gets a fingerprint and the
@@ -254,3 +259,62 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     joined = components(leaf_links(leaves.where("id is not null"), budget))
     named = leaves.join(joined.withColumnsRenamed({"u": "id", "v": "smallest"}), "id", "left").select("fp", F.coalesce("smallest", "id").alias("component"))
     return prints.join(settle(named, "simhash-names"), "fp").select("id", "fp", "component")
+
+
+# --- one document of each group ----------------------------------------------------------------------
+
+NEAR_WIDTH, NEAR_BUDGET, SIMILARITY = 5, 7, 0.8
+
+
+def _digest_batches(width: int):
+    import hashlib
+
+    prints = _fingerprint_batches(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = next(prints(iter([batch.select(["row", "text"])]))).column(1)
+            same = pa.array([hashlib.sha256(t.as_py() or b"").digest() for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), same, fp], names=["row", "id", "same", "fp"])
+
+    return run
+
+
+def _shingle_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes(t.as_py(), width), np.uint64)).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], names=["row", "shingles"])
+
+    return run
+
+
+def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = NEAR_WIDTH, budget: int = NEAR_BUDGET, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` but for near-duplicates: of each group the one with the smallest id stays.
+
+    Rows, not ids, stay or go: of repeated rows one stays, whatever their ids; a null id comes last, and
+    equal ids go by their place.  Two texts are linked if they are equal, or the trie finds their
+    fingerprints within ``budget`` bits and their sets of ``width``-word shingles have a Jaccard
+    similarity of at least ``similarity``.  Texts without a word are equal to each other.  Rows are
+    numbered by partition and order: the input must read the same when it is read again.
+    """
+    row = F.monotonically_increasing_id()
+    given = docs.select(row.alias("row"), F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").cast("binary").alias("text"))
+    rows = settle(given.mapInArrow(_digest_batches(width), "row long, id long, same binary, fp long"), "simhash-rows")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
+    # every different text is named by its first row; one fingerprint is a leaf, named by the least of these
+    texts = settle(rows.groupBy("same", "fp").agg(F.min(order).alias("first")).select("same", "fp", "first", F.col("first.row").alias("name")), "simhash-texts")
+    leaves = settle(texts.groupBy("fp").agg(F.min("name").alias("id")), "simhash-leaves")
+    equal = texts.join(leaves, "fp").where("name <> id").select(F.col("name").alias("u"), F.col("id").alias("v"))
+    links = settle(leaf_links(leaves, budget).unionByName(equal).distinct(), "simhash-near")
+    met = links.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    sets = settle(given.select("row", "text").join(met, "row", "left_semi").mapInArrow(_shingle_sets(width), "row long, shingles array<long>"), "simhash-shingles")
+    both = links.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    every = F.size("a") + F.size("b") - shared
+    verified = both.where((shared >= similarity * every)).select("u", "v")
+    joined = components(verified)
+    named = texts.join(joined.withColumnsRenamed({"u": "name", "v": "root"}), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    stays = named.groupBy("root").agg(F.min("first")["row"].alias("_s_row"))
+    stays = settle(stays.select("_s_row"), "simhash-stays")
+    return docs.withColumn("_s_row", row).join(stays, "_s_row", "left_semi").drop("_s_row")

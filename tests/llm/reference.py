@@ -11,13 +11,44 @@ import xxhash
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def simhash(text):
+def shingles(text, width):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+
+
+def distinct(rows, width=5, budget=7, similarity=0.8):
+    """Positions of the (id, text) rows that stay: the first of each group of linked texts."""
+    n = len(rows)
+    order = sorted(range(n), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    sets = [set(shingles(t, width)) for _, t in rows]
+    prints = [simhash(t, width) for _, t in rows]
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            same = (rows[a][1] or "") == (rows[b][1] or "")
+            near = bin(prints[a] ^ prints[b]).count("1") <= budget and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+            if same or near:
+                root[find(a)] = find(b)
+    seen, stays = set(), []
+    for k in order:
+        if find(k) not in seen:
+            seen.add(find(k))
+            stays.append(k)
+    return sorted(stays)
+
+
+def simhash(text, width=4):
     lowered = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
     words = WORD.findall(lowered)
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text, width)]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
