@@ -55,3 +55,32 @@ def leaks(owned: DataFrame, owner: str, item: str) -> DataFrame:
 def verdict(n_leaks: Column, n_seen: Column) -> Column:
     """Absence proves nothing unless the control was seen."""
     return F.when(n_leaks > 0, "fail").when(n_seen == 0, "inconclusive").otherwise("pass")
+
+
+def fixture_action(outcome: Column, status: Column) -> Column:
+    """What a run does with a fixture that it has uploaded; an outcome that no upload has fails the run."""
+    return (
+        F.when(outcome.isin("created", "reingested"), "ingest")
+        .when((outcome == "duplicate") & (status == "Ready"), "reuse")
+        .when(outcome == "duplicate", "poll_or_abort")
+        .otherwise(F.raise_error(F.concat(F.lit("no such outcome: "), F.coalesce(outcome, F.lit("null")))))
+    )
+
+
+def not_ready(fixtures: DataFrame, status: DataFrame) -> DataFrame:
+    """Fixtures (filename, document_id) without a Ready document: a run starts when there are none."""
+    current = status.groupBy("document_id").agg(F.max_by("status", "seq").alias("status"))
+    return fixtures.join(current, "document_id", "left").where(F.coalesce(F.col("status") != "Ready", F.lit(True)))
+
+
+def over_whole_corpus(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Questions with all documents of their owner in scope, and no history: one array an owner, of its fixtures."""
+    every = documents.groupBy("user_id").agg(F.array_sort(F.collect_set("document_id")).alias("document_ids"))
+    return questions.drop("document_ids", "history").join(every, "user_id", "left")
+
+
+def results(questions: DataFrame, answered: DataFrame) -> DataFrame:
+    """Questions with their outcome and text; what has no answer, or none that could be had, has failed."""
+    text = F.array_join(F.transform("segments", lambda s: s["text"]), " ")
+    joined = questions.join(answered.select("query_id", "outcome", F.coalesce(text, F.lit("")).alias("text")), "query_id", "left")
+    return joined.withColumn("failed", F.coalesce(F.col("outcome") == "unavailable", F.lit(True)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import content_hash
 from ..functions.text import contains_folded, stripped
 from ..schemas import FOLDER_COLORS, STATUSES
 
@@ -114,3 +115,48 @@ def registered(users: DataFrame, incoming: DataFrame) -> DataFrame:
 def current_status(events: DataFrame, key: str, order: list[str], status: str) -> DataFrame:
     """The newest status of each key: one partial aggregate a task, no sort."""
     return events.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias("status"), F.count(F.lit(1)).alias("n"))
+
+
+def oldest_first(folders: DataFrame) -> DataFrame:
+    return folders.orderBy("created_at", "id")
+
+
+def inserted(rows: DataFrame, schema: str, path: str) -> int:
+    """Append rows of the declared schema to a table; the number of rows.  Columns that are missing are null, others are an error."""
+    fields = [f.name for f in rows.sparkSession.createDataFrame([], schema).schema]
+    if unknown := set(rows.columns) - set(fields):
+        raise ValueError(f"no such columns: {sorted(unknown)}")
+    typed = rows.sparkSession.createDataFrame([], schema).unionByName(rows, allowMissingColumns=True)
+    typed.write.mode("append").parquet(path)
+    return rows.count()
+
+
+def n_changed(rows: DataFrame, which: Column) -> int:
+    """Rows that a bulk delete or update would touch, counted before it is written."""
+    return rows.where(which).count()
+
+
+def with_hashes(docs: DataFrame) -> DataFrame:
+    """Hashes of the content where there are none yet."""
+    return docs.withColumn("content_hash", F.coalesce("content_hash", content_hash(F.col("content"))))
+
+
+def with_verified(users: DataFrame) -> DataFrame:
+    """Accounts from before verification count as verified when they were made."""
+    return users.withColumn("email_verified_at", F.coalesce("email_verified_at", "created_at"))
+
+
+def updated_profile(users: DataFrame, user_id: str, verified_at: Column | None = None, **fields: str | None) -> DataFrame:
+    """Null leaves a field as it is; verifying again leaves the first time."""
+    mine = F.col("id") == user_id
+    for name, value in fields.items():
+        users = users.withColumn(name, F.when(mine, F.coalesce(F.lit(value), name)).otherwise(F.col(name)))
+    return users if verified_at is None else users.withColumn("email_verified_at", F.when(mine, F.coalesce("email_verified_at", verified_at)).otherwise(F.col("email_verified_at")))
+
+
+def email_reason(email: Column) -> Column:
+    return F.when(F.lower(stripped(email)).rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+\z"), F.lit(None).cast("string")).otherwise("malformed e-mail")
+
+
+def account_reason(full_name: Column, password: Column) -> Column:
+    return F.when(stripped(full_name) == "", "blank name").when(~F.length(password).between(8, 128), "password length")
