@@ -9,22 +9,34 @@ from ..functions.vector import cosine_distance, norm
 from ..schemas import RELEVANT_DISTANCE, TOP_PASSAGES
 
 
-def nearest(queries: DataFrame, passages: DataFrame, scope: list[str], k: int = TOP_PASSAGES, exclude_self: bool = True) -> DataFrame:
+def nearest(queries: DataFrame, passages: DataFrame, scope: list[str], k: int = TOP_PASSAGES, exclude_self: bool = True, slices: int = 8) -> DataFrame:
     """(query_id, passage_id, distance, rank) of each query's ``k`` nearest passages in its scope.
 
     ``queries`` has (query_id, embedding, *scope), ``passages`` (passage_id,
     embedding, *scope).  Scope columns (owner, document) are join keys, so that
-    nothing outside a query's scope is compared.  Norms are worked out once a
-    vector.  The rank's limit is applied before its shuffle.
+    nothing outside a query's scope is compared.  Queries that have ``document_ids``
+    (and passages a ``document_id``) are compared with those documents alone; null or
+    an empty list is no restriction.  Norms are worked out once a vector.  An
+    owner's passages are dealt into ``slices``, and each slice gives ``k`` at most, so
+    that an owner with very many passages is no single task.
     """
-    q = queries.select("query_id", F.col("embedding").alias("_q"), *scope).withColumn("_qn", norm(F.col("_q")))
-    p = passages.select("passage_id", F.col("embedding").alias("_p"), *scope).withColumn("_pn", norm(F.col("_p")))
-    pairs = q.join(p, scope)
+    within = "document_ids" in queries.columns
+    q = queries.select("query_id", F.col("embedding").alias("_q"), *scope, *(["document_ids"] if within else [])).withColumn("_qn", norm(F.col("_q")))
+    p = passages.select("passage_id", F.col("embedding").alias("_p"), *scope, *(["document_id"] if within else [])).withColumn("_pn", norm(F.col("_p")))
+    q = q.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    p = p.withColumn("_slice", F.pmod(F.xxhash64("passage_id"), F.lit(slices)).cast("int"))
+    pairs = q.join(p, [*scope, "_slice"])
+    if within:
+        pairs = pairs.where((F.coalesce(F.size("document_ids"), F.lit(0)) <= 0) | F.array_contains("document_ids", F.col("document_id")))
     if exclude_self:
         pairs = pairs.where(F.col("query_id") != F.col("passage_id"))
-    scored = pairs.select("query_id", "passage_id", F.round(cosine_distance(F.col("_q"), F.col("_p"), F.col("_qn"), F.col("_pn")), 6).alias("distance"))
-    order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "passage_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    scored = pairs.select("query_id", "_slice", "passage_id", F.round(cosine_distance(F.col("_q"), F.col("_p"), F.col("_qn"), F.col("_pn")), 6).alias("distance"))
+
+    def best(rows: DataFrame, *key: str) -> DataFrame:
+        order = Window.partitionBy(*key).orderBy(F.col("distance").asc_nulls_last(), "passage_id")
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    return best(best(scored, "query_id", "_slice").drop("_slice", "rank"), "query_id")
 
 
 def relevant(distance: Column, threshold: float = RELEVANT_DISTANCE) -> Column:

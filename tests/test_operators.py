@@ -9,8 +9,8 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from passagework.operators import answers, chunking, conversation, evaluation, graph, library, limits, retrieval
-from passagework.plans import answer
+from passagework.operators import answers, chunking, conversation, evaluation, graph, library, limits, retrieval, screens
+from passagework.plans import answer, provider
 from passagework.tenancy import TenantScope, filters_on
 
 
@@ -83,16 +83,109 @@ def test_whole_answers(spark):
     documents = spark.createDataFrame([("d1", "f.md")], "document_id string, filename string")
     asked = spark.createDataFrame([(1, "sky?", [1.0, 0.0], "u"), (2, "far?", [-1.0, 0.0], "u"), (3, "none?", [1.0, 0.0], "w"), (4, "fail?", [1.0, 0.0], "u"), (5, "mute?", [1.0, 0.0], "u")], "query_id int, question string, embedding array<float>, user_id string")
 
-    def provider(prompt, question):
+    def call(prompt, question, seconds):
         assert "secret" not in prompt and "Passage 1 (Chapter: C)" in prompt
-        return {"sky?": '{"segments":[{"text":"blue","passage_numbers":[1,2]}]}', "fail?": None, "mute?": '{"segments":[]}'}[question]
-
-    rows = {r.query_id: r for r in answer.answered(asked, passages, documents, provider, ["user_id"]).collect()}
-    assert {k: r.outcome for k, r in rows.items()} == {1: "answered", 2: "refusal", 3: "no_documents", 4: "unavailable", 5: "no_answer"}
+        assert ("Q: before\nA: then" in prompt) == (question == "sky?")
+        reply = {"sky?": '{"segments":[{"text":"blue","passage_numbers":[1,2]}]}', "mute?": '{"segments":[]}'}.get(question)
+        return provider.Reply(200, reply) if reply else provider.Reply(400)
+
+    more = [(6, " ", [1.0, 0.0], "u"), (7, "x" * 2001, [1.0, 0.0], "u")]
+    asked = asked.unionByName(spark.createDataFrame(more, asked.schema)).withColumn("document_ids", F.when(F.col("query_id") == 3, F.array(F.lit("d1"))))
+    history = F.when(F.col("query_id") == 1, F.array(F.struct(F.lit("before").alias("question"), F.lit("then").alias("answer")))).otherwise(F.array().cast(answer.TURN))
+    rows = {r.query_id: r for r in answer.answered(asked.withColumn("history", history), passages, documents, call, ["user_id"]).collect()}
+    assert {k: r.outcome for k, r in rows.items()} == {1: "answered", 2: "refusal", 3: "empty_scope", 4: "unavailable", 5: "no_answer", 6: "invalid", 7: "invalid"}
     citation = rows[1].segments[0].citations[0]
     assert (citation.filename, list(citation.chunk_indexes)) == ("f.md", [0, 1])
 
 
+def test_document_scope_and_history(spark):
+    passages = spark.createDataFrame([(i, f"d{i % 3}", [1.0, i / 100], "u") for i in range(30)], "passage_id int, document_id string, embedding array<float>, user_id string")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], "u", ["d1"]), (2, [1.0, 0.0], "u", []), (3, [1.0, 0.0], "u", None), (4, [1.0, 0.0], "u", ["d9"])], "query_id int, embedding array<float>, user_id string, document_ids array<string>")
+    rows = retrieval.nearest(asked, passages, ["user_id"], k=4, exclude_self=False, slices=3).collect()
+    got = {q: [r.passage_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == q] for q in (1, 2, 3, 4)}
+    assert got == {1: [1, 4, 7, 10], 2: [0, 1, 2, 3], 3: [0, 1, 2, 3], 4: []}
+    messages = [("u", t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(10)] + [("v", 0, "user", "alone")]
+    questions = spark.createDataFrame([(1, "now?", "u"), (2, "new?", "v")], "query_id int, question string, user_id string")
+    found = {r.query_id: [tuple(t) for t in r.history] for r in answer.with_history(questions, spark.createDataFrame(messages, "user_id string, t int, role string, text string"), "user_id", ["t"]).collect()}
+    assert found == {1: [("m4", "m5"), ("m6", "m7"), ("m8", "m9")], 2: []}
+    vectors = answer.embedded(questions, "question", lambda texts: [[float(len(t))] for t in texts]).collect()
+    assert all(list(r.embedding) == [float(len(r.question))] for r in vectors)
+
+
+def test_attempts_and_waiting():
+    good = '{"segments": []}'
+
+    def run(replies, attempts=3):
+        waits, made = [], iter(replies)
+
+        def call(prompt, text, seconds):
+            x = next(made)
+            if isinstance(x, Exception):
+                raise x
+            return x
+
+        return *provider.attempted(call, "p", "t", attempts, 45.0, provider.is_object_with("segments"), waits.append), waits
+
+    R = provider.Reply
+    assert run([R(200, good)]) == (good, 1, None, [])
+    assert run([R(500), TimeoutError("slow"), R(200, good)]) == (good, 3, None, [3.0, 6.0])
+    assert run([R(429, None, 7.5), R(429), R(200, good)]) == (good, 3, None, [7.5, 6.0])
+    assert run([R(429, None, 99.0), R(200, good)]) == (good, 2, None, [30.0])
+    assert run([R(401)]) == (None, 1, "status 401", [])
+    assert run([R(200, "no json"), R(200, '{"segments": 3}'), R(200, "[]")]) == (None, 3, "malformed reply", [3.0, 6.0])
+    assert run([R(503), R(503)], 2) == (None, 2, "status 503", [3.0])
+
+
+def test_screens(spark):
+    rows = [("user", None, "q?", None), ("assistant", "refusal", None, None), ("assistant", "no_answer", None, None), ("assistant", None, None, [("a",), (None,), ("b",)])]
+    df = spark.createDataFrame(rows, "role string, empty_reason string, question string, segments array<struct<text:string>>")
+    kind = screens.message_kind(F.col("role"), F.col("empty_reason"))
+    got = [tuple(r) for r in df.select(kind, screens.message_text(kind, F.col("question"), F.col("segments"))).collect()]
+    assert got == [("user", "q?"), ("refusal", ""), ("notice", ""), ("assistant", "a  b")]
+    one = spark.range(1)
+    ids = F.array(F.lit("a"), F.lit("b"))
+    row = one.select(screens.toggled(ids, F.lit("a")), screens.toggled(ids, F.lit("c")), screens.retained(ids, F.array(F.lit("b"), F.lit("z"))), screens.node_id(F.lit("Person"), F.lit("Ann")), screens.type_label(F.lit("pdf")), screens.type_label(F.lit("odd")), screens.date_label(F.lit("2026-08-10").cast("timestamp")), screens.date_label(F.lit(None).cast("timestamp"))).first()
+    assert list(map(lambda x: list(x) if isinstance(x, list) else x, row)) == [["b"], ["a", "b", "c"], ["b"], "Person:Ann", "PDF", "odd", "Aug 10, 2026", "—"]
+    limits_ = one.select(*(screens.page_limit_reason(F.lit(n)) for n in (0, 1, 50, 51))).first()
+    assert list(limits_) == ["limit out of range", None, None, "limit out of range"]
+    edges = spark.createDataFrame([("a", "b", 0), ("b", "a", 1), ("a", "b", 2), ("a", "c", 3)], "source string, target string, i int")
+    assert [(r.i, round(r.curvature, 2)) for r in screens.curved_edges(edges, "i").orderBy("i").collect()] == [(0, -0.22), (1, 0.0), (2, 0.22), (3, 0.0)]
+    nodes = spark.createDataFrame([("a", "Ann"), ("b", "Bob")], "id string, name string")
+    assert {(r.source_name, r.target_name) for r in screens.named_edges(edges.drop("i"), nodes).collect()} == {("Ann", "Bob"), ("Bob", "Ann"), ("Ann", "c")}
+
+
+def test_library_writes(spark, tmp_path):
+    schema = "id string, user_id string, name string, color string, created_at timestamp"
+    path = str(tmp_path / "folders")
+    assert library.inserted(spark.createDataFrame([("1", "u", "A")], "id string, user_id string, name string"), schema, path) == 1
+    library.inserted(spark.createDataFrame([("2", "u", "B")], "id string, user_id string, name string"), schema, path)
+    table = spark.read.parquet(path)
+    assert table.count() == 2 and table.columns == ["id", "user_id", "name", "color", "created_at"]
+    assert library.n_changed(table, F.col("name") == "A") == 1
+    with pytest.raises(ValueError):
+        library.inserted(spark.range(1).toDF("other"), schema, path)
+    users = spark.createDataFrame([("u", "x", None, "2024-01-01"), ("v", "y", "2025-01-01", "2024-01-01")], "id string, theme string, v string, c string").select("id", "theme", F.col("v").cast("timestamp").alias("email_verified_at"), F.col("c").cast("timestamp").alias("created_at"))
+    done = library.updated_profile(users, "v", F.lit("2026-01-01").cast("timestamp"), theme="dark")
+    assert {(r.id, r.theme, str(r.email_verified_at)[:4]) for r in done.collect()} == {("u", "x", "None"), ("v", "dark", "2025")}
+    assert {str(r.email_verified_at)[:4] for r in library.with_verified(users).collect()} == {"2024", "2025"}
+    assert [tuple(r) for r in spark.createDataFrame([(" ", "12345678"), ("A", "short"), ("A", "12345678")], "n string, p string").select(library.account_reason(F.col("n"), F.col("p"))).collect()] == [("blank name",), ("password length",), (None,)]
+
+
+def test_concurrent_slots_against_a_loop(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(3), i, float(s := rnd.randrange(60)), float(s + rnd.randrange(1, 40))) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, i int, s double, e double")
+    got = {r.i: r.admitted for r in limits.concurrent(df, "k", "s", "e", "i", 5).collect()}
+    want, live = {}, {}
+    for k, i, s, e in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        open_now = [x for x in live.get(k, []) if x > s]
+        want[i] = len(open_now) < 5
+        live[k] = open_now + [e] * want[i]
+    assert got == want and False in want.values()
+    peaks = {r.k: r.peak for r in limits.in_flight(df, "k", "s", "e", window=7.0).collect()}
+    assert peaks == {k: max(sum(1 for kk, _, s, e in rows if kk == k and s <= t < e) for t in range(100)) for k in range(3)}
+
+
 def pairs_of(rows):
     out, i = [], 0
     while i + 1 < len(rows):
