@@ -42,3 +42,51 @@ def test_limiter_stream_equals_batch(spark, tmp_path):
     got = sorted((r.key, r["at"], r.admitted) for r in spark.sql("select * from limited").collect())
     batch = limits.sliding_log(spark.read.parquet(source), "k", "at", "i", 3, 60.0)
     assert got == sorted((r.k, r["at"], r.admitted) for r in batch.collect())
+
+
+def test_files_of_every_type(spark, tmp_path):
+    """Chapters by type, vectors, and a reason for each upload that fails; others are not touched by it."""
+    files = [
+        ("m", "u", "a.md", b"intro\n# One\nfirst words\n", None),
+        ("h", "u", "b.html", b"<body><h1>Head</h1><p>some text</p></body>", "text/html"),
+        ("x", "u", "c.md", b"\xff\xfe", None),
+        ("e", "v", "d.html", b"<body><!-- nothing --></body>", None),
+        ("z", "v", "e.docx", b"data", None),
+        ("t", "v", "f.md", b"text", "application/pdf"),
+        ("p", "v", "g.pdf", b"%PDF", None),
+    ]
+    source = str(tmp_path / "in")
+    spark.createDataFrame(files, "document_id string, user_id string, filename string, content binary, content_type string").write.parquet(source)
+    schema = "document_id string, user_id string, filename string, content binary, content_type string"
+
+    def run(name, **options):
+        target = str(tmp_path / name)
+        ingest.ingest_files(spark.readStream.schema(schema).parquet(source), target, f"{target}-state", **options).awaitTermination(120)
+        passages, status = spark.read.parquet(f"{target}/passages"), spark.read.parquet(f"{target}/status")
+        last = status.groupBy("document_id").agg(F.max_by(F.struct("status", "reason"), "seq").alias("s"))
+        return {r.document_id: tuple(r.s) for r in last.collect()}, passages.orderBy("id", "chunk_index").collect()
+
+    status, rows = run("fine", embedder=lambda texts: [[float(len(t)), 1.0] for t in texts])
+    assert [(r.id, r.user_id, r.chapter, r.text, list(r.embedding)) for r in rows] == [
+        ("h", "u", rows[0].chapter, rows[0].text, [float(len(rows[0].text)), 1.0]),
+        ("m", "u", "Full Document", "intro", [5.0, 1.0]),
+        ("m", "u", "One", "first words", [11.0, 1.0]),
+    ]
+    assert rows[0].id == "h" and "some text" in rows[0].text
+    read = "Could not read this document: "
+    assert status == {
+        "m": ("Ready", None), "h": ("Ready", None), "x": ("Failed", read + "not valid UTF-8"), "e": ("Failed", read + "no extractable text"),
+        "z": ("Failed", read + "unsupported format"), "t": ("Failed", read + "content type disagrees"), "p": ("Failed", read + "no parser for pdf"),
+    }
+
+    def pages(df):
+        return df.select("document_id", F.array(F.lit("page one"), F.lit("page two")).alias("pages"), F.array(F.struct(F.lit("Part").alias("title"), F.lit(1).alias("page"))).alias("outline"))
+
+    status, rows = run("pdf", pdf_reader=pages)
+    assert status["p"] == ("Ready", None) and [(r.chapter, r.text) for r in rows if r.id == "p"] == [("Full Document", "page one"), ("Part", "page two")]
+
+    def broken(texts):
+        raise RuntimeError("no vectors")
+
+    status, rows = run("broken", embedder=broken)
+    assert rows == [] and status["m"][0] == "Failed" and status["m"][1].startswith("Could not index this document's content: ") and status["x"][1] == read + "not valid UTF-8"
