@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash
 
-from ..operators import answers, chunking, conversation, evaluation, graph, library, limits, retrieval
+from ..operators import answers, chunking, conversation, evaluation, graph, library, limits, retrieval, screens
 from ..schemas import PASSAGE_CHARS
+from ..settings import shared_folder
 from ..sources import html, markdown, pdf, uploads
 
 
@@ -64,6 +65,59 @@ def vector_topk_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("passage_id").alias("vec_id"), "rank", "distance", "outcome")
 
 
+@query(
+    """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 50 = 0),
+pairs AS (
+  SELECT query_id, vec_id, round(list_cosine_distance(q.e, p.embedding::DOUBLE[]), 6) AS distance
+  FROM q JOIN embeddings p ON q.label = p.label AND p.vec_id <> q.query_id WHERE query_id % 100 = 0 OR p.vec_id % 20 IN (query_id // 50 % 20, 3)
+)
+SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= 8
+"""
+)
+def vector_topk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other question with a scope of two documents; passages are dealt into twenty."""
+    vectors = table(spark, sf_dir, "embeddings")
+    mine = F.array(F.concat(F.lit("d"), (F.floor(F.col("vec_id") / 50) % 20).cast("string")), F.lit("d3"))
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label", F.when(F.col("vec_id") % 100 != 0, mine).alias("document_ids"))
+    passages = vectors.select(F.col("vec_id").alias("passage_id"), "embedding", "label", F.concat(F.lit("d"), (F.col("vec_id") % 20).cast("string")).alias("document_id"))
+    return retrieval.nearest(queries, passages, ["label"]).select("query_id", F.col("passage_id").alias("vec_id"), "rank", "distance")
+
+
+@query(
+    """
+SELECT conv_id, turn, CASE WHEN trim(coalesce(text, ''), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) = '' THEN 'blank question'
+  WHEN length(trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) > 2000 THEN 'question too long'
+  WHEN conv_id % 300 > 200 THEN 'too many documents' END AS reason,
+  CASE WHEN turn NOT BETWEEN 1 AND 50 THEN 'limit out of range' END AS page_reason
+FROM conversations WHERE role = 'user'
+"""
+)
+def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as questions, with a scope of conv_id % 300 documents and pages of ``turn`` rows."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
+    scope = F.array_repeat(F.lit("d"), (F.col("conv_id") % 300).cast("int"))
+    return rows.select("conv_id", "turn", screens.request_reason(F.col("text"), scope).alias("reason"), screens.page_limit_reason(F.col("turn")).alias("page_reason"))
+
+
+@query(
+    """
+WITH kinds AS (
+  SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN 'user' WHEN turn % 5 = 1 THEN 'refusal' WHEN turn % 5 = 3 THEN 'notice' ELSE 'assistant' END AS kind
+  FROM conversations WHERE role <> 'system'
+)
+SELECT conv_id, turn, kind, sha256(CASE kind WHEN 'user' THEN text WHEN 'assistant' THEN concat(text, ' ', turn) ELSE '' END) AS text_hash FROM kinds
+"""
+)
+def message_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as shown and searched; answers have two segments, and some a reason to be empty."""
+    rows = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    empty = F.when((F.col("role") != "user") & (F.col("turn") % 5 == 1), "refusal").when((F.col("role") != "user") & (F.col("turn") % 5 == 3), "no_answer")
+    segments = F.array(F.struct(F.col("text").alias("text")), F.struct(F.col("turn").cast("string").alias("text")))
+    kind = screens.message_kind(F.col("role"), empty)
+    return rows.select("conv_id", "turn", kind.alias("kind"), F.sha2(screens.message_text(kind, F.col("text"), segments), 256).alias("text_hash"))
+
+
 @query(
     """
 WITH states AS (SELECT * FROM (VALUES (false, false), (false, true), (true, false), (true, true)) AS s(has_passages, scoped)),
@@ -85,7 +139,7 @@ def answer_outcome_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 WITH mentions AS (
-  SELECT conv_id, turn, pos, (conv_id * 3 + pos * 7) % 200 AS document_id, CASE WHEN pos % 2 = 0 THEN 'even' ELSE 'odd' END AS chapter, (turn + pos) % 4 AS chunk_index
+  SELECT conv_id, turn, pos, (conv_id * 3 + turn * 7919 + pos * 7) % (SELECT max(doc_id) + 1 FROM documents) AS document_id, CASE WHEN pos % 2 = 0 THEN 'even' ELSE 'odd' END AS chapter, (turn + pos) % 4 AS chunk_index
   FROM conversations, (VALUES (0), (1), (2), (3), (4)) AS p(pos) WHERE role = 'assistant'
 ), firsts AS (
   SELECT conv_id, turn, chapter, source AS filename, chunk_index, min(pos) AS pos FROM mentions JOIN documents ON document_id = doc_id GROUP BY ALL
@@ -95,13 +149,15 @@ FROM firsts GROUP BY conv_id, turn, chapter, filename
 """
 )
 def citation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions spread over the ids of all documents."""
     pos = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("pos")
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", pos)
+    ids = table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("_ids"))  # one row
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", pos).join(F.broadcast(ids))
     mentions = rows.select(
         "conv_id",
         "turn",
         "pos",
-        ((F.col("conv_id") * 3 + F.col("pos") * 7) % 200).alias("document_id"),
+        ((F.col("conv_id") * 3 + F.col("turn") * 7919 + F.col("pos") * 7) % F.col("_ids")).alias("document_id"),
         F.when(F.col("pos") % 2 == 0, "even").otherwise("odd").alias("chapter"),
         ((F.col("turn") + F.col("pos")) % 4).alias("chunk_index"),
     )
@@ -110,7 +166,22 @@ def citation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.withColumn("chunk_indexes", F.array_join(F.col("chunk_indexes").cast("array<string>"), ","))
 
 
-@query()
+@query(
+    """
+WITH replies AS (
+  SELECT conv_id, turn, CAST(concat('{"segments":[{"text":', to_json(text), ',"passage_numbers":',
+    CASE conv_id % 4 WHEN 0 THEN '[1,2]' WHEN 1 THEN '[1,true,1.0,9,"2",-1]' WHEN 2 THEN '[]' ELSE '7' END, '},7]}') AS JSON) AS reply
+  FROM conversations WHERE role = 'assistant'
+), items AS (SELECT conv_id, turn, unnest(json_extract(reply, '$.segments[*]')) AS item FROM replies),
+read AS (
+  SELECT conv_id, turn, trim(item ->> '$.text', concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160))) AS text,
+    list_filter(list_transform(list_filter(json_extract(item, '$.passage_numbers[*]'), lambda n: json_type(n) IN ('UBIGINT', 'BIGINT')), lambda n: CAST(n AS BIGINT)), lambda n: n BETWEEN 1 AND 3) AS numbers
+  FROM items WHERE json_type(item, '$.text') = 'VARCHAR'
+)
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn) - 1 AS INTEGER) AS segment, text, array_to_string(numbers, ',') AS numbers
+FROM read WHERE text <> '' AND len(numbers) > 0
+"""
+)
 def answer_json_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies made of conversation texts, sound and broken in turn."""
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
@@ -120,7 +191,24 @@ def answer_json_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.posexplode(segments).alias("segment", "s")).select("conv_id", "turn", "segment", "s.text", F.array_join(F.col("s.numbers").cast("array<string>"), ",").alias("numbers"))
 
 
-@query()
+@query(
+    """
+WITH replies AS (
+  SELECT c_custkey, CAST(concat('{"entities":[{"name":" ', c_name, ' ","type":"Organization"},{"name":"', c_mktsegment, '","type":"Segment"},{"name":" ","type":"Person"},3],',
+    '"relationships":[{"source":"', c_name, '","target":"x","type":"WORKS_AT"},{"source":"a","target":"b","type":"KNOWS"}]}') AS JSON) AS reply
+  FROM customer
+), entities AS (
+  SELECT c_custkey, concat(e ->> '$.type', ':', trim(e ->> '$.name')) AS e FROM (SELECT c_custkey, unnest(json_extract(reply, '$.entities[*]')) AS e FROM replies)
+  WHERE trim(e ->> '$.name') <> '' AND e ->> '$.type' IN ('Person', 'Organization', 'Project', 'Product', 'Location')
+), relationships AS (
+  SELECT c_custkey, concat(r ->> '$.source', ':', r ->> '$.type', ':', r ->> '$.target') AS r FROM (SELECT c_custkey, unnest(json_extract(reply, '$.relationships[*]')) AS r FROM replies)
+  WHERE r ->> '$.type' IN ('WORKS_AT', 'SUPPLIES', 'PART_OF', 'LOCATED_IN', 'RELATED_TO')
+)
+SELECT c_custkey, coalesce((SELECT string_agg(e, ',') FROM entities x WHERE x.c_custkey = c.c_custkey), '') AS entities,
+  coalesce((SELECT string_agg(r, ',') FROM relationships x WHERE x.c_custkey = c.c_custkey), '') AS relationships
+FROM customer c
+"""
+)
 def extraction_json_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model output for each customer, with a bad entity and a bad relationship in each."""
     rows = table(spark, sf_dir, "customer")
@@ -249,7 +337,15 @@ def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).select(F.col("id").alias("doc_id"), "chunk_index", "is_chapter_start", _hash("text").alias("text_hash"))
 
 
-@query()
+@query(
+    f"""
+WITH {_CHUNKS_SQL},
+digests AS (SELECT doc_id, chunk_index, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || CAST(concat(doc_id, ':', chunk_index) AS BLOB)) AS d FROM chunks)
+SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index,
+  concat(d[1:8], '-', d[9:12], '-5', d[14:16], '-', substr('89ab89ab89ab89ab', 1 + CAST(concat('0x', d[17:17]) AS INTEGER), 1), d[18:20], '-', d[21:32]) AS chunk_id
+FROM digests
+"""
+)
 def chunk_uuid5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.with_chunk_ids(_chunks(spark, sf_dir)).select(F.col("id").alias("doc_id"), "chunk_index", "chunk_id")
 
@@ -458,6 +554,37 @@ def graph_view_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.visible_edges(drawn, " Sup ", "Location").select("src_name", "rel_type", "dst_name")
 
 
+@query(
+    f"""
+WITH {_GRAPH_SQL}, {_INDUCED_SQL},
+sided AS (SELECT *, concat(src_type, ':', src_name) AS source, concat(dst_type, ':', dst_name) AS target FROM drawn),
+placed AS (
+  SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY src_name, dst_name, rel_type, src_type, dst_type) - 1 AS i FROM sided
+  WINDOW w AS (PARTITION BY least(source, target), greatest(source, target))
+)
+SELECT source, target, rel_type, round(CASE WHEN n < 2 THEN 0.0 WHEN source <= target THEN (i - (n - 1) / 2.0) * 0.22 ELSE -(i - (n - 1) / 2.0) * 0.22 END, 6)::DOUBLE AS curvature FROM placed
+"""
+)
+def graph_edges_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = trade_graph(spark, sf_dir)
+    drawn = graph.induced_edges(edges, graph.top_nodes(nodes, edges))
+    ends = {"source": screens.node_id(F.col("src_type"), F.col("src_name")), "target": screens.node_id(F.col("dst_type"), F.col("dst_name"))}
+    curved = screens.curved_edges(drawn.withColumns(ends), "src_name", "dst_name", "rel_type", "src_type", "dst_type")
+    return curved.select("source", "target", "rel_type", F.round("curvature", 6).alias("curvature"))
+
+
+@query(
+    f"""
+WITH {_GRAPH_SQL}
+SELECT type, name, CAST(dense_rank() OVER (ORDER BY type) AS INTEGER) AS "group", CAST(row_number() OVER (PARTITION BY type ORDER BY degree DESC, name) AS INTEGER) AS place FROM top
+"""
+)
+def graph_nodes_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = trade_graph(spark, sf_dir)
+    ranked = graph.top_nodes(nodes, edges).withColumn("rank", F.struct((-F.col("degree")).alias("d"), F.col("name").alias("n")))
+    return screens.grouped_nodes(ranked, "rank").select("type", "name", "group", "place")
+
+
 _MENTIONS_SQL = """
 mentions AS (
   SELECT DISTINCT 'Organization' AS type, c_name AS name, o_orderkey AS document_id, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey
@@ -582,8 +709,7 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ..streaming.ingest import ingest
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/passagework"
-    target = f"{folder}/ingest-{uuid.uuid4().hex}"
+    target = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     path = f"{sf_dir}/documents.parquet"
     # a pattern reads a single file and a folder of files alike
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
