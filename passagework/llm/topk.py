@@ -18,9 +18,11 @@ Scores are integers below 2^53, so doubles hold them exactly.
 
 Defined cases: vectors that are null or hold a null or non-finite component take
 no part, nor do empty ones; vectors of different lengths are never compared (the
-length is part of the unit); equal vectors tie and go by the smaller id; rows
-with the same id as the query are not its candidates; null ids take no part; an
-empty table gives an empty result; extra columns are ignored.
+length is part of the unit); equal vectors tie and go by the smaller id; a query's
+own row alone is not its candidate, other rows of the same id are, and repeated ids among
+the queries are queries of their own; null ids take no part; an empty table
+gives an empty result; extra columns are ignored.  Rows are numbered by partition
+and order: the input must read the same when it is read again, as tables do.
 """
 
 from __future__ import annotations
@@ -40,13 +42,14 @@ FEW = 16
 
 
 def rounded_vectors(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(id, v): floor(SCALE * x) of the vectors that take part."""
+    """(id, row, v): floor(SCALE * x) of the vectors that take part; ``row`` tells rows of one id apart."""
     v = F.col(vector_column)
     sound = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.col(id_column).isNotNull()
-    return df.where(sound).select(F.col(id_column).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
+    numbered = df.select(F.col(id_column), v, F.monotonically_increasing_id().alias("row"))
+    return numbered.where(sound).select(F.col(id_column).cast("long").alias("id"), "row", F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
 
 
-def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def block_top(ids: np.ndarray, rows: np.ndarray, x: np.ndarray, query_rows: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(position of the query, ids, scores) of the at most ``k`` best of a block of candidates."""
     n = len(ids)
     ranked = np.sort(x, axis=0)  # a sorted list for each dimension
@@ -58,7 +61,7 @@ def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarr
         u, d = up[:, waiting], down[:, waiting]
         upper = np.maximum(x, high) @ u + np.minimum(x, low) @ d
         lower = np.where(x >= high, x, ranked[0]) @ u + np.where(x <= low, x, ranked[-1]) @ d
-        own = ids[:, None] == query_ids[waiting][None, :]
+        own = rows[:, None] == query_rows[waiting][None, :]
         upper[own] = lower[own] = -np.inf
         kth = min(k, n)
         bar = np.partition(lower, n - kth, axis=0)[n - kth]
@@ -82,29 +85,27 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _unit(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+        out: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 4]
         if left.num_rows and right.num_rows:
-            ids, query_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
-            for at, found, score in block_top(ids, _matrix(left.column("v")), query_ids, _matrix(right.column("v")), k):
-                out[0].append(np.full(len(found), query_ids[at]))
-                out[1].append(found)
-                out[2].append(score.astype(np.int64))
-        return pa.table({"query": np.concatenate(out[0]), "id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
+            ids, rows, query_ids, query_rows = (t.column(c).to_numpy() for t in (left, right) for c in ("id", "row"))
+            for at, found, score in block_top(ids, rows, _matrix(left.column("v")), query_rows, _matrix(right.column("v")), k):
+                out.append((np.full(len(found), query_rows[at]), np.full(len(found), query_ids[at]), found, score.astype(np.int64)))
+        return pa.table(dict(zip(("query_row", "query", "id", "score"), map(np.concatenate, zip(*out)))))
 
     return run
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, group: int = GROUP) -> DataFrame:
-    """(query, rank, id, score) for (id, v) candidates and queries; ids of queries are distinct."""
+    """(query, rank, id, score) for (id, row, v) candidates, and queries that are some of their rows."""
     n, m = candidates.count(), queries.count()
     blocks, groups = max(1, -(-n // block)), max(1, -(-m // group))
     width = F.size("v").alias("width")
     every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    left = candidates.select("id", "v", width, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), every_group)
-    right = queries.select("id", "v", width, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("group"), every_block)
+    left = candidates.select("id", "row", "v", width, F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), every_group)
+    right = queries.select("id", "row", "v", width, F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups)).cast("int").alias("group"), every_block)
     key = ["width", "block", "group"]
     # the best of each unit: at most k rows for a query and block
-    best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_unit(k), "query long, id long, score long")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_unit(k), "query_row long, query long, id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
