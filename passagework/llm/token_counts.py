@@ -7,7 +7,8 @@ before it, or a line feed with the word after it.
 
 1. A task reads its rows in blocks and turns each block round: for each distinct
    unit, which documents hold it and how often (``postings``).  Units are dealt
-   by hash into groups; a block has one compressed row for each group.
+   by hash into groups, whose number follows the bytes of all texts and not the
+   partitions; a block has one compressed row for each group that it has units of.
 2. A group joins the blocks' units: every distinct unit's pieces are counted
    once, times the frequencies, and summed per document.  Ids of documents are
    never made.
@@ -36,10 +37,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
 from .packed import pack_bytes, unpack_bytes
 
 BLOCK_CHARS, BLOCK_ROWS = 12_000_000, 60_000
+#: Bytes of all texts that a group of units stands for, and groups of any input.
+GROUP_BYTES, LEAST_GROUPS = 32 << 20, 16
 HOT = 32
 MARK = "▁"
 UNIT = re.compile(r" +[^ \n]+| +|\n[^ \n]*")
@@ -220,12 +222,13 @@ def _sum_block(block: pa.Table) -> pa.Table:
     )
 
 
-def token_counts(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(id, n_bytes, n_tokens) of each row."""
     if not splits_at_spaces(model_path):
         raise ValueError("the vocabulary has pieces that reach over spaces or line feeds")
-    groups = max(8, shuffle_width(docs.sparkSession))
     given = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = LEAST_GROUPS + total // group_bytes
     blocks = given.mapInArrow(_block_batches(groups), SCHEMA)
     # heads keep apart: each is a group of its own
     apart = F.when(F.col("part") < 0, -1 - F.col("block")).otherwise(F.col("part"))
