@@ -547,6 +547,41 @@ def test_toxicity_on_held_out_documents(spark):
             assert any(b in got[i].text[s.start : s.end] for b in bad)
 
 
+def test_toxicity_is_a_noisy_or_of_sentences(spark):
+    """Every score of a table from the weights alone, sentence by sentence."""
+    import re
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels").where(toxicity.third("doc_id") != 1)
+    bias, weights, constant = toxicity.learnt(docs, labels)
+    assert constant is None and weights and bias == toxicity.BIAS
+
+    def model(text):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            spoken = set(re.sub("[" + re.escape(toxicity.DIVIDERS) + "]", " ", sentence.lower()).split())
+            held = [weights.get(f, 0.0) for w in spoken for f in {w} | {"^" + w[:k] for k in (3, 4, 5, 6) if k < len(w)} | {"*" + w[i : i + 5] for i in range(1, len(w) - 4)}]
+            if sum(map(abs, held)) > 0:
+                clean *= 1 - 1 / (1 + math.exp(-bias - sum(held)))
+        return 1 - clean
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    scores = {r.doc_id: r.score for r in queries.op4_toxicity(spark, sf).collect()}
+    assert scores.keys() == texts.keys()
+    for i, t in texts.items():
+        assert abs(scores[i] - model(t)) < 1e-6, i
+    assert len({round(s, 6) for s in scores.values()}) > 5
+
+
+def test_toxicity_of_a_very_long_text(spark):
+    long = "calm plain prose goes on. " * 60_000
+    docs = spark.createDataFrame([(i, f"vile slur number {i}" if i % 5 == 0 else f"calm plain prose {i}", "en", "a", 1) for i in range(300)] + [(1000, long, "en", "a", 1), (1001, long + "vile slur.", "en", "a", 1)], DOCS)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels, carry=["doc_id"]).collect()}
+    assert got[1000].score < 0.3 and got[1001].score > 0.7
+    assert [(o.start, o.end) for o in got[1001].offending] == [(len(long) - 1, len(long) + 9)]
+
+
 def test_toxicity_labels_of_the_third_are_not_read(spark, sf_dir):
     docs = queries.table(spark, sf_dir, "documents")
     labels = queries.table(spark, sf_dir, "labels")
@@ -635,6 +670,56 @@ def test_topk_odd_vectors(spark, block, group):
     assert topk.top_k(nothing, nothing).count() == 0
 
 
+def test_topk_of_repeated_ids(spark):
+    """A query's own row is no candidate, other rows of its id are; each row of an id is a query of its own."""
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (7, [0.5, 0.5]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<float>")
+    numbered = topk.rounded_vectors(df, "vec_id", "v")
+    found = topk.top_k(numbered, numbered.where("id % 50 = 0"), 2).collect()
+    want = []
+    for k, (q, v) in enumerate(rows):
+        if q == 50:
+            scores = sorted((-int(256 * 256 * (v[0] * w[0] + v[1] * w[1])), i) for j, (i, w) in enumerate(rows) if i is not None and j != k)
+            want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(scores[:2])]
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+# --- extra columns ------------------------------------------------------------------------------------
+
+CLASH = ["id", "row", "block", "part", "body", "fp", "component", "kept", "spans", "base", "score", "offending", "rank", "v", "length", "piece", "crc", "sequence", "size", "copies", "target", "_q_key", "_p_row", "_t_text", "name", "u", "start", "stays"]
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda d: packing.pack(d, queries.tokenizer_path("word_bpe_49k.json")).select("id", "piece", "length", "crc"),
+        lambda d: mixing.mix(d, ["doc_id"]).select("doc_id", "size", "target", "copies"),
+        lambda d: simhash.near_duplicates(d),
+        lambda d: simhash.distinct_documents(d).select("doc_id", "text"),
+        lambda d: pii.personal_data(d, carry=["doc_id"]).select("doc_id", pii.listed("spans").alias("s")),
+        lambda d: suffixes.without_repeats(d, with_bytes=False).select("id", "n_removed", "kept_sha256"),
+        lambda d: token_counts.token_counts(d, queries.tokenizer_path("piece_bpe_32k.model")),
+        lambda d: quality.quality_rules(d, carry=["doc_id"]),
+        lambda d: toxicity.toxicity(d, d.sparkSession.createDataFrame([(4, 1), (5, 0)], "doc_id long, toxic int"), carry=["doc_id"]).select("doc_id", "score"),
+    ],
+)
+def test_extra_columns_do_not_matter(docs, make):
+    more = docs.select("*", *(F.lit("x").alias(c) for c in CLASH))
+    plain = sorted(map(str, make(docs).collect()))
+    assert plain and sorted(map(str, make(more).collect())) == plain
+
+
+def test_topk_and_warc_with_extra_columns(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], "x", 3, "y") for i in range(60)], "vec_id long, embedding array<float>, id string, row int, v string")
+    rows = topk.rounded_vectors(df, "vec_id", "embedding")
+    plain = topk.rounded_vectors(df.select("vec_id", "embedding"), "vec_id", "embedding")
+    assert sorted(map(tuple, topk.top_k(rows, rows.where("id = 50")).collect())) == sorted(map(tuple, topk.top_k(plain, plain.where("id = 50")).collect()))
+    pages = [(1, "http://a.b/", "x" * 1200), (1, "http://a.b/", "x" * 1200), (None, "http://a.b/c", "x" * 1200), (2, None, None), (3, "http://a.b/", "x" * 1200), (4, "u", "é" * 400_000)]
+    df = spark.createDataFrame([(*p, "z", "z", "z") for p in pages], "page_id long, url string, html string, id string, sha1 string, run string")
+    found = sorted(((r.id or -1, r.type, r.refers, r.n_bytes) for r in warc.capture_index(warc.captures_of(df)).collect()), key=str)
+    assert found == sorted([(1, "revisit", 3, 1200), (1, "revisit", 3, 1200), (-1, "revisit", 3, 1200), (2, "response", None, 0), (3, "response", None, 1200), (4, "response", None, 800_000)], key=str)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
     from oracle import connection, rows
