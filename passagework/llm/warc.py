@@ -6,9 +6,11 @@ by Spark's text writer, one gzip file a task, with the record separator of the
 format; nothing of a payload passes the driver.
 
 Reading: each archive is parsed as a stream and yields one locally sorted run of
-index rows (URL key, time, id).  ``merge_runs`` deals the runs out in ranges of that key and merges,
-in each range, the runs' sorted parts by a loser tree; ranges follow each other, so
-the whole is ordered, and ``history`` numbers the captures of a URL.
+index rows (URL key, time, id).  ``merge_runs`` cuts each run at the bounds of ranges of that
+key, so that a range gets one packed, sorted slice of each run, and merges the slices
+by a loser tree, reading them in turn; ranges follow each other, so the whole is
+ordered, and ``history`` numbers the captures of a URL.  Bounds are drawn from a sample of
+at most ``BOUND_ROWS`` rows, which only balances the ranges: every row is merged.
 
 Defined cases: a null payload is empty; a null URL has the empty key; equal rows
 (same id, too) each have a record, and rows of the largest id are all responses;
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +34,8 @@ from .common import fresh_path, settle, shuffle_width
 LEAST_BYTES = 1000
 #: Records of an archive at most; an archive is read as one value.
 RECORDS = 20_000
+#: Rows that the bounds of ranges are drawn from, rows of a packed batch, and of a slice at most.
+BOUND_ROWS, SLICE_ROWS, MOST_SLICE_ROWS = 20_000, 4096, 1 << 16
 #: Captures without a time of their own are taken to be a second apart from here on.
 EPOCH = "2024-01-01 00:00:00"
 BREAK = "\r\n"
@@ -51,7 +56,8 @@ def decided(captures: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     rows = captures.withColumn("payload", body).withColumns({"n_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1(F.col("payload").cast("binary"))})
     # a row for each payload that occurs twice; a frequent payload is one row a task before the shuffle
     often = rows.where(F.col("n_bytes") >= least_bytes).groupBy(F.col("sha1").alias("often")).agg(F.max("id").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1 and newest is not null").drop("n")
-    joined = rows.join(often, (F.col("sha1") == F.col("often")) & (F.col("n_bytes") >= least_bytes), "left")
+    # written, so that its size is known: payloads move only if very many occur twice
+    joined = rows.join(settle(often, "warc-often"), (F.col("sha1") == F.col("often")) & (F.col("n_bytes") >= least_bytes), "left")
     return joined.withColumn("refers", F.when(F.col("id").eqNullSafe(F.col("newest")), F.lit(None).cast("long")).otherwise(F.col("newest"))).drop("often", "newest")
 
 
@@ -205,30 +211,89 @@ class LoserTree:
             self._replay(w)
 
 
-def _merge_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a range in order of run, each run sorted: merged by key, time, id."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    rows = list(zip(*(c.to_pylist() for c in table.columns)))
-    cuts = [0, *(i for i in range(1, len(rows)) if rows[i][0] != rows[i - 1][0]), len(rows)]
-    runs = [iter(rows[a:b]) for a, b in zip(cuts, cuts[1:])]
-    merged = list(LoserTree(runs, _order))
-    for a in range(0, len(merged), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*merged[a : a + 20_000]), table.schema)], schema=table.schema)
+SLICES = "part long, run string, slice long, rows binary"
+
+
+def _pack_slice(part: int, run: str, number: int, rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for a in range(0, len(rows), SLICE_ROWS):
+            out.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + SLICE_ROWS]), schema)], schema=schema))
+    return pa.RecordBatch.from_pydict({"part": [part], "run": [run], "slice": [number], "rows": [sink.getvalue().to_pybytes()]}, schema=pa.schema([("part", pa.int64()), ("run", pa.string()), ("slice", pa.int64()), ("rows", pa.binary())]))
+
+
+def _cut_runs(bounds: list[tuple]):
+    """Slices of sorted runs at the bounds; rows come in the order of their run, and a slice is closed where that order ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at, last, number = (None, None), None, 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                key = _order(row)
+                here = (bisect_right(bounds, key), row[0])
+                if held and (here != at or key < last or len(held) >= MOST_SLICE_ROWS):
+                    yield _pack_slice(*at, number, held, batch.schema)
+                    held, number = [], number + 1
+                held.append(row)
+                at, last = here, key
+        if held:
+            yield _pack_slice(*at, number, held, batch.schema)
+
+    return run
+
+
+def _unpacked_rows(data: bytes) -> Iterator[tuple]:
+    for batch in pa.ipc.open_stream(data):
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _merge_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed slices in order of their range: each range merged by key, time, id."""
+
+    def merged(slices: list[bytes]) -> Iterator[pa.RecordBatch]:
+        schema = pa.ipc.open_stream(slices[0]).schema
+        out: list[tuple] = []
+        for row in LoserTree([_unpacked_rows(x) for x in slices], _order):
+            out.append(row)
+            if len(out) == SLICE_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    held: list[bytes] = []
+    part = None
+    for batch in batches:
+        for p, rows in zip(batch.column("part").to_pylist(), batch.column("rows")):
+            if held and p != part:
+                yield from merged(held)
+                held = []
+            part = p
+            held.append(rows.as_py())
+    if held:
+        yield from merged(held)
+
+
+def range_bounds(runs: DataFrame, width: int) -> list[tuple]:
+    """At most ``width - 1`` ascending keys that part a bounded sample evenly; the same for the same rows."""
+    spread = F.xxhash64("run", "offset")
+    some = runs.orderBy(spread).select(*(f.split()[0] for f in RUN.split(", "))).limit(BOUND_ROWS).collect()
+    keys = sorted(_order(tuple(r)) for r in some)
+    return sorted({keys[len(keys) * k // width] for k in range(1, width)}) if keys else []
 
 
 def merge_runs(runs: DataFrame, width: int | None = None) -> DataFrame:
     """The rows of all runs in order of (url_key, time, id), range after range.
 
     Range bounds are over the whole key, which ends with the id and the place, so
-    that a URL or a host with many captures is split like any other rows.
+    that a URL or a host with many captures is split like any other rows.  What is
+    shuffled and put in order is packed slices, a row for each run and range.
     """
     width = width or 4 * shuffle_width(runs.sparkSession)
-    ranged = runs.repartitionByRange(width, "url_key", "time", "id", "run", "offset")
-    # a run's rows come in many shuffle blocks: in a range they are put back in its order
-    return ranged.sortWithinPartitions("run", "url_key", "time", "id", "offset").mapInArrow(_merge_range, RUN)
+    bounds = range_bounds(runs, width)
+    slices = runs.mapInArrow(_cut_runs(bounds), SLICES)
+    return slices.repartitionById(width, F.col("part").cast("int")).sortWithinPartitions("part").mapInArrow(_merge_slices, RUN)
 
 
 def capture_index(captures: DataFrame, least_bytes: int = LEAST_BYTES, path: str | None = None) -> DataFrame:

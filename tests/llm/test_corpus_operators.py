@@ -635,6 +635,23 @@ def test_warc_of_pages(spark, sf_dir):
         assert (r.payload_bytes, r.payload_digest, r.refers_to, r.record_type) == (len(data), hashlib.sha1(data).hexdigest(), refers, "revisit" if refers is not None else "response")
 
 
+@pytest.mark.parametrize("width", [1, 3, 40])
+def test_runs_merge_by_their_slices(spark, width, monkeypatch):
+    """Sorted runs with ties, repeats, null ids and one key that holds a third of all rows."""
+    rng = np.random.default_rng(width)
+    rows = []
+    for run in range(6):
+        mine = [(f"run{run}", "hot" if rng.random() < 0.33 else f"k{rng.integers(0, 9)}é", f"2024-01-0{rng.integers(1, 4)}", int(rng.integers(0, 50)) if rng.random() < 0.9 else None, 1, "s", "response", None, o, 1) for o in range(100)]
+        rows += sorted(mine, key=warc._order)
+    runs = spark.createDataFrame(rows, warc.RUN).coalesce(2)
+    merged = [tuple(r) for r in warc.merge_runs(runs, width).collect()]
+    assert merged == sorted(rows, key=warc._order)
+    # only packed slices are put in order by Spark: no more than a row for each run and range
+    slices = runs.mapInArrow(warc._cut_runs(warc.range_bounds(runs, width)), warc.SLICES).count()
+    assert slices <= 6 * width
+    assert warc.range_bounds(runs.where("false"), width) == []
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 8])
 def test_loser_tree(k):
     rng = np.random.default_rng(k)
