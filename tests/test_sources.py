@@ -139,3 +139,11 @@ def test_question_violations(spark, tmp_path):
     fixtures = spark.createDataFrame([("a.md",)], "filename string")
     found = sorted(tuple(r) for r in questions.violations(questions.read(spark, str(path)), fixtures).collect())
     assert found == [("1", "duplicate id"), ("1", "no needle"), ("1", "unknown category"), ("1", "unknown document"), ("1", "unknown match")]
+
+
+def test_markdown_texts_may_hold_any_character(spark):
+    marks = "\ue000\ue001\ue002\ue003" + "0123"
+    rows = [(f"lead {marks}\n# T{marks}\nbody {marks}\n```\n# {marks}\n```",), (marks,), ("\ue0033 \ue003\ue000",)]
+    got = [[tuple(c) for c in r[0]] for r in spark.createDataFrame(rows, "t string").select(markdown.chapters(F.col("t"))).collect()]
+    assert got[0] == [("Full Document", f"lead {marks}"), (f"T{marks}", f"body {marks}\n```\n# {marks}\n```")]
+    assert got[1:] == [[("Full Document", marks)], [("Full Document", "\ue0033 \ue003\ue000")]]
