@@ -400,7 +400,25 @@ def html_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "chapter_no", "chapter", _hash("text").alias("text_hash"))
 
 
-@query()
+@query(
+    r"""
+WITH given AS (SELECT doc_id, text, regexp_replace(text, ' ', '   ', 'g') AS wide FROM documents WHERE text IS NOT NULL),
+apart AS (
+  SELECT doc_id, regexp_replace(regexp_replace(wide, '(\S)(\S)', '\1 \2', 'g'), '(\S)(\S)', '\1 \2', 'g') AS page,
+    regexp_replace(regexp_replace(regexp_replace(text, '(\S)(\S)', '\1 \2', 'g'), '(\S)(\S)', '\1 \2', 'g'), '(\S) (\s)', '\1\2', 'g') AS spaced
+  FROM given
+), tokens AS (
+  SELECT *, list_filter(string_split_regex(page, '\s+'), lambda t: t <> '') AS pw, list_filter(string_split_regex(spaced, '\s+'), lambda t: t <> '') AS sw FROM apart
+), shares AS (
+  SELECT *, len(pw) >= 20 AND len(list_filter(pw, lambda t: length(t) = 1)) >= 0.8 * len(pw) AS set_apart,
+    CASE WHEN len(sw) > 0 THEN CAST(len(list_filter(sw, lambda t: length(t) = 1)) AS DOUBLE) / len(sw) END AS share
+  FROM tokens
+)
+SELECT doc_id, share, CASE WHEN NOT set_apart THEN page ELSE array_to_string(list_transform(string_split(page, chr(10)), lambda l:
+    CASE WHEN trim(l) = '' THEN l ELSE array_to_string(list_filter(list_transform(string_split_regex(trim(l), '\s{2,}'), lambda w: regexp_replace(w, '\s+', '', 'g')), lambda w: w <> ''), ' ') END), chr(10)) END AS repaired
+FROM shares
+"""
+)
 def glyph_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents with each glyph set apart, line by line, repaired; and the share of their single-glyph words."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
