@@ -308,8 +308,9 @@ def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text_column:
     equal = texts.join(leaves, "fp").where("name <> id").select(F.col("name").alias("u"), F.col("id").alias("v"))
     links = settle(leaf_links(leaves, budget).unionByName(equal).distinct(), "simhash-near")
     met = links.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    sets = settle(given.select("row", "text").join(met, "row", "left_semi").mapInArrow(_shingle_sets(width), "row long, shingles array<long>"), "simhash-shingles")
-    both = links.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v")
+    # joins that move texts or shingles move them at every size, so that cost grows with the input alone
+    sets = settle(given.select("row", "text").join(met.hint("merge"), "row", "left_semi").mapInArrow(_shingle_sets(width), "row long, shingles array<long>"), "simhash-shingles")
+    both = links.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("a")).hint("merge"), "u").join(sets.select(F.col("row").alias("v"), F.col("shingles").alias("b")).hint("merge"), "v")
     shared = F.size(F.array_intersect("a", "b"))
     every = F.size("a") + F.size("b") - shared
     verified = both.where((shared >= similarity * every)).select("u", "v")
@@ -317,4 +318,4 @@ def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text_column:
     named = texts.join(joined.withColumnsRenamed({"u": "name", "v": "root"}), "name", "left").withColumn("root", F.coalesce("root", "name"))
     stays = named.groupBy("root").agg(F.min("first")["row"].alias("_s_row"))
     stays = settle(stays.select("_s_row"), "simhash-stays")
-    return docs.withColumn("_s_row", row).join(stays, "_s_row", "left_semi").drop("_s_row")
+    return docs.withColumn("_s_row", row).join(stays.hint("merge"), "_s_row", "left_semi").drop("_s_row")
