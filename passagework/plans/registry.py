@@ -733,3 +733,100 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
     ingest(stream.where("text is not null"), "doc_id", "text", target, f"{target}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{target}/passages").groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("passages"))
+
+
+# --- streams with state -------------------------------------------------------------------------------
+
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
+
+def streamed(spark: SparkSession, rows: DataFrame, make, **conf: str) -> DataFrame:
+    """``rows``, written to the shared folder, as a stream through ``make`` until none is left; what came out."""
+    import uuid
+
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/in")
+    before = {k: spark.conf.get(k, None) for k in ROCKS}
+    for k, v in ROCKS.items():
+        spark.conf.set(k, v)
+    try:
+        out = make(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query(SQL["rate_limiter"])
+def rate_limiter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sliding log as state of a stream."""
+    from ..streaming import admission
+
+    attempts = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = streamed(spark, attempts, lambda s: admission.sliding_log(s, "user_id", "ts", "event_id", 3, DAY))
+    return found.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "admitted")
+
+
+@query(
+    """
+WITH RECURSIVE numbered AS (
+  SELECT user_id, event_id, epoch(ts) AS s, epoch(ts) + (event_id % 7 + 1) * 36000.0 AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+), walk AS (
+  SELECT user_id, event_id, n, true AS admitted, [e] AS open FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT m.user_id, m.event_id, m.n, len(list_filter(w.open, lambda x: x > m.s)) < 2,
+    CASE WHEN len(list_filter(w.open, lambda x: x > m.s)) < 2 THEN list_append(list_filter(w.open, lambda x: x > m.s), m.e) ELSE list_filter(w.open, lambda x: x > m.s) END
+  FROM walk w JOIN numbered m ON m.user_id = w.user_id AND m.n = w.n + 1
+)
+SELECT user_id, event_id, admitted FROM walk
+"""
+)
+def slots_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two slots a user, taken and freed by events of a stream."""
+    from ..streaming import admission
+
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    ends = F.explode(F.array(F.struct(F.lit("start").alias("kind"), at.alias("at")), F.struct(F.lit("end").alias("kind"), (at + (F.col("event_id") % 7 + 1) * 36000.0).alias("at")))).alias("e")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", ends).select("user_id", "event_id", "e.kind", "e.at")
+    found = streamed(spark, rows, lambda s: admission.gauge(s, "user_id", "event_id", "kind", "at", most=2))
+    return found.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "admitted")
+
+
+@query(
+    """
+WITH RECURSIVE moves AS (SELECT * FROM (VALUES (NULL, 'Uploaded'), ('Uploaded', 'Extracting'), ('Uploaded', 'Failed'), ('Extracting', 'Graphing'), ('Extracting', 'Failed'),
+  ('Graphing', 'Ready'), ('Graphing', 'Failed'), ('Failed', 'Uploaded')) AS m(a, b)),
+given AS (
+  SELECT CAST(user_id % 20 AS VARCHAR) || '-' || CAST(event_id // 40 AS VARCHAR) AS document_id, CAST(value AS BIGINT) // 4 AS round, event_id % 4 AS seq,
+    CASE event_type WHEN 'signup' THEN 'Uploaded' WHEN 'view' THEN 'Extracting' WHEN 'click' THEN 'Graphing' WHEN 'purchase' THEN 'Ready' ELSE 'Failed' END AS status
+  FROM events
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY round, seq, status) AS n FROM given),
+walk AS (
+  SELECT document_id, round, seq, status, n, CASE WHEN status = 'Uploaded' THEN 'accepted' ELSE 'illegal' END AS verdict, CASE WHEN status = 'Uploaded' THEN status END AS current,
+    CASE WHEN status = 'Uploaded' THEN round ELSE -1000000 END AS r, CASE WHEN status = 'Uploaded' THEN seq ELSE 0 END AS s
+  FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT document_id, round, seq, status, n, verdict, CASE verdict WHEN 'accepted' THEN status ELSE current END, CASE verdict WHEN 'accepted' THEN round ELSE r END, CASE verdict WHEN 'accepted' THEN seq ELSE s END
+  FROM (
+    SELECT m.*, w.current, w.r, w.s, CASE WHEN (m.round, m.seq) <= (w.r, w.s) THEN CASE WHEN m.round = w.r AND m.seq = w.s AND m.status = w.current THEN 'repeated' ELSE 'late' END
+      WHEN EXISTS (SELECT 1 FROM moves WHERE a IS NOT DISTINCT FROM w.current AND b = m.status) THEN 'accepted' ELSE 'illegal' END AS verdict
+    FROM walk w JOIN numbered m ON m.document_id = w.document_id AND m.n = w.n + 1
+  )
+)
+SELECT document_id, round, CAST(seq AS INTEGER) AS seq, status, verdict, current FROM walk
+"""
+)
+def status_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as status events of documents, in and out of order, repeated and illegal, through the state machine."""
+    from ..streaming import status
+
+    kinds = F.create_map(*map(F.lit, ("signup", "Uploaded", "view", "Extracting", "click", "Graphing", "purchase", "Ready", "error", "Failed")))
+    rows = table(spark, sf_dir, "events").select(
+        F.concat((F.col("user_id") % 20).cast("string"), F.lit("-"), F.floor(F.col("event_id") / 40).cast("string")).alias("document_id"),
+        F.floor(F.round("value").cast("long") / 4).alias("round"),
+        (F.col("event_id") % 4).cast("int").alias("seq"),
+        F.element_at(kinds, F.col("event_type")).alias("status"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+    return streamed(spark, rows, status.lives).select("document_id", "round", "seq", "status", "verdict", "current")
