@@ -84,7 +84,7 @@ def search(messages: DataFrame, key: str, order: list[str], needle: str, text: s
 
 
 def turn_text(segments: Column) -> Column:
-    return F.array_join(F.transform(F.coalesce(segments, F.array().cast("array<struct<text:string>>")), lambda s: s["text"]), " ")
+    return F.coalesce(F.array_join(F.transform(segments, lambda s: s["text"]), " "), F.lit(""))
 
 
 def turn_rows(turns: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import all_or_any, percent
+from . import scopes
 
 
 def classified(results: DataFrame) -> DataFrame:
@@ -73,10 +74,9 @@ def not_ready(fixtures: DataFrame, status: DataFrame) -> DataFrame:
     return fixtures.join(current, "document_id", "left").where(F.coalesce(F.col("status") != "Ready", F.lit(True)))
 
 
-def over_whole_corpus(questions: DataFrame, documents: DataFrame) -> DataFrame:
-    """Questions with all documents of their owner in scope, and no history: one array an owner, of its fixtures."""
-    every = documents.groupBy("user_id").agg(F.array_sort(F.collect_set("document_id")).alias("document_ids"))
-    return questions.drop("document_ids", "history").join(every, "user_id", "left")
+def over_whole_corpus(questions: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(questions, lists) with all of the given documents of their owner in scope, however many, and no history."""
+    return scopes.over_documents(questions.drop("history"), documents)
 
 
 def results(questions: DataFrame, answered: DataFrame) -> DataFrame:

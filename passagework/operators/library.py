@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash
@@ -127,8 +127,9 @@ def inserted(rows: DataFrame, schema: str, path: str) -> int:
     if unknown := set(rows.columns) - set(fields):
         raise ValueError(f"no such columns: {sorted(unknown)}")
     typed = rows.sparkSession.createDataFrame([], schema).unionByName(rows, allowMissingColumns=True)
-    typed.write.mode("append").parquet(path)
-    return rows.count()
+    seen = Observation()  # counts what is written, as it is written
+    typed.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def n_changed(rows: DataFrame, which: Column) -> int:

@@ -830,3 +830,259 @@ def status_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("reason"),
     )
     return streamed(spark, rows, status.lives).select("document_id", "round", "seq", "status", "verdict", "current")
+
+
+# --- ingestion to a library ---------------------------------------------------------------------------
+
+
+class RecordedProvider:
+    """Replies that a text decides: an entity of its first and one of its last characters, and how they relate; some calls fail."""
+
+    def __call__(self, prompt: str, text: str, seconds: float):
+        import json
+
+        from .provider import Reply
+
+        if len(text) % 7 == 0:
+            return Reply(500)
+        if len(text) % 7 == 1:
+            return Reply(401)
+        if len(text) % 7 == 2:
+            return Reply(200, "no object")
+        first, last = text[:12], text[-12:]
+        entities = [{"name": first, "type": "Person"}, {"name": last, "type": "Organization"}, {"name": "x", "type": "Planet"}]
+        return Reply(200, json.dumps({"entities": entities, "relationships": [{"source": first.strip(), "target": last.strip(), "type": "WORKS_AT"}, {"source": first.strip(), "target": "nobody", "type": "SUPPLIES"}]}))
+
+
+class RecordedEmbedder:
+    """Vectors of lengths; calls with a text of certain lengths fail."""
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        if any(len(t) % 101 == 0 for t in texts):
+            raise OSError("no vectors")
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+class RecordedStore:
+    """A graph outside that takes no document whose number 13 divides."""
+
+    def prune(self, document_id: str, user_id: str) -> None:
+        pass
+
+    def write(self, document_id: str, user_id: str, entities: list, relationships: list) -> None:
+        if int(document_id.split("-")[-1]) % 13 == 0:
+            raise ConnectionError("closed")
+
+
+def _library(spark: SparkSession, sf_dir: str, name: str, uploads_: DataFrame) -> DataFrame:
+    """Uploads through the ingest; what each document came to, and what of it is seen."""
+    import uuid
+
+    from ..streaming import library_ingest as ingest
+    from ..streaming.publication import outcomes
+
+    target = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    uploads_.write.parquet(f"{target}/in")
+    stream = spark.readStream.schema(uploads_.schema).parquet(f"{target}/in")
+    how = {"embedder": RecordedEmbedder(), "store": RecordedStore(), "attempts": 2, "sleep": _no_wait}
+    ingest.ingest_library(stream, target, f"{target}/state", RecordedProvider(), **how).awaitTermination()
+    passages = ingest.passages(spark, target).groupBy("document_id").agg(F.count(F.lit(1)).alias("n_passages"))
+    nodes = ingest.nodes(spark, target).groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "type", "name"))), "|").alias("nodes"))
+    edges = ingest.edges(spark, target).groupBy("document_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    ends = outcomes(spark, target).select("document_id", "user_id", "stage", "message", "chapter_breakdown")
+    found = ends.join(passages, "document_id", "left").join(nodes, "document_id", "left").join(edges, "document_id", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_passages", "n_edges")}
+    chapters = F.array_join(F.transform("chapter_breakdown", lambda c: F.concat_ws("=", c["chapter"], c["passages"].cast("string"))), "|")
+    return found.withColumns({**zero, "nodes_hash": F.sha2(F.coalesce("nodes", F.lit("")), 256), "chapters": chapters}).select("document_id", "user_id", "stage", "message", "n_passages", "n_edges", "nodes_hash", "chapters")
+
+
+def _no_wait(seconds: float) -> None:
+    """Recorded providers ask for no patience."""
+
+
+_TRIM = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160))"
+
+
+@query(
+    f"""
+WITH uploads AS (
+  SELECT doc_id, lang, replace(coalesce(text, ''), '#', '') AS text, CASE doc_id % 5 WHEN 2 THEN 'docx' WHEN 1 THEN 'html' WHEN 4 THEN 'html' ELSE 'md' END AS kind,
+    CASE WHEN doc_id % 15 = 4 THEN 'text/plain' END AS content_type FROM documents
+), judged AS (
+  SELECT *, CASE WHEN kind = 'docx' THEN 'unsupported format' WHEN content_type IS NOT NULL THEN 'content type disagrees' WHEN kind = 'md' AND text = '' THEN 'empty file' END AS refusal FROM uploads
+),
+{_CHUNKS_SQL.replace("FROM documents WHERE text IS NOT NULL", "FROM judged WHERE refusal IS NULL")},
+pieces AS (SELECT doc_id, chunk_index, text, CASE WHEN is_chapter_start THEN text ELSE array_to_string(string_split(text, ' ')[41:], ' ') END AS piece FROM chunks),
+placed AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pieces),
+texts AS (
+  SELECT doc_id, count(*) AS n, bool_or(length(text) % 101 = 0) AS no_vectors,
+    string_agg(substr(piece, 1, CAST(12000 - before AS BIGINT)), concat(chr(10), chr(10)) ORDER BY chunk_index) FILTER (before < 12000 AND piece <> '') AS t FROM placed GROUP BY doc_id
+), ends AS (SELECT *, length(t) AS l, trim(substr(t, 1, 12), {_TRIM}) AS first, trim(substr(t, greatest(1, length(t) - 11)), {_TRIM}) AS last FROM texts),
+staged AS (
+  SELECT j.doc_id, j.lang, e.*, CASE WHEN refusal IS NOT NULL THEN refusal WHEN n IS NULL THEN 'no extractable text' END AS parsing,
+    CASE l % 7 WHEN 0 THEN 'status 500' WHEN 1 THEN 'status 401' WHEN 2 THEN 'malformed reply' END AS extraction
+  FROM judged j LEFT JOIN ends e ON j.doc_id = e.doc_id
+), decided AS (
+  SELECT *, CASE WHEN parsing IS NOT NULL THEN 'parsing' WHEN no_vectors THEN 'indexing' WHEN extraction IS NOT NULL THEN 'extraction' WHEN doc_id % 13 = 0 THEN 'graph_write' END AS stage FROM staged
+)
+SELECT CAST(doc_id AS VARCHAR) AS document_id, lang AS user_id, stage,
+  CASE stage WHEN 'parsing' THEN parsing WHEN 'indexing' THEN 'OSError: no vectors' WHEN 'extraction' THEN extraction WHEN 'graph_write' THEN 'ConnectionError: closed' END AS message,
+  CASE WHEN stage IS NULL THEN n ELSE 0 END AS n_passages, CASE WHEN stage IS NULL AND first <> last AND first <> '' AND last <> '' THEN 1 ELSE 0 END::BIGINT AS n_edges,
+  sha256(CASE WHEN stage IS NOT NULL THEN '' ELSE concat_ws('|', CASE WHEN last <> '' THEN concat('Organization:', last) END, CASE WHEN first <> '' THEN concat('Person:', first) END) END) AS nodes_hash,
+  CASE WHEN stage IS NULL THEN concat('Full Document=', n) END AS chapters
+FROM decided
+"""
+)
+def ingest_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as uploads of three types, without the sign of Markdown headings; providers of every stage fail some."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("#"), F.lit(""))
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    kind = F.element_at(F.array(*map(F.lit, ("md", "html", "docx", "md", "html"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    content = F.when(kind == "html", F.concat(F.lit("<html><body><p>"), safe, F.lit("</p></body></html>"))).otherwise(text)
+    files = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("document_id"),
+        F.col("lang").alias("user_id"),
+        F.concat_ws(".", F.lit("file"), kind).alias("filename"),
+        content.cast("binary").alias("content"),
+        F.when(F.col("doc_id") % 15 == 4, "text/plain").alias("content_type"),
+    )
+    return _library(spark, sf_dir, "library", files)
+
+
+@query()
+def ingest_graph_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw web pages as uploads of HTML; a page's host is its owner."""
+    pages = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("document_id"),
+        F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")).alias("user_id"),
+        F.lit("page.html").alias("filename"),
+        F.col("html").cast("binary").alias("content"),
+    )
+    return _library(spark, sf_dir, "library-pages", pages)
+
+
+# --- an index of vectors ------------------------------------------------------------------------------
+
+
+def _indexed(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    import uuid
+
+    from ..operators import vector_index
+
+    vectors = table(spark, sf_dir, "embeddings")
+    passages = vectors.select(F.col("vec_id").alias("passage_id"), "embedding", "label")
+    index = vector_index.build(passages, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    found = vector_index.search(index, queries, how.pop("scope"), **how)
+    return found.select("query_id", F.col("passage_id").alias("vec_id"), "rank", "distance")
+
+
+@query()
+def vector_index_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight nearest vectors of every fiftieth, from the lists that a question probes."""
+    return _indexed(spark, sf_dir, scope=[])
+
+
+@query(
+    """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0),
+pairs AS (SELECT query_id, vec_id, round(list_cosine_distance(q.e, p.embedding::DOUBLE[]), 6) AS distance FROM q JOIN embeddings p ON p.vec_id <> q.query_id)
+SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= 8
+"""
+)
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, going on to all lists that may hold a nearer vector."""
+    return _indexed(spark, sf_dir, scope=[], probes=4, exact=True)
+
+
+# --- asking -------------------------------------------------------------------------------------------
+
+_SCOPED_SQL = """
+q AS (
+  SELECT vec_id AS query_id, embedding::DOUBLE[] AS e, label, CASE vec_id // 50 % 4 WHEN 0 THEN 'all' WHEN 3 THEN 'none' ELSE 'list' END AS kind FROM embeddings WHERE vec_id % 50 = 0
+), lists AS (
+  SELECT DISTINCT query_id, concat('d', CASE WHEN query_id // 50 % 4 = 1 THEN query_id // 50 % 7 + 40 * i ELSE i END) AS document_id FROM q, range(400) AS r(i) WHERE kind = 'list' AND (query_id // 50 % 4 = 2 OR i < 3)
+), p AS (SELECT vec_id, embedding::DOUBLE[] AS e, label, concat('d', vec_id % 400) AS document_id FROM embeddings),
+pairs AS (
+  SELECT query_id, vec_id, document_id, round(list_cosine_distance(q.e, p.e), 6) + 0.0 AS distance FROM q JOIN p ON q.label = p.label
+  WHERE kind = 'all' OR (kind = 'list' AND EXISTS (SELECT 1 FROM lists l WHERE l.query_id = q.query_id AND l.document_id = p.document_id))
+), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= 8)
+"""
+
+
+def _scoped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(questions, lists, passages): a quarter of the questions over all documents, one over three, one over four hundred, one over none."""
+    vectors = table(spark, sf_dir, "embeddings")
+    turn = F.floor(F.col("vec_id") / 50)
+    kind = F.when(turn % 4 == 0, "all").when(turn % 4 == 3, "none").otherwise("list")
+    questions = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").cast("string").alias("label"), kind.alias("scope_kind"))
+    few, many = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.floor(F.col("query_id") / 50) % 7 + 40 * i), F.sequence(F.lit(0).cast("long"), F.lit(399).cast("long"))
+    numbers = F.explode(F.when(F.floor(F.col("query_id") / 50) % 4 == 1, few).otherwise(many)).alias("n")
+    lists = questions.where("scope_kind = 'list'").select("query_id", numbers).select("query_id", F.concat(F.lit("d"), F.col("n").cast("string")).alias("document_id"))
+    passages = vectors.select(F.col("vec_id").alias("passage_id"), "embedding", F.col("label").cast("string").alias("label"), F.concat(F.lit("d"), (F.col("vec_id") % 400).cast("string")).alias("document_id"))
+    return questions, lists, passages
+
+
+@query(f"WITH {_SCOPED_SQL} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, distance FROM top")
+def vector_topk_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest passages in scopes of every kind and of any length."""
+    from ..operators import scopes
+
+    questions, lists, passages = _scoped(spark, sf_dir)
+    return scopes.nearest_in_scope(questions, lists, passages, ["label"]).select("query_id", F.col("passage_id").alias("vec_id"), "rank", "distance")
+
+
+class RecordedAnswers:
+    """Two segments, of which the second cites the first two passages, the later one first; some questions fail or have no answer."""
+
+    def __call__(self, prompt: str, question: str, seconds: float):
+        import json
+
+        from .provider import Reply
+
+        n = int(question.split()[1])
+        if n % 250 == 0:
+            return Reply(503)
+        segments = [] if n % 350 == 0 else [{"text": f"{prompt.count('Passage ')} passages", "passage_numbers": [1]}, {"text": " second ", "passage_numbers": [2, 1, 99, "1"]}, {"text": " ", "passage_numbers": [1]}]
+        return Reply(200, json.dumps({"segments": segments}))
+
+
+@query(
+    f"""
+WITH {_SCOPED_SQL},
+gate AS (SELECT query_id, count(*) AS n, bool_or(distance <= 0.75) AS passes FROM top GROUP BY query_id),
+ends AS (
+  SELECT q.query_id, label, CASE WHEN n IS NULL AND kind <> 'all' THEN 'empty_scope' WHEN n IS NULL THEN 'no_documents' WHEN NOT passes THEN 'refusal' WHEN q.query_id % 250 = 0 THEN 'unavailable'
+    WHEN q.query_id % 350 = 0 THEN 'no_answer' ELSE 'answered' END AS outcome, n FROM q LEFT JOIN gate g ON q.query_id = g.query_id
+), cited AS (
+  SELECT query_id, rank, concat('c', vec_id % 3) AS chapter, concat('f', vec_id % 400, '.md') AS filename, vec_id % 5 AS i FROM top WHERE rank <= 2
+), first AS (SELECT query_id, concat(chapter, ' ', filename, ' ', i) AS c FROM cited WHERE rank = 1),
+firsts AS (SELECT query_id, chapter, filename, i, min(2 - rank) AS pos FROM cited GROUP BY ALL),
+merged AS (SELECT query_id, chapter, filename, min(pos) AS pos, string_agg(CAST(i AS VARCHAR), '+' ORDER BY pos, i) AS ids FROM firsts GROUP BY query_id, chapter, filename),
+second AS (SELECT query_id, string_agg(concat(chapter, ' ', filename, ' ', ids), ', ' ORDER BY pos, chapter, filename) AS c FROM merged GROUP BY query_id),
+kept AS (SELECT * FROM ends WHERE outcome <> 'unavailable')
+SELECT CAST(label AS VARCHAR) AS user_id, 'user' AS role, concat('question ', query_id) AS question, CAST(NULL AS VARCHAR) AS answer, CAST(NULL AS VARCHAR) AS empty_reason FROM kept
+UNION ALL SELECT CAST(label AS VARCHAR), 'assistant', NULL, CASE WHEN outcome = 'answered' THEN concat(n, ' passages [', f.c, '] | second [', s.c, ']') ELSE '' END, CASE WHEN outcome <> 'answered' THEN outcome END
+FROM kept k LEFT JOIN first f ON f.query_id = k.query_id LEFT JOIN second s ON s.query_id = k.query_id
+"""
+)
+def ask_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of questions in scopes of every kind, asked of a recorded provider; the turns that are kept of it."""
+    import uuid
+
+    from ..schemas import CHAT_MESSAGES
+    from . import chat
+
+    questions, lists, passages = _scoped(spark, sf_dir)
+    questions = questions.withColumn("question", F.concat(F.lit(" question "), F.col("query_id").cast("string"), F.lit("\u2003")))
+    more = {"chapter": F.concat(F.lit("c"), (F.col("passage_id") % 3).cast("string")), "chunk_index": (F.col("passage_id") % 5).cast("int"), "text": F.concat(F.lit("text "), F.col("passage_id").cast("string"))}
+    documents = passages.select("document_id", F.concat(F.lit("f"), F.substring("document_id", 2, 9), F.lit(".md")).alias("filename")).distinct()
+    folder = f"{shared_folder(spark)}/chat-{uuid.uuid4().hex}"
+    chat.asked(questions, folder, passages.withColumns(more), documents, RecordedAnswers(), ["label"], F.lit("2026-01-01 00:00:00").cast("timestamp"), lists=lists, sleep=_no_wait)
+    rows = spark.read.schema(CHAT_MESSAGES).parquet(folder)
+
+    def cited(s):
+        each = F.transform(s["citations"], lambda c: F.concat_ws(" ", c["chapter"], c["document_filename"], F.array_join(c["chunk_indexes"].cast("array<string>"), "+")))
+        return F.concat(s["text"], F.lit(" ["), F.array_join(each, ", "), F.lit("]"))
+
+    return rows.select("user_id", "role", "question", F.array_join(F.transform("segments", cited), " | ").alias("answer"), "empty_reason")

@@ -101,7 +101,7 @@ def test_whole_answers(spark):
 def test_document_scope_and_history(spark):
     passages = spark.createDataFrame([(i, f"d{i % 3}", [1.0, i / 100], "u") for i in range(30)], "passage_id int, document_id string, embedding array<float>, user_id string")
     asked = spark.createDataFrame([(1, [1.0, 0.0], "u", ["d1"]), (2, [1.0, 0.0], "u", []), (3, [1.0, 0.0], "u", None), (4, [1.0, 0.0], "u", ["d9"])], "query_id int, embedding array<float>, user_id string, document_ids array<string>")
-    rows = retrieval.nearest(asked, passages, ["user_id"], k=4, exclude_self=False, slices=3).collect()
+    rows = retrieval.nearest(asked, passages, ["user_id"], k=4, exclude_self=False).collect()
     got = {q: [r.passage_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == q] for q in (1, 2, 3, 4)}
     assert got == {1: [1, 4, 7, 10], 2: [0, 1, 2, 3], 3: [0, 1, 2, 3], 4: []}
     messages = [("u", t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(10)] + [("v", 0, "user", "alone")]

@@ -39,8 +39,8 @@ def test_evaluation_over_the_whole_corpus(spark):
         [(1, "factual", "sky?", ["blue"], "all", [1.0, 0.0], "u"), (2, "factual", "grass?", ["red"], "all", [0.0, 1.0], "u"), (3, "factual", "down?", ["x"], "all", [1.0, 0.0], "u"), (4, "unanswerable", "mars?", [], "all", [-1.0, -1.0], "u")],
         "query_id int, category string, question string, must_contain array<string>, match string, embedding array<float>, user_id string",
     )
-    scoped = evaluation.over_whole_corpus(asked, documents)
-    assert all(r.document_ids == ["d1", "d2"] for r in scoped.collect())
+    scoped, lists = evaluation.over_whole_corpus(asked, documents)
+    assert sorted(map(tuple, lists.collect())) == [(q, d) for q in (1, 2, 3, 4) for d in ("d1", "d2")]
 
     def call(prompt, question, seconds):
         if question == "down?":
@@ -48,7 +48,7 @@ def test_evaluation_over_the_whole_corpus(spark):
         text = "Blue." if question == "sky?" else "Green."
         return provider.Reply(200, json.dumps({"segments": [{"text": text, "passage_numbers": [1]}]}))
 
-    done = answer.answered(scoped, passages, documents.select("document_id", "filename"), call, ["user_id"])
+    done = answer.answered(scoped, passages, documents.select("document_id", "filename"), call, ["user_id"], lists=lists)
     row = evaluation.metrics(evaluation.classified(evaluation.results(asked, done))).first()
     assert (row.answerable, row.correct, row.errors, row.unanswerable, row.refused, row.accuracy) == (2, 1, 1, 1, 1, "50.0%")
 
