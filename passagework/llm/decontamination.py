@@ -262,25 +262,25 @@ def contaminated_words(docs: DataFrame, items: DataFrame, carry: list[str], text
     first = next(slices, ([], []))
     second = next(slices, None)
 
-    def scanned(rows: DataFrame, carried: list[str], slice_) -> DataFrame:
-        given = rows.select(*carried, F.col(text_column).cast("string").alias("_text"))
+    def scanned(rows: DataFrame, carried: list[str], text: str, slice_) -> DataFrame:
+        given = rows.select(*carried, F.col(text).cast("string").alias("_text"))
         schema = StructType(given.drop("_text").schema.fields + StructType.fromDDL(more).fields)
         return given.mapInArrow(_scan(spark.sparkContext.broadcast(slice_), width, len(carried), to_arrow_schema(schema)), schema)
 
     if second is None:
-        return scanned(docs, carry, first)
+        return scanned(docs, carry, text_column, first)
     # more than one slice: rows get a number in a written copy, and each slice leaves rows with hits alone
-    numbered = settle(docs.select(*carry, F.col(text_column).cast("string").alias(text_column), F.monotonically_increasing_id().alias("_row")), "decontamination-texts")
-    counted = settle(scanned(numbered, ["_row"], first), "decontamination-hits")
+    numbered = settle(docs.select(*carry, F.col(text_column).cast("string").alias("_text"), F.monotonically_increasing_id().alias("_row")), "decontamination-texts")
+    counted = settle(scanned(numbered, ["_row"], "_text", first), "decontamination-hits")
     met = counted.where("size(spans) > 0").select("_row", "spans", "items")
     while second is not None:
-        part = settle(scanned(numbered, ["_row"], second).where("size(spans) > 0").select("_row", "spans", "items"), "decontamination-hits")
+        part = settle(scanned(numbered, ["_row"], "_text", second).where("size(spans) > 0").select("_row", "spans", "items"), "decontamination-hits")
         met = met.unionByName(part)
         second = next(slices, None)
     # what is gathered is a row's own: no more than its words, and the items
     gathered = met.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     found = gathered.withColumn("spans", _joined(F.col("spans")))
-    rows = numbered.drop(text_column).join(counted.select("_row", "n_words"), "_row").join(found, "_row", "left")
+    rows = numbered.drop("_text").join(counted.select("_row", "n_words"), "_row").join(found, "_row", "left")
     return rows.select(*carry, "n_words", *(F.coalesce(F.col(c), F.array().cast(t)).alias(c) for c, t in (("spans", RUNS), ("items", "array<string>"))))
 
 

@@ -253,11 +253,16 @@ def leaf_links(leaves: DataFrame, budget: int = BUDGET, most_leaves: int = MOST_
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """(id, fp, component): component is the smallest id that links of at most ``budget`` bits reach."""
+    """(id, fp, component): component is the smallest id that links of at most ``budget`` bits reach.
+
+    Links run between fingerprints, not ids: rows with equal ids and different texts are rows of their own.  A
+    null id names no component, but its text links others; it is null only where all that are reached are.
+    """
     prints = settle(fingerprints(docs, id_column, text_column, width), "simhash-prints")
     leaves = settle(prints.groupBy("fp").agg(F.min("id").alias("id")), "simhash-leaves")
-    joined = components(leaf_links(leaves.where("id is not null"), budget))
-    named = leaves.join(joined.withColumnsRenamed({"u": "id", "v": "smallest"}), "id", "left").select("fp", F.coalesce("smallest", "id").alias("component"))
+    joined = components(leaf_links(leaves.select("fp", F.col("fp").alias("id")), budget))
+    rooted = settle(leaves.join(joined.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
+    named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("id").alias("component")), "root").select("fp", "component")
     return prints.join(settle(named, "simhash-names"), "fp").select("id", "fp", "component")
 
 
@@ -308,14 +313,15 @@ def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text_column:
     equal = texts.join(leaves, "fp").where("name <> id").select(F.col("name").alias("u"), F.col("id").alias("v"))
     links = settle(leaf_links(leaves, budget).unionByName(equal).distinct(), "simhash-near")
     met = links.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    # joins that move texts or shingles move them at every size, so that cost grows with the input alone
-    sets = settle(given.select("row", "text").join(met.hint("merge"), "row", "left_semi").mapInArrow(_shingle_sets(width), "row long, shingles array<long>"), "simhash-shingles")
+    # shingles of linked rows alone; these are payload and no side to broadcast, whatever their estimate
+    sets = settle(given.select("row", "text").join(met, "row", "left_semi").mapInArrow(_shingle_sets(width), "row long, shingles array<long>"), "simhash-shingles")
     both = links.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("a")).hint("merge"), "u").join(sets.select(F.col("row").alias("v"), F.col("shingles").alias("b")).hint("merge"), "v")
     shared = F.size(F.array_intersect("a", "b"))
     every = F.size("a") + F.size("b") - shared
     verified = both.where((shared >= similarity * every)).select("u", "v")
     joined = components(verified)
     named = texts.join(joined.withColumnsRenamed({"u": "name", "v": "root"}), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    stays = named.groupBy("root").agg(F.min("first")["row"].alias("_s_row"))
-    stays = settle(stays.select("_s_row"), "simhash-stays")
-    return docs.withColumn("_s_row", row).join(stays.hint("merge"), "_s_row", "left_semi").drop("_s_row")
+    # the few rows that go are told from the others by their numbers; texts stay where they are as long as these are few
+    stays = named.groupBy("root").agg(F.min("first")["row"].alias("keeps"))
+    goes = rows.join(named.select("same", "fp", "root"), ["same", "fp"]).join(stays, "root").where(F.col("row") != F.col("keeps")).select(F.col("row").alias("_s_row"))
+    return docs.withColumn("_s_row", row).join(settle(goes, "simhash-goes"), "_s_row", "left_anti").drop("_s_row")

@@ -69,10 +69,10 @@ def grouped(words: DataFrame, most: int = GROUP_WORDS) -> DataFrame:
         # groups of one letter's difference cannot be parted, and are no larger than the alphabet allows
         crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.first(F.col("size") - F.col("head") - F.col("tail")).alias("_left")).where((F.col("_n") > most) & (F.col("_left") > 1))
         crowded = settle(crowded.select("key"), "spelling-crowded")
-        small = rows if crowded.isEmpty() else rows.join(crowded, "key", "left_anti")
-        small = small.select("key", "size", "word", "n")
+        last = crowded.isEmpty()
+        small = (rows if last else rows.join(crowded, "key", "left_anti")).select("key", "size", "word", "n")
         done = small if done is None else done.unionByName(small)
-        if small.columns and crowded.isEmpty():
+        if last:
             return done
         rows = _halved(rows.join(crowded, "key", "left_semi"))
 
