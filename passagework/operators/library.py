@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.ids import content_hash
 from ..functions.text import contains_folded, stripped
 from ..schemas import FOLDER_COLORS, STATUSES
+from ..settings import settled
+from .versions import Versions
 
 
 def status_rank(status: Column) -> Column:
@@ -95,6 +97,61 @@ def without_document(tables: dict[str, DataFrame], user_id: str, document_id: st
     return {name: df.where(~((F.col("user_id") == user_id) & (F.col(keys.get(name, "document_id")) == document_id))) for name, df in tables.items()}
 
 
+#: What becomes of a request to delete: an item of others looks like one that is not there.
+DELETED, NOT_FOUND, IN_WORKS = "deleted", "not_found", "in_works"
+#: Order in which the tables of a document, or of an account, are written.
+DOCUMENT_TABLES = ("passages", "nodes", "edges", "documents")
+ACCOUNT_TABLES = ("passages", "nodes", "edges", "documents", "messages", "folders", "users")
+
+
+def document_outcomes(documents: DataFrame, requests: DataFrame) -> DataFrame:
+    """(user_id, document_id, outcome) of each request (user_id, document_id); equal requests are one."""
+    known = documents.select("user_id", F.col("id").cast("string").alias("document_id"), F.col("status").alias("_status"))
+    asked = requests.select("user_id", F.col("document_id").cast("string").alias("document_id")).distinct()
+    outcome = F.when(F.col("_status").isNull(), NOT_FOUND).when(deletable(F.col("_status")), DELETED).otherwise(IN_WORKS)
+    return asked.join(known, ["user_id", "document_id"], "left").select("user_id", "document_id", outcome.alias("outcome"))
+
+
+def account_outcomes(users: DataFrame, documents: DataFrame, requests: DataFrame) -> DataFrame:
+    """(user_id, outcome) of each request (user_id): an account with a document in the works stays, one that is gone already is no error."""
+    busy = documents.groupBy("user_id").agg(F.bool_or(pollable(F.col("status"))).alias("_busy"))
+    known = users.select(F.col("id").alias("user_id"), F.lit(True).alias("_known"))
+    joined = requests.select("user_id").distinct().join(known, "user_id", "left").join(busy, "user_id", "left")
+    outcome = F.when(F.col("_known").isNull(), NOT_FOUND).when(F.coalesce("_busy", F.lit(False)), IN_WORKS).otherwise(DELETED)
+    return joined.select("user_id", outcome.alias("outcome"))
+
+
+def _cascaded(tables: dict[str, DataFrame], order: tuple[str, ...], gone: DataFrame, keys: dict[str, dict[str, str]]) -> dict[str, DataFrame]:
+    left = {}
+    for name in order:
+        if name in tables:
+            renamed = gone.withColumnsRenamed(keys.get(name, {}))
+            left[name] = tables[name].join(renamed, renamed.columns, "left_anti")
+    return left
+
+
+def delete_documents(versions: Versions, requests: DataFrame) -> DataFrame:
+    """Outcomes of requests, after the passages, provenance and rows of the documents that go are gone in one change.
+
+    Outcomes and cascade are read from one version, so what is reported is what was done; a change in
+    between is a conflict, and nothing is done.
+    """
+    number, tables = versions.current()
+    outcomes = settled(document_outcomes(tables["documents"], requests), "outcomes")
+    gone = outcomes.where(F.col("outcome") == DELETED).select("user_id", "document_id")
+    versions.change(_cascaded(tables, DOCUMENT_TABLES, gone, {"documents": {"document_id": "id"}}), number)
+    return outcomes
+
+
+def delete_accounts(versions: Versions, requests: DataFrame) -> DataFrame:
+    """Outcomes of requests (user_id), after all that the accounts that go had is gone in one change."""
+    number, tables = versions.current()
+    outcomes = settled(account_outcomes(tables["users"], tables["documents"], requests), "outcomes")
+    gone = outcomes.where(F.col("outcome") == DELETED).select("user_id")
+    versions.change(_cascaded(tables, ACCOUNT_TABLES, gone, {"users": {"user_id": "id"}}), number)
+    return outcomes
+
+
 def account_deletable(docs: DataFrame) -> DataFrame:
     """(user_id, deletable): no document of the account is in the works."""
     return docs.groupBy("user_id").agg((~F.bool_or(pollable(F.col("status")))).alias("deletable"))

@@ -20,7 +20,7 @@ def of_arrays(questions: DataFrame, column: str = "document_ids") -> tuple[DataF
     """(questions with ``scope_kind``, their lists): a null or empty array is no restriction."""
     kind = F.when(F.coalesce(F.size(column), F.lit(0)) > 0, LIST).otherwise(ALL)
     lists = questions.select("query_id", F.explode(F.col(column).cast("array<string>")).alias("document_id"))
-    return questions.drop(column).withColumn("scope_kind", kind), lists
+    return questions.withColumn("scope_kind", kind).drop(column), lists
 
 
 def over_documents(questions: DataFrame, documents: DataFrame, owner: str = "user_id") -> tuple[DataFrame, DataFrame]:

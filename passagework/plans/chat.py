@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import uuid5
@@ -31,10 +31,12 @@ def kept_segments(segments: Column) -> Column:
 def turns(questions: DataFrame, found: DataFrame, owner: str, at: Column) -> DataFrame:
     """Message rows of answered questions (query_id, question, owner): the question's and the answer's, at one time.
 
-    A refusal or an empty scope is a turn too, with its reason and no segment.
+    An owner's turns of one batch are a microsecond apart, by ``query_id``, so that they are told apart.  A refusal or an empty scope is a turn too, with its reason and no segment.
     """
     done = found.where(~F.col("outcome").isin(*NOT_KEPT)).join(questions.select("query_id", F.col(owner).cast("string").alias("user_id"), "question"), "query_id")
-    rows = done.select("query_id", "user_id", "question", kept_segments(F.col("segments")).alias("segments"), F.when(F.col("outcome") != "answered", F.col("outcome")).alias("empty_reason"), at.alias("created_at"))
+    rows = done.select("query_id", "user_id", "question", kept_segments(F.col("segments")).alias("segments"), F.when(F.col("outcome") != "answered", F.col("outcome")).alias("empty_reason"), at.alias("_at"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("query_id")) - 1
+    rows = rows.withColumn("created_at", F.timestamp_micros(F.unix_micros(F.col("_at").cast("timestamp")) + place)).drop("_at")
     pairs = F.array(
         F.struct(F.lit("user").alias("role"), F.col("question").alias("question"), F.lit(None).cast(SEGMENTS).alias("segments"), F.lit(None).cast("string").alias("empty_reason")),
         F.struct(F.lit("assistant").alias("role"), F.lit(None).cast("string").alias("question"), F.col("segments"), F.col("empty_reason")),

@@ -1086,3 +1086,104 @@ def ask_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(s["text"], F.lit(" ["), F.array_join(each, ", "), F.lit("]"))
 
     return rows.select("user_id", "role", "question", F.array_join(F.transform("segments", cited), " | ").alias("answer"), "empty_reason")
+
+
+# --- rebuilds and deletions ---------------------------------------------------------------------------
+
+
+@query(
+    f"""
+WITH {_CHUNKS_SQL.replace("FROM documents WHERE text IS NOT NULL", "FROM documents WHERE text IS NOT NULL AND doc_id % 7 <> 3").replace("trim(text,", "trim(replace(text, '#', ''),")},
+made AS (SELECT doc_id, count(*) AS n, bool_or(length(text) % 101 = 0) AS no_vectors FROM chunks GROUP BY doc_id)
+SELECT CAST(d.doc_id AS VARCHAR) AS document_id, CASE WHEN n IS NULL THEN 'parsing' WHEN no_vectors THEN 'indexing' END AS stage,
+  CASE WHEN n IS NULL THEN 'no extractable text' WHEN no_vectors THEN 'OSError: no vectors' END AS message, CASE WHEN n IS NULL OR no_vectors THEN 0 ELSE n END AS n_passages
+FROM documents d LEFT JOIN made m ON d.doc_id = m.doc_id WHERE d.doc_id % 7 <> 3
+"""
+)
+def rebuild_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all Ready documents, rebuilt in a run that breaks off in its third round and in one that goes on."""
+    import uuid
+
+    from . import rebuild
+
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("#"), F.lit(""))
+    documents = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("document_id"), F.col("lang").alias("user_id"), F.lit("a.md").alias("filename"), F.lit("markdown").alias("file_type"),
+        F.when(F.col("doc_id") % 7 == 3, "Failed").otherwise("Ready").alias("status"), text.cast("binary").alias("content"),
+    )
+    root = f"{shared_folder(spark)}/rebuild-{uuid.uuid4().hex}"
+    step = rebuild.reindex_step(RecordedEmbedder())
+
+    def broken(attempt, rows):
+        if attempt.batch == 2:
+            raise ConnectionError("the run breaks off")
+        return step(attempt, rows)
+
+    try:
+        rebuild.rebuilt(documents, root, "first", broken, rounds=4)
+    except ConnectionError:
+        pass
+    ledger = rebuild.rebuilt(documents, root, "first", step, rounds=4)
+    counts = rebuild.rows(spark, root, "passages").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_passages"))
+    return ledger.join(counts, "document_id", "left").withColumn("n_passages", F.coalesce("n_passages", F.lit(0)))
+
+
+_DELETE_SQL = """
+documents_ AS (SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(lang, '') AS user_id, CASE doc_id % 5 WHEN 0 THEN 'Uploaded' WHEN 1 THEN 'Extracting' WHEN 2 THEN 'Failed' ELSE 'Ready' END AS status FROM documents),
+requests AS (SELECT DISTINCT CASE WHEN doc_id % 9 = 0 THEN 'xx' ELSE coalesce(lang, '') END AS user_id, CAST(doc_id + CASE WHEN doc_id % 8 = 1 THEN 1000000000 ELSE 0 END AS VARCHAR) AS document_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 8 = 1),
+outcomes AS (
+  SELECT r.user_id, document_id, CASE WHEN status IS NULL THEN 'not_found' WHEN status IN ('Ready', 'Failed') THEN 'deleted' ELSE 'in_works' END AS outcome
+  FROM requests r LEFT JOIN documents_ d ON d.user_id = r.user_id AND d.id = r.document_id
+)
+"""
+
+
+@query(
+    f"""
+WITH {_DELETE_SQL},
+gone AS (SELECT user_id, document_id FROM outcomes WHERE outcome = 'deleted')
+SELECT o.user_id, document_id, outcome, (SELECT count(*) FROM documents_ d WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = d.user_id AND g.document_id = d.id)) AS documents_left,
+  (SELECT count(*) FROM labels l JOIN documents_ d ON CAST(l.doc_id AS VARCHAR) = d.id WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = d.user_id AND g.document_id = d.id)) AS passages_left
+FROM outcomes o
+"""
+)
+def document_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to delete documents, of which some are others', some are not there and some are in the works; what is left."""
+    import uuid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("user_id"))
+    status = F.element_at(F.array(*map(F.lit, ("Uploaded", "Extracting", "Failed", "Ready", "Ready"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    owned = docs.select(F.col("doc_id").cast("string").alias("id"), "user_id", status.alias("status"))
+    passages = table(spark, sf_dir, "labels").join(docs, "doc_id").select(F.col("doc_id").cast("string").alias("document_id"), "user_id")
+    there = library.Versions(spark, f"{shared_folder(spark)}/library-{uuid.uuid4().hex}")
+    there.change({"documents": owned, "passages": passages}, 0)
+    far = F.when(F.col("doc_id") % 8 == 1, 1_000_000_000).otherwise(0)
+    requests = docs.where("doc_id % 3 = 0 or doc_id % 8 = 1").select(F.when(F.col("doc_id") % 9 == 0, "xx").otherwise(F.col("user_id")).alias("user_id"), (F.col("doc_id") + far).cast("string").alias("document_id"))
+    found = library.delete_documents(there, requests)
+    left = there.current()[1]
+    counts = left["documents"].agg(F.count(F.lit(1)).alias("documents_left")).join(F.broadcast(left["passages"].agg(F.count(F.lit(1)).alias("passages_left"))))  # one row each
+    return found.join(F.broadcast(counts))
+
+
+@query(
+    """
+WITH users AS (SELECT DISTINCT user_id FROM events), documents_ AS (SELECT user_id, arg_max(event_type, struct_pack(ts := ts, event_id := event_id)) AS status FROM events GROUP BY user_id, event_id % 2),
+busy AS (SELECT user_id, bool_or(status IN ('view', 'click', 'signup')) AS b FROM documents_ GROUP BY user_id),
+requests AS (SELECT DISTINCT user_id * 2 AS user_id FROM events),
+outcomes AS (SELECT r.user_id, CASE WHEN u.user_id IS NULL THEN 'not_found' WHEN b THEN 'in_works' ELSE 'deleted' END AS outcome FROM requests r LEFT JOIN users u ON u.user_id = r.user_id LEFT JOIN busy b ON b.user_id = r.user_id)
+SELECT CAST(user_id AS VARCHAR) AS user_id, outcome, (SELECT count(*) FROM users u WHERE u.user_id NOT IN (SELECT user_id FROM outcomes WHERE outcome = 'deleted')) AS users_left FROM outcomes
+"""
+)
+def account_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to delete accounts; an account's documents are in the states of its last events."""
+    import uuid
+
+    events = table(spark, sf_dir, "events")
+    last = library.current_status(events.withColumn("half", F.concat_ws("-", F.col("user_id").cast("string"), (F.col("event_id") % 2).cast("string"))), "half", ["ts", "event_id"], "event_type")
+    kinds = F.create_map(*map(F.lit, ("view", "Uploaded", "click", "Extracting", "signup", "Graphing", "purchase", "Ready", "error", "Failed")))
+    documents = last.select(F.col("half").alias("id"), F.split_part("half", F.lit("-"), F.lit(1)).alias("user_id"), F.element_at(kinds, F.col("status")).alias("status"))
+    there = library.Versions(spark, f"{shared_folder(spark)}/accounts-{uuid.uuid4().hex}")
+    there.change({"users": events.select(F.col("user_id").cast("string").alias("id")).distinct(), "documents": documents}, 0)
+    found = library.delete_accounts(there, events.select((F.col("user_id") * 2).cast("string").alias("user_id")))
+    left = there.current()[1]["users"].agg(F.count(F.lit(1)).alias("users_left"))  # one row
+    return found.join(F.broadcast(left))

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Ids that go into the condition of a scan.
+LONG_LIST = 1_000
+
+
 @dataclass(frozen=True)
 class TenantScope:
     """Rows of one owner; what is missing and what belongs to others look alike."""
@@ -26,11 +30,20 @@ class TenantScope:
         return found.limit(1)
 
     def among(self, df: DataFrame, column: str, values: list[str]) -> DataFrame:
-        """Rows whose id is listed; malformed ids match nothing."""
+        """Rows whose id is listed; malformed ids match nothing.  A list above ``LONG_LIST`` is a table that is joined."""
         from .functions.ids import UUID_PATTERN
 
         sound = [v for v in values if UUID_PATTERN.fullmatch(v)]
-        return self.rows(df).where(F.col(column).isin(sound) if sound else F.lit(False))
+        if len(sound) <= LONG_LIST:
+            return self.rows(df).where(F.col(column).isin(sound) if sound else F.lit(False))
+        return self.among_rows(df, column, df.sparkSession.createDataFrame([(v,) for v in sound], "id string"), "id")
+
+    def among_rows(self, df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
+        """Rows whose id is in a table of ids, of any length; malformed, null and repeated ids change nothing."""
+        from .functions.ids import is_uuid
+
+        sound = ids.where(is_uuid(F.col(id_column))).select(F.col(id_column).alias(column))
+        return self.rows(df).join(sound, column, "left_semi")
 
 
 def filters_on(df: DataFrame, column: str = "user_id") -> bool:

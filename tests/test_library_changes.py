@@ -1,0 +1,294 @@
+"""Deletions with outcomes over one version of all tables, long lists of ids, rebuilds that go on, bounded runs, chats."""
+
+from __future__ import annotations
+
+import json
+import sys
+import time
+from datetime import datetime, timezone
+
+import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from passagework import tenancy
+from passagework.operators import chunking, library, retrieval, scopes
+from passagework.operators.versions import Conflict, Versions
+from passagework.plans import answer, chat, rebuild
+from passagework.plans.provider import Reply
+from passagework.schemas import CHAT_MESSAGES
+from passagework.streaming import library_ingest, publication
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+DOCUMENTS = [("a", "u", "Ready"), ("b", "u", "Failed"), ("c", "u", "Graphing"), ("d", "v", "Ready"), ("e", "w", "Ready"), ("f", None, "Ready")]
+
+
+def made(spark, tmp_path):
+    there = Versions(spark, str(tmp_path / "library"))
+    documents = spark.createDataFrame(DOCUMENTS, "id string, user_id string, status string")
+    rows = spark.createDataFrame([(d, u) for d, u, _ in DOCUMENTS for _ in range(2)], "document_id string, user_id string")
+    owned = spark.createDataFrame([("u",), ("v",), ("w",), ("w",)], "user_id string")
+    users = spark.createDataFrame([("u",), ("v",), ("w",), ("x",)], "id string")
+    there.change({"documents": documents, "passages": rows, "nodes": rows, "edges": rows.limit(0), "messages": owned, "folders": owned, "users": users}, 0)
+    return there
+
+
+def test_documents_are_deleted_with_all_they_have_or_not_at_all(spark, tmp_path):
+    there = made(spark, tmp_path)
+    requests = spark.createDataFrame([("u", "a"), ("u", "a"), ("u", "c"), ("u", "d"), ("v", "gone"), (None, "f"), ("w", None)], "user_id string, document_id string")
+    got = {(r.user_id, r.document_id): r.outcome for r in library.delete_documents(there, requests).collect()}
+    assert got == {("u", "a"): "deleted", ("u", "c"): "in_works", ("u", "d"): "not_found", ("v", "gone"): "not_found", (None, "f"): "not_found", ("w", None): "not_found"}
+    number, tables = there.current()
+    assert number == 2 and sorted(r.id for r in tables["documents"].collect()) == ["b", "c", "d", "e", "f"]
+    for name in ("passages", "nodes"):
+        assert sorted({r.document_id for r in tables[name].collect()}) == ["b", "c", "d", "e", "f"] and tables[name].count() == 10
+    again = {r.outcome for r in library.delete_documents(there, requests.where("document_id = 'a'")).collect()}
+    assert again == {"not_found"}
+
+
+def test_accounts_are_deleted_with_all_they_have_or_not_at_all(spark, tmp_path):
+    there = made(spark, tmp_path)
+    got = {r.user_id: r.outcome for r in library.delete_accounts(there, spark.createDataFrame([("u",), ("w",), ("x",), ("none",), ("w",)], "user_id string")).collect()}
+    assert got == {"u": "in_works", "w": "deleted", "x": "deleted", "none": "not_found"}
+    tables = there.current()[1]
+    assert sorted(r.id for r in tables["users"].collect()) == ["u", "v"] and sorted(r.user_id for r in tables["messages"].collect()) == ["u", "v"]
+    assert "e" not in {r.id for r in tables["documents"].collect()} and "e" not in {r.document_id for r in tables["passages"].collect()}
+
+
+def test_a_change_that_breaks_off_or_comes_late_changes_nothing(spark, tmp_path):
+    there = made(spark, tmp_path)
+    number, before = there.current()
+    broken = before["passages"].withColumn("user_id", F.raise_error(F.lit("the disk is full")).cast("string"))
+    with pytest.raises(Exception, match="the disk is full"):
+        there.change({"documents": before["documents"].limit(0), "passages": broken}, number)
+    assert there.current()[0] == number and there.current()[1]["documents"].count() == len(DOCUMENTS)
+    there.change({"folders": before["folders"].limit(0)}, number)
+    with pytest.raises(Conflict):
+        there.change({"users": before["users"].limit(0)}, number)
+    assert there.current()[1]["users"].count() == 4 and there.current()[1]["folders"].count() == 0
+    assert Versions(spark, str(tmp_path / "none")).current() == (0, {})
+
+
+def test_long_lists_of_ids_are_joined(spark):
+    ids = [f"{i:08x}-0000-0000-0000-000000000000" for i in range(3000)]
+    rows = spark.createDataFrame([("uv"[k % 2], i) for k, i in enumerate(ids)], "user_id string, id string")
+    scope = tenancy.TenantScope("u")
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    for n in (5, tenancy.LONG_LIST + 500):
+        asked = [*ids[:n], ids[0], "no id", "", ids[1][:-1]]
+        got = scope.among(rows, "id", asked)
+        assert sorted(r.id for r in got.collect()) == ids[:n:2]
+        assert ("LeftSemi" in plan(got)) == (n > tenancy.LONG_LIST)
+        assert tenancy.filters_on(got)
+    assert scope.among(rows, "id", []).count() == scope.among(rows, "id", ["x"] * 2000).count() == 0
+    listed = spark.createDataFrame([(ids[0],), (ids[0],), (None,), ("bad",), (ids[1],)], "i string")
+    assert [r.id for r in scope.among_rows(rows, "id", listed, "i").collect()] == [ids[0]]
+
+
+# --- scopes -------------------------------------------------------------------------------------------
+
+
+def test_a_scope_of_ten_thousand_documents(spark):
+    passages = spark.range(12_000).select(F.col("id").alias("passage_id"), F.concat(F.lit("d"), F.col("id").cast("string")).alias("document_id"), F.array((F.col("id") % 100).cast("float"), F.lit(1.0).cast("float")).alias("embedding"), F.lit("u").alias("user_id"))
+    questions = spark.createDataFrame([(1, [50.0, 1.0], "u"), (2, [3.0, 1.0], "u"), (3, [3.0, 1.0], "nobody")], "query_id int, embedding array<float>, user_id string")
+    documents = passages.where("passage_id < 10000").select("user_id", "document_id")
+    asked, lists = scopes.over_documents(questions, documents)
+    assert {r.query_id: r.scope_kind for r in asked.collect()} == {1: "list", 2: "list", 3: "none"} and lists.count() == 20_000
+    got = scopes.nearest_in_scope(asked, lists.unionByName(lists.limit(50)), passages, ["user_id"])
+    want = retrieval.nearest(questions, passages.where("passage_id < 10000"), ["user_id"], exclude_self=False)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 16
+
+
+# --- chats --------------------------------------------------------------------------------------------
+
+
+class Counting:
+    """Notes each call in a folder, and answers by what it is asked."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, prompt, question, seconds):
+        import uuid
+
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(prompt + "\n" + question)
+        if "fail" in question:
+            return Reply(401)
+        return Reply(200, json.dumps({"segments": [{"text": f"answer to {question}", "passage_numbers": [1]}]}))
+
+
+PASSAGES = [(1, "d1", "C", 0, "blue sky", [1.0, 0.0], "u"), (2, "d2", "C", 0, "green grass", [0.0, 1.0], "u")]
+PASSAGE = "passage_id int, document_id string, chapter string, chunk_index int, text string, embedding array<float>, user_id string"
+ASK = "query_id int, question string, embedding array<float>, user_id string"
+
+
+def test_a_chat(spark, tmp_path):
+    """Each question is one call; turns are kept, read as history, and paged."""
+    passages = spark.createDataFrame(PASSAGES, PASSAGE)
+    documents = spark.createDataFrame([("d1", "a.md"), ("d2", "b.md")], "document_id string, filename string")
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    messages = str(tmp_path / "messages")
+
+    def ask(rows, second, **how):
+        at = F.lit(datetime(2026, 1, 1, 0, 0, second, tzinfo=timezone.utc))
+        found = chat.asked(spark.createDataFrame(rows, ASK), messages, passages, documents, Counting(str(calls)), ["user_id"], at, **how)
+        return {r.query_id: r.outcome for r in found.collect()}
+
+    first = ask([(1, " one?  ", [1.0, 0.0], "u"), (2, "far", [-1.0, -1.0], "u"), (3, "fail", [1.0, 0.0], "u"), (4, "mine", [1.0, 0.0], "v"), (5, " ", [1.0, 0.0], "u"), (6, "x" * 2001, [1.0, 0.0], "u")], 1)
+    assert first == {1: "answered", 2: "refusal", 3: "unavailable", 4: "no_documents", 5: "invalid", 6: "invalid"}
+    assert len(list(calls.iterdir())) == 2  # one call for each question that reached the provider
+    kept = spark.read.schema(CHAT_MESSAGES).parquet(messages)
+    by_role = {(r.role, r.question, r.empty_reason) for r in kept.where("user_id = 'u'").collect()}
+    assert by_role == {("user", "one?", None), ("assistant", None, None), ("user", "far", None), ("assistant", None, "refusal")}
+    cited = kept.where("role = 'assistant' and empty_reason is null").first().segments
+    assert [(s.text, [tuple(c) for c in s.citations]) for s in cited] == [("answer to one?", [("C", "a.md", [0])])]
+
+    assert ask([(7, "two?", [0.0, 1.0], "u")], 2) == {7: "answered"}
+    prompts = [f.read_text() for f in calls.iterdir()]
+    assert sum("Q: one?\nA: answer to one?" in p for p in prompts) == 1
+    assert ask([(8, "three?", [0.0, 1.0], "u")], 3, use_history=False) == {8: "answered"}
+    assert not any("Q: " in f.read_text() for f in calls.iterdir() if "three?" in f.read_text())
+
+    rows = spark.read.schema(CHAT_MESSAGES).parquet(messages)
+    seen, cursor = [], None
+    for _ in range(10):
+        part, cursor = chat.page(rows, "u", cursor, limit=3)
+        seen = [(r.role, r.question) for r in part.collect()] + seen
+        if cursor is None:
+            break
+    assert len(seen) == 8 and seen[-2:] == [("user", "three?"), ("assistant", None)] and seen[-4:-2] == [("user", "two?"), ("assistant", None)]
+    with pytest.raises(ValueError):
+        chat.page(rows, "u", None, limit=51)
+    assert chat.page(rows, "nobody")[0].count() == 0
+
+
+def test_a_question_of_many_documents_is_turned_away_and_a_relation_of_them_is_not(spark):
+    passages = spark.createDataFrame(PASSAGES, PASSAGE)
+    documents = spark.createDataFrame([("d1", "a.md"), ("d2", "b.md")], "document_id string, filename string")
+    asked = spark.createDataFrame([(1, "one?", [1.0, 0.0], "u", [f"d{i}" for i in range(201)]), (2, "two?", [1.0, 0.0], "u", ["d2"]), (3, "none?", [1.0, 0.0], "u", ["d9"])], ASK + ", document_ids array<string>")
+
+    def call(prompt, question, seconds):
+        return Reply(200, json.dumps({"segments": [{"text": "t", "passage_numbers": [1]}]}))
+
+    got = {r.query_id: r.outcome for r in answer.answered(asked, passages, documents, call, ["user_id"]).collect()}
+    assert got == {1: "invalid", 2: "refusal", 3: "empty_scope"}
+    lists = spark.createDataFrame([(1, f"d{i}") for i in range(5000)], "query_id int, document_id string")
+    kinds = asked.drop("document_ids").withColumn("scope_kind", F.when(F.col("query_id") == 1, "list").otherwise("all"))
+    got = {r.query_id: r.outcome for r in answer.answered(kinds, passages, documents, call, ["user_id"], lists=lists).collect()}
+    assert got == {1: "answered", 2: "answered", 3: "answered"}
+
+
+# --- rebuilds -----------------------------------------------------------------------------------------
+
+FILES = "document_id string, user_id string, filename string, file_type string, status string, content binary"
+
+
+def files(spark, n=24):
+    rows = [(f"doc{i}", "u", "a.md", "markdown", "Failed" if i % 6 == 5 else "Ready", b"\xff" if i % 8 == 7 else f"text of {i}".encode()) for i in range(n)]
+    return spark.createDataFrame([*rows, (None, "u", "a.md", "markdown", "Ready", b"x")], FILES)
+
+
+def test_a_rebuild_that_broke_off_goes_on_and_equals_a_whole_one(spark, tmp_path):
+    done = []
+    step = rebuild.reindex_step()
+
+    def counting(attempt, rows):
+        if attempt.batch == 3 and done.count(3) == 0:
+            done.append(3)
+            raise ConnectionError("gone")
+        done.append(attempt.batch)
+        return step(attempt, rows)
+
+    root, whole = str(tmp_path / "a"), str(tmp_path / "b")
+    with pytest.raises(ConnectionError):
+        rebuild.rebuilt(files(spark), root, "new", counting, rounds=5)
+    assert rebuild.current(spark, root) is None and rebuild.rows(spark, root, "passages").count() == 0
+    # a document that became Ready meanwhile
+    more = files(spark).unionByName(spark.createDataFrame([("late", "u", "b.md", "markdown", "Ready", b"late text")], FILES))
+    ledger = rebuild.rebuilt(more, root, "new", counting, rounds=5)
+    assert [k for k in sorted(done) if k < 5] == [0, 1, 2, 3, 3, 4] and rebuild.current(spark, root) == "new"
+    rebuild.rebuilt(more, whole, "other", step, rounds=1)
+
+    def seen(folder):
+        return sorted((r.document_id, r.chunk_id, r.text) for r in rebuild.rows(spark, folder, "passages").collect())
+
+    assert seen(root) == seen(whole) and ("late text" in {t for _, _, t in seen(root)})
+    failed = {r.document_id: r.message for r in ledger.collect() if r.stage}
+    assert failed == {f"doc{i}": "not valid UTF-8" for i in (7, 15)}  # doc23 is not Ready
+    assert ledger.count() == 20 + 1 and len({d for d, _, _ in seen(root)}) == 19
+
+
+def test_failed_documents_may_be_tried_again_and_readers_see_the_old_one_until_then(spark, tmp_path):
+    root = str(tmp_path / "root")
+    given = files(spark, 6)
+    passages = chunking.chunks(given.where("document_id is not null").withColumn("t", F.col("content").cast("string")), "document_id", chunking.whole_chapter(F.col("t"))).withColumnRenamed("id", "document_id")
+    state = tmp_path / "up"
+
+    def call(prompt, text, seconds):
+        import os
+
+        if text.endswith("3") and not os.path.exists(state):
+            return Reply(500)
+        return Reply(200, json.dumps({"entities": [{"name": text, "type": "Person"}], "relationships": []}))
+
+    step = rebuild.graph_step(passages, call, 1, lambda s: None)
+    rebuild.rebuilt(given, root, "old", step, rounds=2)
+    assert {r.name for r in rebuild.rows(spark, root, "nodes").collect()} == {f"text of {i}" for i in (0, 1, 2, 4)}
+    state.write_text("")
+    rebuild.rebuilt(given, root, "old", step, rounds=2)
+    assert rebuild.rows(spark, root, "nodes").count() == 4
+    rebuild.rebuilt(given, root, "old", step, rounds=2, again=True)
+    assert {r.name for r in rebuild.rows(spark, root, "nodes").collect()} == {f"text of {i}" for i in range(5)}
+
+    def broken(attempt, rows):
+        raise ConnectionError("gone")
+
+    with pytest.raises(ConnectionError):
+        rebuild.rebuilt(given, root, "newer", broken, rounds=2)
+    assert rebuild.current(spark, root) == "old" and rebuild.rows(spark, root, "nodes").count() == 5
+
+
+# --- bounded runs -------------------------------------------------------------------------------------
+
+UPLOADS = "document_id string, user_id string, filename string, content binary"
+
+
+def test_a_run_that_takes_too_long_is_stopped_and_goes_on_later(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for name in ("first", "second"):
+        spark.createDataFrame([(name, "u", "a.md", f"{name} text".encode())], UPLOADS).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)  # files go by the second they were written in
+    slow = tmp_path / "slow"
+    slow.write_text("")
+
+    def call(prompt, text, seconds):
+        import os
+
+        if "second" in text and os.path.exists(slow):
+            time.sleep(600)
+        return Reply(200, json.dumps({"entities": [{"name": text, "type": "Person"}], "relationships": []}))
+
+    def start():
+        stream = spark.readStream.schema(UPLOADS).option("maxFilesPerTrigger", 1).parquet(source)
+        return library_ingest.ingest_library(stream, target, str(tmp_path / "state"), call)
+
+    query = start()
+    deadline = time.time() + 120
+    while publication.attempts(spark, target).count() < 1 and time.time() < deadline:
+        time.sleep(0.5)
+    assert not library_ingest.within(query, 3) and not query.isActive
+    assert {r.document_id for r in library_ingest.passages(spark, target).collect()} == {"first"}
+    ids = spark.createDataFrame([("first",), ("second",)], "document_id string")
+    waits = []
+    found = library_ingest.awaited(spark, target, ids, 5, every=3, sleep=waits.append)
+    assert {r.document_id: r.done for r in found.collect()} == {"first": True, "second": False} and waits == [3, 2]
+    slow.unlink()
+    assert library_ingest.within(start(), 120)
+    assert {r.document_id for r in library_ingest.nodes(spark, target).collect()} == {"first", "second"}
+    assert all(r.done for r in library_ingest.awaited(spark, target, ids, 0).collect())

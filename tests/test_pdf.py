@@ -1,0 +1,146 @@
+"""PDF files made here, sound and damaged, to pages and chapters."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from passagework.sources import documents, pdf_bytes
+from passagework.sources.pdf_bytes import read_pdf
+
+LATIN = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [1 /eacute /quotedblleft 200 /uni0416] >> >>"
+CMAP = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <00480069> <0002> <D83DDE00> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<0078> <0079>] endbfrange"
+
+
+def stream(body, more=b"", packed=True):
+    data = zlib.compress(body) if packed else body
+    return b"<< /Length %d %s %s >>\nstream\n%s\nendstream" % (len(data), b"/Filter /FlateDecode" if packed else b"", more, data)
+
+
+def objects(outline=True):
+    """Three pages under two levels of the page tree, with fonts of both kinds, a form, and an outline by three kinds of target."""
+    made = {
+        1: b"<< /Type /Catalog /Pages 2 0 R /Names << /Dests << /Names [(third) [7 0 R /Fit]] >> >> %s >>" % (b"/Outlines 20 0 R" if outline else b""),
+        2: b"<< /Type /Pages /Kids [3 0 R 6 0 R] /Count 3 /Resources << /Font << /F1 10 0 R /F2 11 0 R >> /XObject << /X1 13 0 R >> >> >>",
+        3: b"<< /Type /Pages /Parent 2 0 R /Kids [4 0 R 5 0 R] /Count 2 >>",
+        4: b"<< /Type /Page /Parent 3 0 R /Contents [14 0 R 15 0 R] >>",
+        5: b"<< /Type /Page /Parent 3 0 R /Contents 16 0 R >>",
+        6: b"<< /Type /Pages /Parent 2 0 R /Kids [7 0 R] /Count 1 >>",
+        7: b"<< /Type /Page /Parent 6 0 R /Contents 17 0 R >>",
+        10: LATIN,
+        11: b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 12 0 R >>",
+        12: stream(CMAP),
+        13: stream(b"BT /F1 9 Tf 5 5 Td (in a form) Tj ET", b"/Type /XObject /Subtype /Form"),
+        14: stream(b"BT /F1 12 Tf 10 700 Td (Pre) Tj (amble \\(one\\)) Tj"),
+        15: stream(b"0 -14 Td [(caf\\001) -300 (au) -20 (lait)] TJ ET /X1 Do", packed=False),
+        16: stream(b"BT /F2 12 Tf 1 0 0 1 10 700 Tm <00010010001100120020> Tj T* <0002> Tj ET BI /W 1 ID \x00(no text)Tj\xff EI"),
+        17: stream(b"BT /F1 12 Tf (\\310 last % no comment) Tj ET % (a comment) Tj"),
+    }
+    if outline:
+        made |= {
+            20: b"<< /Type /Outlines /First 21 0 R /Last 23 0 R >>",
+            21: b"<< /Title (Third) /Dest (third) /Next 22 0 R >>",
+            22: b"<< /Title <FEFF00C900740065> /Dest [5 0 R /Fit] /Next 23 0 R >>",
+            23: b"<< /Title () /A << /S /GoTo /D [7 0 R /Fit] >> >>",
+        }
+    return made
+
+
+WANT = (["Preamble (one)\ncafé aulait\nin a form".replace("\nin", "in"), "Hiabcx\n😀", "Ж last % no comment"], [{"title": "Third", "page": 2}, {"title": "Éte", "page": 1}, {"title": "", "page": 2}], None)
+
+
+def plain_file(made, broken=False):
+    """A file with a cross-reference table; a broken one points nowhere."""
+    out, places = bytearray(b"%PDF-1.4\n%\xe2\xe3\n"), {}
+    for n, body in made.items():
+        places[n] = len(out)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    at = len(out)
+    out += b"xref\n0 1\n0000000000 65535 f \n"
+    for n, place in places.items():
+        out += b"%d 1\n%010d 00000 n \n" % (n, place + (999 if broken else 0))
+    return bytes(out + b"trailer\n<< /Size 30 /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (0 if broken else at))
+
+
+def packed_file(made, predictor=True):
+    """A file with a cross-reference stream, and all but streams in an object stream."""
+    inner = {n: b for n, b in made.items() if b"stream" not in b}
+    body, heads = b"", []
+    for n, b in inner.items():
+        heads.append(b"%d %d" % (n, len(body)))
+        body += b + b" "
+    head = b" ".join(heads) + b" "
+    made = {n: b for n, b in made.items() if n not in inner} | {40: stream(head + body, b"/Type /ObjStm /N %d /First %d" % (len(inner), len(head)))}
+    out, places = bytearray(b"%PDF-1.5\n"), {}
+    for n, b in made.items():
+        places[n] = len(out)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, b)
+    at = len(out)
+    places[41] = at
+    rows = [(1, places[n], 0) if n in places else (2, 40, list(inner).index(n)) if n in inner else (0, 0, 0) for n in range(42)]
+    table = b"".join(bytes([k]) + x.to_bytes(3, "big") + y.to_bytes(2, "big") for k, x, y in rows)
+    more = b"/Type /XRef /Size 42 /W [1 3 2] /Root 1 0 R"
+    if predictor:
+        above, up = bytes(6), b""
+        for i in range(0, len(table), 6):
+            up += b"\x02" + bytes((a - b) & 255 for a, b in zip(table[i : i + 6], above))
+            above = table[i : i + 6]
+        table, more = up, more + b" /DecodeParms << /Predictor 12 /Columns 6 >>"
+    return bytes(out + b"41 0 obj\n%s\nendobj\nstartxref\n%d\n%%%%EOF" % (stream(table, more), at))
+
+
+@pytest.mark.parametrize("data", [plain_file(objects()), plain_file(objects(), broken=True), packed_file(objects()), packed_file(objects(), predictor=False), packed_file(objects()).replace(b"startxref", b"startxxxx")])
+def test_sound_files(data):
+    assert read_pdf(data) == WANT
+
+
+def test_outlines_that_are_not_flat_or_not_there():
+    nested = objects() | {21: b"<< /Title (T) /Dest (third) /First 22 0 R >>"}
+    assert read_pdf(plain_file(nested))[1] == [] and read_pdf(plain_file(objects(outline=False)))[1] == []
+    nowhere = objects() | {22: b"<< /Title (T) /Dest (nowhere) >>"}
+    assert read_pdf(plain_file(nowhere))[1][1] == {"title": "T", "page": None}
+    circle = objects() | {22: b"<< /Title (T) /Dest [5 0 R] /Next 21 0 R >>"}
+    assert len(read_pdf(plain_file(circle))[1]) == 2
+
+
+def test_an_update_counts_over_what_it_replaces():
+    first = plain_file(objects())
+    at = int(first.split(b"startxref\n")[1].split(b"\n")[0])
+    new = stream(b"BT /F1 12 Tf (newer) Tj ET")
+    data = first + b"\n17 0 obj\n%s\nendobj\n" % new
+    table = len(data)
+    data += b"xref\n17 1\n%010d 00000 n \ntrailer\n<< /Size 30 /Root 1 0 R /Prev %d >>\nstartxref\n%d\n%%%%EOF" % (len(first) + 1, at, table)
+    assert read_pdf(data)[0] == [*WANT[0][:2], "newer"]
+
+
+@pytest.mark.parametrize("data", [None, b"", b"%PDF-1.4", b"no pdf at all", b"%PDF-1.4\n1 0 obj<< /Type /Catalog /Pages 1 0 R >>endobj", plain_file(objects()).replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 2 0 R"), plain_file(objects()).replace(b"/FlateDecode", b"/LZWDecode")])
+def test_files_that_cannot_be_read_have_a_reason(data):
+    pages, outline, reason = read_pdf(data)
+    assert pages is None and outline is None and reason.startswith("not a readable PDF")
+
+
+def test_damage_never_crashes():
+    rng = random.Random(1)
+    for data in (plain_file(objects()), packed_file(objects())):
+        for _ in range(150):
+            broken = bytearray(data)
+            for _ in range(rng.randrange(1, 30)):
+                broken[rng.randrange(9, len(broken))] = rng.randrange(256)
+            pages, _, reason = read_pdf(bytes(broken[: rng.randrange(20, len(broken) + 1)]))
+            assert (pages is None) == (reason is not None)
+
+
+def test_files_to_chapters(spark):
+    rows = [("a", plain_file(objects())), ("b", packed_file(objects(outline=False))), ("c", b"%PDF-1.4 junk"), ("d", None), ("e", plain_file({n: b for n, b in objects().items() if n not in (14, 15, 16, 17)}))]
+    files = spark.createDataFrame([(i, "pdf", "u", c) for i, c in rows], "document_id string, file_type string, user_id string, content binary")
+    got = {r.document_id: r for r in documents.parsed(files, pdf_bytes.reader).collect()}
+    assert [tuple(c) for c in got["a"].chapters] == [("Full Document", WANT[0][0]), ("Éte", WANT[0][1]), ("Third", ""), ("Full Document", WANT[0][2])]
+    assert [tuple(c) for c in got["b"].chapters] == [("Full Document", "\n".join(WANT[0]))]
+    assert got["c"].message == "not a readable PDF: no catalogue" and got["d"].message == "not a readable PDF: no PDF header" and got["e"].message == "no extractable text"
+    assert {r.user_id for r in got.values()} == {"u"}
+    # a reader that gives the id alone
+    narrow = documents.parsed(files, lambda f: pdf_bytes.reader(f).select("document_id", F.col("pages"), "outline"))
+    assert {r.document_id: r.message for r in narrow.collect()}["c"] == "no extractable text"
