@@ -400,6 +400,13 @@ def html_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "chapter_no", "chapter", _hash("text").alias("text_hash"))
 
 
+_APART = "\ufdd0"  # a noncharacter
+
+
+def _unmarked(c):
+    return F.replace(c, F.lit(_APART), F.lit(" "))
+
+
 @query(
     r"""
 WITH given AS (SELECT doc_id, text, regexp_replace(text, ' ', '   ', 'g') AS wide FROM documents WHERE text IS NOT NULL),
@@ -422,10 +429,10 @@ FROM shares
 def glyph_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents with each glyph set apart, line by line, repaired; and the share of their single-glyph words."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    apart = F.regexp_replace(F.regexp_replace("text", " ", "   "), r"(\S)(?=\S)", "$1 ")
-    spaced = F.regexp_replace(F.regexp_replace("text", r"(\S)(?=\S)", "$1 "), r"(\S) (?=\s)", "$1")
-    given = docs.select("doc_id", apart.alias("apart"), spaced.alias("spaced"))
-    return given.select("doc_id", pdf.repaired(F.col("apart")).alias("repaired"), pdf.spaced_share(F.col("spaced")).alias("share"))
+    # a mark that no text holds stands for the spaces that are put in, so that one pass serves both forms
+    marked = F.regexp_replace("text", r"(\S)(?=\S)", f"$1{_APART}")
+    given = docs.select("doc_id", marked.alias("marked")).select("doc_id", _unmarked(F.replace("marked", F.lit(" "), F.lit("   "))).alias("apart"), _unmarked(F.regexp_replace("marked", r"(\S) (?=\s)", "$1")).alias("spaced"))
+    return given.select("doc_id", pdf.repaired_texts(F.col("apart")).alias("repaired"), pdf.share_of_texts(F.col("spaced")).alias("share"))
 
 
 # --- conversations ----------------------------------------------------------------------------------
