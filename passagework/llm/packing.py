@@ -48,6 +48,8 @@ MOST_CONFIGS = 8192
 BUCKET = 500
 #: Rest below which single pieces are placed best-fit.
 SMALL_REST = 50_000
+#: Pieces up to which best-fit places all of them one by one, for comparison.
+MOST_SINGLE = 200_000
 
 _MEMO_ENTRIES, _MEMO_LENGTH, _BATCH_CHARS, _JOINED = 500_000, 48, 3_000_000, 512
 
@@ -289,6 +291,11 @@ def greedy(lengths: np.ndarray, rest: np.ndarray, capacity: int, until: int) ->
     return out
 
 
+def filled(lengths: np.ndarray, rest: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """What is left, by decreasing length: like sequences at once until few pieces are left, these best-fit."""
+    return greedy(lengths, rest, capacity, SMALL_REST) + best_fit(lengths, rest, capacity)
+
+
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """(piece lengths of a sequence, number of such sequences) that hold the histogram exactly."""
     lengths = np.array(sorted(histogram), np.int64)
@@ -306,8 +313,11 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
         rest[live] = part
         if not took:
             break
-    made += greedy(lengths, rest, capacity, SMALL_REST)
-    made += best_fit(lengths, rest, capacity)
+    made += filled(lengths, rest, capacity)
+    # of lengths that fit no better than in pairs, filling one sequence after another may need fewer
+    every = np.array([histogram[int(x)] for x in lengths], np.int64)
+    plain = best_fit(lengths, every, capacity) if every.sum() <= MOST_SINGLE else filled(lengths, every, capacity)
+    made = min(made, plain, key=lambda configs: sum(n for _, n in configs))
     total: dict[tuple[int, ...], int] = {}
     for config, n in made:
         total[config] = total.get(config, 0) + n

@@ -16,12 +16,11 @@ def shingles(text, width):
     return [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
 
 
-def distinct(rows, width=5, budget=7, similarity=0.8):
-    """Positions of the (id, text) rows that stay: the first of each group of linked texts."""
+def distinct(rows, width=5, similarity=0.8):
+    """Positions of the (id, text) rows that stay: the first of each group of linked texts, all pairs compared."""
     n = len(rows)
     order = sorted(range(n), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
     sets = [set(shingles(t, width)) for _, t in rows]
-    prints = [simhash(t, width) for _, t in rows]
     root = list(range(n))
 
     def find(x):
@@ -32,7 +31,7 @@ def distinct(rows, width=5, budget=7, similarity=0.8):
     for a in range(n):
         for b in range(a):
             same = (rows[a][1] or "") == (rows[b][1] or "")
-            near = bin(prints[a] ^ prints[b]).count("1") <= budget and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+            near = len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
             if same or near:
                 root[find(a)] = find(b)
     seen, stays = set(), []
