@@ -59,17 +59,28 @@ def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> list[int]:
     return [digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])]
 
 
+#: A byte's bits, each in a byte of its own: sums of up to 255 of them do not run over.
+SPREAD = np.array([sum(1 << 8 * j for j in range(8) if b >> j & 1) for b in range(256)], np.uint64)
+
+
 def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Bits set in over half of each run of hashes; an empty run gives 0."""
     out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-    counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-    over = (2 * counts > sizes[full][:, None]).astype(np.uint8)
-    out[full] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
+    sizes = sizes[full]
+    # runs in parts of 255 at most, whose eight counts at a time are bytes of one number
+    parts = (sizes + 254) // 255
+    first = np.cumsum(parts) - parts
+    starts = np.repeat(np.cumsum(sizes) - sizes - 255 * first, parts) + 255 * np.arange(parts.sum())
+    octets = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    over = np.empty((len(full), 8), np.uint8)
+    for k in range(8):
+        counts = np.add.reduceat(SPREAD[octets[k]], starts).astype("<u8").view(np.uint8).reshape(-1, 8)
+        total = np.add.reduceat(counts, first, axis=0, dtype=np.int64)
+        over[:, k] = np.packbits(2 * total > sizes[:, None], axis=1, bitorder="little")[:, 0]
+    out[full] = over.view("<u8").ravel()
     return out
 
 
