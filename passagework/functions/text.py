@@ -46,7 +46,7 @@ def marked(text: Column, needle: Column, before: str = "<mark>", after: str = "<
 
 def size_label(n: Column) -> Column:
     kb = 1024.0
-    return F.when(n < kb, F.concat(n.cast("string"), F.lit(" B"))).when(n < kb * kb, F.format_string("%.1f KB", n / kb)).otherwise(F.format_string("%.1f MB", n / kb / kb))
+    return F.when(n.isNull(), F.lit(None).cast("string")).when(n < kb, F.concat(n.cast("string"), F.lit(" B"))).when(n < kb * kb, F.format_string("%.1f KB", n / kb)).otherwise(F.format_string("%.1f MB", n / kb / kb))
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -75,3 +75,22 @@ def filled(template: Column, values: dict[str, Column]) -> Column:
     for name, value in values.items():
         template = F.replace(template, F.lit("{" + name + "}"), value.cast("string"))
     return template
+
+
+def localized(catalogues: dict[str, dict[str, str]], language: Column, key: Column, values: dict[str, Column] | None = None, default: str = "en") -> Column:
+    """A message in a language, filled in; in the default language where the other has none, null where neither has.
+
+    Only the primary part of the first of a list of language tags counts, in any case; a null language is the default.
+    """
+    entries = {f"{lang}/{k}": text for lang, texts in catalogues.items() for k, text in texts.items()}
+    if not entries:
+        return F.lit(None).cast("string")
+    table = F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+    primary = F.lower(stripped(F.split_part(F.split_part(F.coalesce(language, F.lit(default)), F.lit(","), F.lit(1)), F.lit("-"), F.lit(1))))
+    found = F.coalesce(F.try_element_at(table, F.concat_ws("/", primary, key)), F.try_element_at(table, F.concat_ws("/", F.lit(default), key)))
+    return filled(found, values or {})
+
+
+def expired(since: Column, seconds: float, now: Column) -> Column:
+    """Whether a life of ``seconds`` is over at ``now``; the last instant still counts, a null start is over."""
+    return F.coalesce(F.unix_micros(now.cast("timestamp")) - F.unix_micros(since.cast("timestamp")) > int(seconds * 1_000_000), F.lit(True))

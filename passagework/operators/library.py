@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash
-from ..functions.text import contains_folded, stripped
+from ..functions.text import contains_folded, expired, size_label, stripped
 from ..schemas import FOLDER_COLORS, STATUSES
 from ..settings import settled
+from ..sources.uploads import media_type
+from . import screens
 from .versions import Versions
 
 
@@ -218,3 +220,35 @@ def email_reason(email: Column) -> Column:
 
 def account_reason(full_name: Column, password: Column) -> Column:
     return F.when(stripped(full_name) == "", "blank name").when(~F.length(password).between(8, 128), "password length")
+
+
+class MixedBatch(ValueError):
+    """Passages of more than one document, or of more than one owner, in one write."""
+
+
+def written_passages(passages: DataFrame, path: str) -> None:
+    """Write the passages of one document in place of those it had below ``path``, a folder a document; a batch of more than one is refused."""
+    owners = passages.select("user_id", "document_id").distinct().limit(2).collect()
+    if len(owners) > 1:
+        raise MixedBatch("passages of several documents or owners")
+    if owners:
+        passages.dropDuplicates(["chunk_id"]).write.mode("overwrite").parquet(f"{path}/user_id={owners[0]['user_id']}/document_id={owners[0]['document_id']}")
+
+
+def content_of(docs: DataFrame, user_id: str, document_id: str) -> DataFrame:
+    """(filename, media_type, content) of the owner's document, or no row: only these columns of one row are read."""
+    mine = docs.where((F.col("user_id") == user_id) & (F.col("id") == document_id))
+    return mine.select("filename", media_type(F.col("file_type")).alias("media_type"), "content").limit(1)
+
+
+def documents_of(docs: DataFrame, user_id: str, by: str = "newest", file_type: str | None = None, folder: str | None = "all", query: str = "") -> DataFrame:
+    """The owner's documents as the library shows them: filtered, in order, with labels, without content and hash."""
+    shown = screens.public_documents(view(docs.where(F.col("user_id") == user_id), file_type, folder, query))
+    labels = {"type_label": screens.type_label(F.col("file_type")), "size_label": size_label(F.col("file_size_bytes")), "date_label": screens.date_label(F.col("created_at")), "passages": screens.passage_total(F.col("chapter_breakdown"))}
+    return shown.withColumns(labels).orderBy(*sort_keys(by))
+
+
+def resend_reason(user: DataFrame, sent_at: Column, now: Column, wait: float = 60.0) -> DataFrame:
+    """(id, reason) of accounts that ask for their verification again: verified already, or asked again too soon; null if it goes out."""
+    soon = sent_at.isNotNull() & ~expired(sent_at, wait, now)
+    return user.select("id", F.when(F.col("email_verified_at").isNotNull(), "verified already").when(soon, "too soon").alias("reason"))

@@ -1,0 +1,71 @@
+"""Views, read-back, writes of one document, messages with fallback, times to live."""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from passagework.functions.text import expired, localized
+from passagework.operators import library
+from passagework.schemas import DOCUMENTS
+
+
+def documents(spark):
+    start = datetime(2026, 3, 4, 5, 6)
+    rows = [
+        ("a", "u", "Plan.md", "markdown", 512, "Ready", b"# x", start, [("One", 2), ("Two", 3)], None, "h1", None),
+        ("b", "u", "notes.pdf", "pdf", 2048, "Failed", b"%PDF", start + timedelta(days=1), None, "why", "h2", "f"),
+        ("c", "v", "plan.html", "html", 5 * 1024 * 1024, "Ready", b"<p>", start, None, None, "h3", None),
+        ("d", "u", "odd", "zip", None, "Graphing", None, None, None, None, None, None),
+    ]
+    return spark.createDataFrame(rows, DOCUMENTS)
+
+
+def test_documents_of_an_owner(spark):
+    shown = library.documents_of(documents(spark), "u").collect()
+    assert [r.id for r in shown] == ["b", "a", "d"] and not {"content", "content_hash", "user_id"} & set(shown[0].asDict())
+    assert [(r.type_label, r.size_label, r.date_label, r.passages) for r in shown] == [("PDF", "2.0 KB", "Mar 5, 2026", 0), ("Markdown", "512 B", "Mar 4, 2026", 5), ("zip", None, "—", 0)]
+    assert [r.id for r in library.documents_of(documents(spark), "u", query=" PLAN ").collect()] == ["a"]
+    assert [r.id for r in library.documents_of(documents(spark), "u", by="status").collect()] == ["d", "a", "b"]
+    assert library.documents_of(documents(spark), "nobody").count() == 0
+
+
+def test_content_is_read_back_by_its_owner_alone(spark):
+    docs = documents(spark)
+    assert [tuple(r) for r in library.content_of(docs, "u", "b").collect()] == [("notes.pdf", "application/pdf", b"%PDF")]
+    assert [r.media_type for r in library.content_of(docs, "u", "d").collect()] == ["application/octet-stream"]
+    assert library.content_of(docs, "u", "c").count() == library.content_of(docs, "u", "none").count() == 0
+
+
+def test_passages_of_one_document_are_written_over(spark, tmp_path):
+    schema = "chunk_id string, document_id string, user_id string, text string"
+    path = str(tmp_path / "passages")
+    for texts in (["x", "y", "z"], ["new"]):
+        rows = spark.createDataFrame([(f"k{i}", "d", "u", t) for i, t in enumerate(texts)] + [("k0", "d", "u", texts[0])], schema)
+        library.written_passages(rows, path)
+    library.written_passages(spark.createDataFrame([("k9", "e", "u", "other")], schema), path)
+    assert sorted((r.chunk_id, r.text) for r in spark.read.parquet(f"{path}/*/*").collect()) == [("k0", "new"), ("k9", "other")]
+    mixed = [spark.createDataFrame(r, schema) for r in ([("k1", "d", "u", "t"), ("k2", "e", "u", "t")], [("k1", "d", "u", "t"), ("k2", "d", "v", "t")])]
+    for rows in mixed:
+        with pytest.raises(library.MixedBatch):
+            library.written_passages(rows, path)
+    library.written_passages(spark.createDataFrame([], schema), path)
+
+
+def test_messages_fall_back_to_the_default_language(spark):
+    catalogues = {"en": {"hello": "Hello {name}", "bye": "Bye"}, "de": {"hello": "Hallo {name}"}, "bg": {}}
+    rows = spark.createDataFrame([("de", "hello"), ("de-AT", "hello"), ("DE", "bye"), (" de-CH , fr", "hello"), ("bg", "hello"), (None, "bye"), ("fr", "none"), ("en", None)], "l string, k string")
+    got = [r[0] for r in rows.select(localized(catalogues, F.col("l"), F.col("k"), {"name": F.lit("Ann")})).collect()]
+    assert got == ["Hallo Ann", "Hallo Ann", "Bye", "Hallo Ann", "Hello Ann", "Bye", None, None]
+    assert rows.select(localized({}, F.col("l"), F.col("k"))).first()[0] is None
+
+
+def test_times_to_live(spark):
+    now = datetime(2026, 1, 2)
+    rows = spark.createDataFrame([(now - timedelta(seconds=60),), (now - timedelta(seconds=60, microseconds=1),), (now + timedelta(days=1),), (None,)], "at timestamp")
+    assert [r[0] for r in rows.select(expired(F.col("at"), 60, F.lit(now))).collect()] == [False, True, False, True]
+    users = spark.createDataFrame([("a", now, now), ("b", None, now - timedelta(seconds=5)), ("c", None, now - timedelta(seconds=61)), ("d", None, None)], "id string, email_verified_at timestamp, sent timestamp")
+    got = {r.id: r.reason for r in library.resend_reason(users, F.col("sent"), F.lit(now)).collect()}
+    assert got == {"a": "verified already", "b": "too soon", "c": None, "d": None}
