@@ -144,6 +144,23 @@ def test_simhash_against_all_pairs(spark, sf_dir, sample):
     assert {r.doc_id: r.component_id for r in rows} == R.components(prints)
 
 
+def test_majority_of_runs_of_all_sizes():
+    rng = np.random.default_rng(8)
+    sizes = np.array([0, 1, 2, 254, 255, 256, 0, 510, 511, 700, 3, 0])
+    hashes = rng.integers(0, 1 << 64, sizes.sum(), dtype=np.uint64, endpoint=False)
+    hashes[sizes[:5].sum() : sizes[:6].sum()] = 0xFFFFFFFFFFFFFFFF  # counts that fill a byte
+    ends = np.cumsum(sizes)
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes[e - n : e]) > n) for n, e in zip(sizes.tolist(), ends.tolist())]
+    assert simhash.majority(hashes, sizes).tolist() == want
+
+
+def test_other_fingerprints_of_a_text_are_independent():
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 400, dtype=np.uint64)
+    prints = [int(simhash.majority(simhash.mixed(hashes, k), np.array([400]))[0]) for k in range(simhash.NEAR_PRINTS)]
+    far = [bin(a ^ b).count("1") for i, a in enumerate(prints) for b in prints[:i]]
+    assert min(far) > 12 and 28 < sum(far) / len(far) < 36
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_trie_links_against_all_pairs(seed):
     rng = np.random.default_rng(seed)
