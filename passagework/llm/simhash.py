@@ -183,7 +183,7 @@ def _signed(x: int) -> int:
 
 
 def _link_batches(budget: int, most: int):
-    """Rows (mask, key, fp, id) in order of mask, key: links of each subtree, and the rows of larger ones as they are."""
+    """Rows (mask, key, fp, id, trie) in order of mask, key: links of each subtree, and the rows of larger ones as they are."""
 
     def links(mask, key, fp, ids) -> pa.RecordBatch:
         order = np.lexsort((fp.view(np.uint64), key, mask))
@@ -198,10 +198,10 @@ def _link_batches(budget: int, most: int):
         root = least[label]
         out = root != ids
         n = int(out.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(ids[out]), pa.array(root[out])], names=["mask", "fp", "u", "v"])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(ids[out]), pa.array(root[out]), pa.nulls(n, pa.int32())], names=["mask", "fp", "u", "v", "trie"])
 
-    def passed(mask, fp, ids) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(mask), pa.array(fp), pa.array(ids), pa.nulls(len(ids), pa.int64())], names=["mask", "fp", "u", "v"])
+    def passed(mask, fp, ids, trie) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(mask), pa.array(fp), pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(trie)], names=["mask", "fp", "u", "v", "trie"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -209,29 +209,29 @@ def _link_batches(budget: int, most: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mask, key, fp, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            mask, key, fp, ids, trie = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if large is not None:
                 same = int(np.argmin(np.append((mask == large[0]) & (key == large[1]), False)))
                 if same:
-                    yield passed(mask[:same], fp[:same], ids[:same])
-                mask, key, fp, ids = mask[same:], key[same:], fp[same:], ids[same:]
+                    yield passed(mask[:same], fp[:same], ids[:same], trie[:same])
+                mask, key, fp, ids, trie = mask[same:], key[same:], fp[same:], ids[same:], trie[same:]
                 if not len(mask):
                     continue
                 large = None
-            held.append([mask, key, fp, ids])
+            held.append([mask, key, fp, ids, trie])
             if sum(len(x[0]) for x in held) < WALK_BATCH:
                 continue
-            mask, key, fp, ids = (np.concatenate(x) for x in zip(*held))
+            mask, key, fp, ids, trie = (np.concatenate(x) for x in zip(*held))
             last = int(np.flatnonzero((mask != mask[-1]) | (key != key[-1])).max(initial=-1)) + 1
             if last:
                 yield links(mask[:last], key[:last], fp[:last], ids[:last])
-            mask, key, fp, ids = mask[last:], key[last:], fp[last:], ids[last:]
-            held = [[mask, key, fp, ids]]
+            mask, key, fp, ids, trie = mask[last:], key[last:], fp[last:], ids[last:], trie[last:]
+            held = [[mask, key, fp, ids, trie]]
             if len(mask) > most:
-                yield passed(mask, fp, ids)
+                yield passed(mask, fp, ids, trie)
                 large, held = (mask[0], key[0]), []
         if held:
-            mask, key, fp, ids = (np.concatenate(x) for x in zip(*held))
+            mask, key, fp, ids, _ = (np.concatenate(x) for x in zip(*held))
             if len(mask):
                 yield links(mask, key, fp, ids)
 
@@ -239,24 +239,30 @@ def _link_batches(budget: int, most: int):
 
 
 def leaf_links(leaves: DataFrame, budget: int = BUDGET, most_leaves: int = MOST_LEAVES) -> DataFrame:
-    """Links (u, v) among (fp, id) leaves with distinct ``fp``: enough to connect all within ``budget`` bits."""
+    """Links (u, v) among (fp, id) leaves with distinct ``fp``: enough to connect all within ``budget`` bits.
+
+    Leaves with a ``trie`` are those of several tries, which are walked in the same pass: a subtree is one trie's.
+    """
+    trie = F.col("trie").cast("int") if "trie" in leaves.columns else F.lit(0)
     spark = leaves.sparkSession
     found = None
     everything = (1 << 64) - 1
     level = {0: block_masks(everything, budget)}  # mask so far to the masks that refine it
-    rows = leaves.select(F.lit(0).cast("long").alias("mask"), "fp", "id")
+    rows = leaves.select(F.lit(0).cast("long").alias("mask"), "fp", "id", trie.alias("trie"))
     while True:
         finer = F.create_map(*itertools.chain.from_iterable((F.lit(_signed(m)), F.array(*(F.lit(_signed(m | x)) for x in more))) for m, more in level.items()))
-        dealt = rows.select("fp", "id", F.explode(finer[F.col("mask")]).alias("mask"))
-        dealt = dealt.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "id")
+        dealt = rows.select("fp", "id", "trie", F.explode(finer[F.col("mask")]).alias("mask"))
+        # a subtree of one trie is told from another's by a hash; should two ever meet, that offers links that verification drops
+        shared = F.col("fp").bitwiseAND(F.col("mask"))
+        dealt = dealt.select("mask", F.when(F.col("trie") == 0, shared).otherwise(F.xxhash64("trie", shared)).alias("key"), "fp", "id", "trie")
         dealt = dealt.repartition(shuffle_width(spark), "mask", "key").sortWithinPartitions("mask", "key")
         next_masks = {m | x: None for m, more in level.items() for x in more}
         free = min(bin(everything ^ m).count("1") for m in next_masks)
         most = most_leaves if free > budget + 2 else 1 << 62  # at the last level 2^free bounds a subtree
-        made = settle(dealt.mapInArrow(_link_batches(budget, most), "mask long, fp long, u long, v long"), "simhash-links")
+        made = settle(dealt.mapInArrow(_link_batches(budget, most), "mask long, fp long, u long, v long, trie int"), "simhash-links")
         links = made.where("v is not null").select("u", "v")
         found = links if found is None else found.unionByName(links)
-        rows = made.where("v is null").select("mask", "fp", F.col("u").alias("id"))
+        rows = made.where("v is null").select("mask", "fp", F.col("u").alias("id"), "trie")
         if rows.isEmpty():
             return found
         level = {m: block_masks(everything ^ m, budget) for m in next_masks}
@@ -344,14 +350,11 @@ def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text_column:
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
     # every different text is named by its first row; a fingerprint is a leaf of its trie, named by the least of these
     texts = settle(rows.groupBy("same").agg(F.min(order).alias("first"), F.first("fps").alias("fps")).select("same", "fps", "first", F.col("first.row").alias("name")), "simhash-texts")
-    links = None
-    for k in range(prints):
-        own = texts.select(F.get("fps", F.lit(k)).alias("fp"), "name")
-        leaves = settle(own.groupBy("fp").agg(F.min("name").alias("id")), "simhash-leaves")
-        equal = own.join(leaves, "fp").where("name <> id").select(F.col("name").alias("u"), F.col("id").alias("v"))
-        found = leaf_links(leaves, budget).unionByName(equal)
-        links = found if links is None else links.unionByName(found)
-    links = settle(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-near")
+    own = texts.select("name", F.posexplode("fps").alias("trie", "fp"))
+    leaves = settle(own.groupBy("trie", "fp").agg(F.min("name").alias("id")), "simhash-leaves")
+    equal = own.join(leaves, ["trie", "fp"]).where("name <> id").select(F.col("name").alias("u"), F.col("id").alias("v"))
+    found = leaf_links(leaves, budget).unionByName(equal)
+    links = settle(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-near")
     met = links.select(F.explode(F.array("u", "v")).alias("row")).distinct()
     # shingles of linked rows alone; these are payload and no side to broadcast, whatever their estimate
     sets = settle(given.select("row", "text").join(met, "row", "left_semi").mapInArrow(_shingle_sets(width), "row long, shingles array<long>"), "simhash-shingles")
