@@ -254,8 +254,9 @@ def leaf_links(leaves: DataFrame, budget: int = BUDGET, most_leaves: int = MOST_
         dealt = rows.select("fp", "id", "trie", F.explode(finer[F.col("mask")]).alias("mask"))
         # a subtree of one trie is told from another's by a hash; should two ever meet, that offers links that verification drops
         shared = F.col("fp").bitwiseAND(F.col("mask"))
-        dealt = dealt.select("mask", F.when(F.col("trie") == 0, shared).otherwise(F.xxhash64("trie", shared)).alias("key"), "fp", "id", "trie")
-        dealt = dealt.repartition(shuffle_width(spark), "mask", "key").sortWithinPartitions("mask", "key")
+        key = F.when(F.col("trie") == 0, shared).otherwise(F.xxhash64("trie", shared))
+        # the key is worked out again where a row arrives: it would be a third of what is shuffled
+        dealt = dealt.repartition(shuffle_width(spark), "mask", key).select("mask", key.alias("key"), "fp", "id", "trie").sortWithinPartitions("mask", "key")
         next_masks = {m | x: None for m, more in level.items() for x in more}
         free = min(bin(everything ^ m).count("1") for m in next_masks)
         most = most_leaves if free > budget + 2 else 1 << 62  # at the last level 2^free bounds a subtree
