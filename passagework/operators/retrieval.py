@@ -12,8 +12,8 @@ from ..schemas import RELEVANT_DISTANCE, TOP_PASSAGES
 
 #: Passages, and questions, of a scope that meet in one task.
 SLICE_PASSAGES, SLICE_QUERIES = 100_000, 20_000
-#: Questions that are compared with a slice at a time.
-_ROWS = 256
+#: Distances that a task works out at a time, and vectors that it makes unit rows of at a time.
+_CELLS, _VECTORS = 1 << 21, 1 << 13
 
 
 def matrix(vectors: pa.Array, size: int) -> np.ndarray:
@@ -21,6 +21,12 @@ def matrix(vectors: pa.Array, size: int) -> np.ndarray:
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     out = np.full((len(vectors), size), np.nan)
+    for at in range(0, len(vectors), _VECTORS):
+        _unit_rows(vectors.slice(at, _VECTORS), size, out[at : at + _VECTORS])
+    return out
+
+
+def _unit_rows(vectors: pa.Array, size: int, out: np.ndarray) -> None:
     fits = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vectors), size), False).to_numpy(zero_copy_only=False))
     if size and len(fits):
         flat = vectors.take(pa.array(fits)).flatten()
@@ -28,13 +34,22 @@ def matrix(vectors: pa.Array, size: int) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
         out /= np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
     out[~np.isfinite(out).all(axis=1)] = np.nan
-    return out
 
 
 def _sizes(vectors: pa.ChunkedArray) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(vectors), -1).to_numpy()
 
 
+def _own_places(questions: pa.ChunkedArray, passages: pa.ChunkedArray) -> dict[str, np.ndarray]:
+    """Where the passages are that have a question's id, by that id as text; only ids of questions are held."""
+    asked = questions.cast(pa.string()).combine_chunks().drop_null().unique()
+    codes = pc.fill_null(pc.index_in(passages.cast(pa.string()).combine_chunks(), value_set=asked), -1).to_numpy()
+    places = np.flatnonzero(codes >= 0)
+    places = places[np.argsort(codes[places], kind="stable")]
+    found, starts = np.unique(codes[places], return_index=True)
+    return dict(zip(asked.take(pa.array(found)).to_pylist(), np.split(places, starts[1:]))) if len(found) else {}
+
+
 def _best_of(k: int, exclude_self: bool, within: bool):
     """A group's questions with its passages: (query_id, passage_id, distance) of the ``k`` nearest of each."""
 
@@ -43,7 +58,7 @@ def _best_of(k: int, exclude_self: bool, within: bool):
         if questions.num_rows and passages.num_rows:
             order = np.empty(passages.num_rows, np.int64)
             order[pc.sort_indices(passages.column("passage_id").combine_chunks()).to_numpy()] = np.arange(passages.num_rows)
-            own = passages.column("passage_id").cast(pa.string()).to_pandas().groupby(passages.column("passage_id").cast(pa.string()).to_pandas()).indices if exclude_self else {}
+            own = _own_places(questions.column("query_id"), passages.column("passage_id")) if exclude_self else {}
             if within:
                 coded = passages.column("document_id").cast(pa.string()).combine_chunks().dictionary_encode()
                 code_of = {d: i for i, d in enumerate(coded.dictionary.to_pylist())}
@@ -53,22 +68,30 @@ def _best_of(k: int, exclude_self: bool, within: bool):
                 mine = np.flatnonzero(sizes == size)
                 rows = matrix(passages.column("_v"), max(size, 0))
                 asked = matrix(questions.column("_v").take(pa.array(mine)), max(size, 0))
-                ids = questions.column("query_id").take(pa.array(mine)).to_pylist()
+                ids = questions.column("query_id").take(pa.array(mine)).cast(pa.string()).to_pylist()
                 scopes = questions.column("document_ids").take(pa.array(mine)).to_pylist() if within else [None] * len(mine)
-                for at in range(0, len(mine), _ROWS):
+                step = max(1, _CELLS // len(rows))
+                for at in range(0, len(mine), step):
                     with np.errstate(invalid="ignore"):
-                        distance = np.round(1 - asked[at : at + _ROWS] @ rows.T, 6) + 0.0  # no negative zero
+                        distance = asked[at : at + step] @ rows.T
+                        np.subtract(1, distance, out=distance)
+                        np.round(distance, 6, out=distance)
+                        distance += 0.0  # no negative zero
                     distance[np.isnan(distance)] = np.inf  # no distance comes last
                     for j, d in enumerate(distance):
-                        may = np.arange(len(d))
+                        self_ = own.get(ids[at + j])
                         if scopes[at + j]:
                             allowed = np.zeros(len(code_of) + 1, bool)
                             allowed[[code_of[x] for x in map(str, scopes[at + j]) if x in code_of]] = True
                             may = np.flatnonzero(allowed[codes])
-                        if exclude_self and (self_ := own.get(str(ids[at + j]))) is not None:
-                            may = np.setdiff1d(may, self_)
-                        if len(may) > k:
-                            may = may[d[may] <= np.partition(d[may], k - 1)[k - 1]]
+                            may = may if self_ is None else np.setdiff1d(may, self_)
+                            if len(may) > k:
+                                may = may[d[may] <= np.partition(d[may], k - 1)[k - 1]]
+                        else:
+                            if self_ is not None:
+                                d[self_] = np.inf
+                            may = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                            may = may if self_ is None else np.setdiff1d(may, self_)
                         best = may[np.lexsort((order[may], d[may]))[:k]]
                         found_q.extend([int(mine[at + j])] * len(best))
                         found_p.extend(best.tolist())
@@ -89,7 +112,7 @@ def _sliced(queries: DataFrame, passages: DataFrame, groups: list[str]) -> tuple
     """Both sides with ``_slice``: a group's passages and questions are dealt so that no slice has more than its bound of either, about."""
 
     def slices(rows: DataFrame, most: int, name: str) -> DataFrame:
-        return rows.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+        return rows.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name)).where(F.col(name) > 0)
 
     # one row a group that both sides have
     both = slices(queries, SLICE_QUERIES, "_nq").join(slices(passages, SLICE_PASSAGES, "_np"), groups) if groups else slices(queries, SLICE_QUERIES, "_nq").join(F.broadcast(slices(passages, SLICE_PASSAGES, "_np")))

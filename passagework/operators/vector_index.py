@@ -1,10 +1,11 @@
 """An index of vectors in inverted lists: trained centroids, probes in order, exact distances, exact fallback.
 
 The centroids are fit on a bounded sample; every row is in the list of its nearest centroid, and each list
-knows its radius.  How many lists a question probes is measured on the sample, for the recall that is asked for:
+knows its radius and its size.  How many lists a question probes is measured on the sample, for the recall that is asked for:
 vectors in clusters need few, vectors without any need most.  A search compares a question with its nearest lists alone.  A question that finds fewer
 than ``k`` there, as a narrow scope may leave it, is compared with all passages of its scope.  An exact
-search goes on to all lists whose nearest possible vector is no farther than the ``k``-th found.
+search goes on to all lists whose nearest possible vector is no farther than the ``k``-th found; these may be
+most lists, so it goes to bundles of lists, and a question and its vector move once for each bundle.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import TOP_PASSAGES
+from ..settings import settled
+from . import retrieval
 from .retrieval import best, compared, matrix, nearest
 
 #: Vectors that the centroids are fit on, about, and rounds of the fit; lists at most.
@@ -29,15 +32,18 @@ NOWHERE = -1
 TARGET = 0.96
 #: What distances are rounded to, and more: bounds give way by it.
 SLACK = 1e-5
+#: Angles that are worked out at a time.
+CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """``rows`` are the passages with ``_list``; ``centroids`` unit rows; ``radii`` the widest angle in each list (negative: empty); ``probes`` what a question needs."""
+    """``rows`` are the passages with ``_list``; ``centroids`` unit rows; ``radii`` the widest angle in each list (negative: empty), ``sizes`` its rows; ``probes`` what a question needs."""
 
     rows: DataFrame
     centroids: np.ndarray
     radii: np.ndarray
+    sizes: np.ndarray
     probes: int
 
 
@@ -56,6 +62,21 @@ def sampled(vectors: DataFrame, key: str, column: str, most: int = SAMPLE) -> np
     return rows[~np.isnan(rows).any(axis=1)]
 
 
+def _slices(n: int, width: int) -> Iterator[slice]:
+    """Slices of ``n`` rows whose comparison with ``width`` others is ``CELLS`` numbers at most, or one row."""
+    step = max(1, CELLS // max(1, width))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def _closest(rows: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest centroid and the cosine."""
+    mine, closeness = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+    for x in _slices(len(rows), len(centroids)):
+        near = rows[x] @ centroids.T
+        mine[x], closeness[x] = near.argmax(axis=1), near.max(axis=1)
+    return mine, closeness
+
+
 def trained(rows: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
     """Centroids on the unit sphere: distinct rows to begin with, then means; a list without a row gets the row farthest from its own."""
     rows = np.unique(rows, axis=0)
@@ -63,8 +84,7 @@ def trained(rows: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
         return rows
     centroids = rows[np.random.default_rng(len(rows)).choice(len(rows), lists, replace=False)]
     for _ in range(rounds):
-        near = rows @ centroids.T
-        mine, closeness = near.argmax(axis=1), near.max(axis=1)
+        mine, closeness = _closest(rows, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, mine, rows)
         empty = np.flatnonzero(np.bincount(mine, minlength=lists) == 0)
@@ -89,30 +109,31 @@ def probes_for(rows: np.ndarray, centroids: np.ndarray, target: float, k: int =
     near[np.arange(len(some)), some] = -np.inf
     k = min(k, len(rows) - 1)
     best_rows = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    lists = (rows @ centroids.T).argmax(axis=1)
+    lists = _closest(rows, centroids)[0]
     places = np.argsort(np.argsort(-(rows[some] @ centroids.T), axis=1), axis=1)
     found = np.sort(places[np.arange(len(some))[:, None], lists[best_rows]].ravel())
     return int(found[min(len(found) - 1, int(np.ceil(target * len(found))) - 1)]) + 1
 
 
-def _angles(vectors: pd.Series, centroids: np.ndarray) -> np.ndarray:
-    rows = matrix(pa.array([None if v is None else list(v) for v in vectors], pa.list_(pa.float64())), centroids.shape[1] if centroids.size else 0)
+def _angles(vectors: pa.Array, centroids: np.ndarray) -> np.ndarray:
+    rows = matrix(vectors, centroids.shape[1] if centroids.size else 0)
     return np.arccos(np.clip(rows @ centroids.T, -1, 1)) if centroids.size else np.full((len(rows), 0), np.nan)
 
 
 def _placed(vectors: DataFrame, column: str, centroids: np.ndarray) -> DataFrame:
     """``vectors`` with ``_list`` and ``_angle`` from the centroid: numbers go through, vectors do not come back from Python."""
 
-    @F.pandas_udf("struct<l:int,a:double>")
-    def place(v: pd.Series) -> pd.DataFrame:
-        angles = _angles(v, centroids)
-        if not angles.shape[1]:
-            return pd.DataFrame({"l": np.full(len(v), NOWHERE), "a": np.nan})
-        nowhere = np.isnan(angles).any(axis=1)
-        angles = np.where(np.isnan(angles), np.inf, angles)
-        mine = angles.argmin(axis=1)
-        return pd.DataFrame({"l": np.where(nowhere, NOWHERE, mine), "a": np.where(nowhere, np.nan, angles[np.arange(len(mine)), mine])})
-
+    def place(v: pa.Array) -> pa.Array:
+        mine, least = np.full(len(v), NOWHERE, np.int32), np.full(len(v), np.nan)
+        for x in _slices(len(v), len(centroids)):
+            angles = _angles(v[x], centroids)
+            somewhere = np.flatnonzero(~np.isnan(angles).any(axis=1)) if angles.shape[1] else []
+            if len(somewhere):
+                found = angles[somewhere].argmin(axis=1)
+                mine[x.start + somewhere], least[x.start + somewhere] = found, angles[somewhere, found]
+        return pa.StructArray.from_arrays([pa.array(mine), pa.array(least)], names=["l", "a"])
+
+    place = F.arrow_udf(place, "struct<l:int,a:double>", F.ArrowUDFType.SCALAR)
     return vectors.withColumn("_p", place(F.col(column))).withColumns({"_list": F.col("_p.l"), "_angle": F.col("_p.a")}).drop("_p")
 
 
@@ -135,25 +156,35 @@ def opened(passages: DataFrame, path: str, centroids: np.ndarray, probes: int) -
     """An index that was built; ``passages`` gives the columns."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passages.schema)
     rows = passages.sparkSession.read.schema(f"{schema}, _angle double, _list int").parquet(path)
-    radii = np.full(len(centroids), -1.0)
-    for r in rows.where(F.col("_list") >= 0).groupBy("_list").agg(F.max("_angle").alias("a")).collect():  # a row a list
-        radii[r["_list"]] = r["a"]
-    return VectorIndex(rows, centroids, radii, probes)
+    radii, sizes = np.full(len(centroids), -1.0), np.zeros(len(centroids), np.int64)
+    for r in rows.where(F.col("_list") >= 0).groupBy("_list").agg(F.max("_angle").alias("a"), F.count(F.lit(1)).alias("n")).collect():  # a row a list
+        radii[r["_list"]], sizes[r["_list"]] = r["a"], r["n"]
+    return VectorIndex(rows, centroids, radii, sizes, probes)
 
 
-def _probed(queries: DataFrame, index: VectorIndex, chosen) -> DataFrame:
-    """A row for each question and list of ``chosen(angles of its lists, the farthest distance it has to beat)``."""
-    centroids = index.centroids
+def _probed(queries: DataFrame, centroids: np.ndarray, chosen, name: str) -> DataFrame:
+    """A row for each question and number of ``chosen(angles of its lists, the farthest distance it has to beat)``, called ``name``.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            angles = _angles(frame["_v"], centroids)
-            lists = [chosen(a, d) if len(a) and not np.isnan(a).any() else [] for a, d in zip(angles, frame["_most"])]
-            out = frame.assign(_list=pd.Series(lists, index=frame.index, dtype=object)).explode("_list").dropna(subset=["_list"])
-            yield out.assign(_list=out["_list"].astype("int32"))
+    Python gives a question's numbers as an array; the rows for each are made outside it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in _slices(batch.num_rows, len(centroids)):
+                part = batch.slice(x.start, x.stop - x.start)
+                angles = _angles(part["_v"], centroids)
+                found = [chosen(a, d) if len(a) and not np.isnan(a).any() else np.zeros(0, np.int32) for a, d in zip(angles, part["_most"].to_pylist())]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                numbers = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, numbers], names=[*part.schema.names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
-    return queries.mapInPandas(run, f"{schema}, _list int")
+    return queries.mapInArrow(run, f"{schema}, `{name}` array<int>").withColumn(name, F.explode(name))
+
+
+def _bundles(sizes: np.ndarray, most: int) -> np.ndarray:
+    """The bundle of each list: lists in turn, about ``most`` rows each."""
+    return ((np.cumsum(sizes) - sizes) // most).astype(np.int32)
 
 
 def search(index: VectorIndex, queries: DataFrame, scope: list[str], k: int = TOP_PASSAGES, probes: int | None = None, exclude_self: bool = True, exact: bool = False) -> DataFrame:
@@ -167,27 +198,29 @@ def search(index: VectorIndex, queries: DataFrame, scope: list[str], k: int = TO
     rows = index.rows.select("passage_id", F.col("embedding").alias("_v"), "_list", *scope, *(["document_id"] if within else []))
     filled = np.flatnonzero(radii >= 0)
 
-    def first(angles: np.ndarray, _) -> list[int]:
-        return filled[np.argsort(angles[filled], kind="stable")[:probes]].tolist()
+    def first(angles: np.ndarray, _) -> np.ndarray:
+        return filled[np.argsort(angles[filled], kind="stable")[:probes]]
+
+    bundles = _bundles(index.sizes, retrieval.SLICE_PASSAGES)
 
-    def rest(angles: np.ndarray, most: float) -> list[int]:
-        """Lists not probed whose nearest possible vector is as near as the farthest found."""
-        order = filled[np.argsort(angles[filled], kind="stable")[probes:]]
-        bound = 1 - np.cos(np.maximum(0, angles[order] - radii[order]))
-        return order[bound <= most + SLACK].tolist()
+    def rest(angles: np.ndarray, most: float) -> np.ndarray:
+        """Bundles of the lists whose nearest possible vector is as near as the farthest found."""
+        bound = 1 - np.cos(np.maximum(0, angles[filled] - radii[filled]))
+        return np.unique(bundles[filled[bound <= most + SLACK]])
 
-    groups = ["_list", *scope]
-    near = best(compared(_probed(asked.withColumn("_most", F.lit(None).cast("double")), index, first), rows, groups, k, exclude_self), k, "query_id")
+    near = best(compared(_probed(asked.withColumn("_most", F.lit(None).cast("double")), index.centroids, first, "_list"), rows, ["_list", *scope], k, exclude_self), k, "query_id")
+    near = settled(near, "probed")
     counts = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_most"))
     short = F.coalesce(F.col("_n"), F.lit(0)) < k
     judged = queries.join(counts, "query_id", "left")
-    full = judged.where(~short).select("query_id")
     all_of = nearest(judged.where(short).drop("_n", "_most"), index.rows, scope, k, exclude_self)
-    kept = near.join(full, "query_id", "left_semi")
     if exact:
         again = asked.join(counts.where(F.col("_n") >= k).select("query_id", "_most"), "query_id")
-        more = compared(_probed(again, index, rest), rows, groups, k, exclude_self)
-        kept = best(kept.drop("rank").unionByName(more), k, "query_id")
+        # the lists that were probed are among these as far as they matter
+        in_bundles = rows.where(F.col("_list") >= 0).withColumn("_bundle", F.get(F.array(*map(F.lit, bundles.tolist())), F.col("_list"))) if len(bundles) else rows.withColumn("_bundle", F.lit(0))
+        kept = best(compared(_probed(again, index.centroids, rest, "_bundle"), in_bundles.drop("_list"), ["_bundle", *scope], k, exclude_self), k, "query_id")
+    else:
+        kept = near.join(judged.where(~short).select("query_id"), "query_id", "left_semi")
     return kept.unionByName(all_of)
 
 

@@ -73,3 +73,33 @@ def test_slices_do_not_change_the_rows(vectors, monkeypatch):
     monkeypatch.setattr(retrieval, "SLICE_QUERIES", 7)
     assert rows(retrieval.nearest(questions(vectors), vectors, ["user_id"])) == want
     assert len({(q, p) for q, _, p, _ in want}) == len(want)
+
+
+def test_a_question_moves_once_for_each_bundle_of_lists(vectors, index, monkeypatch):
+    """An exact search of most lists makes a row for each bundle; slices hold no more cells than the bound."""
+    rows_made, probed = [], vector_index._probed
+    asked = questions(vectors, "passage_id % 25 = 0")
+    monkeypatch.setattr(vector_index, "_probed", lambda *a: rows_made.append(probed(*a)) or rows_made[-1])
+    found = vector_index.search(index, asked, [], probes=1, exact=True)
+    assert rows(found) == rows(retrieval.nearest(asked, vectors, []))
+    assert rows_made[-1].count() <= asked.count()
+    monkeypatch.setattr(retrieval, "SLICE_PASSAGES", 300)
+    assert rows(vector_index.search(index, asked, [], probes=1, exact=True)) == rows(found)
+    assert rows_made[-1].agg(F.count_distinct("_bundle")).first()[0] > 1
+    monkeypatch.setattr(vector_index, "CELLS", 50)
+    assert vector_index._closest(np.eye(16), np.eye(16))[0].tolist() == list(range(16))
+    assert max(len(range(1000)[x]) * 12 for x in vector_index._slices(1000, 12)) <= 50
+
+
+def test_own_places_hold_only_what_is_asked():
+    import pyarrow as pa
+
+    found = retrieval._own_places(pa.chunked_array([pa.array([3, None, 9])]), pa.chunked_array([pa.array([1, 3, None, 3, 5])]))
+    assert {k: v.tolist() for k, v in found.items()} == {"3": [1, 3]}
+
+
+def test_distances_are_worked_out_in_blocks(vectors, monkeypatch):
+    want = rows(retrieval.nearest(questions(vectors), vectors, ["user_id"]))
+    monkeypatch.setattr(retrieval, "_CELLS", 2000)
+    monkeypatch.setattr(retrieval, "_VECTORS", 7)
+    assert rows(retrieval.nearest(questions(vectors), vectors, ["user_id"])) == want
