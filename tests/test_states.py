@@ -104,3 +104,51 @@ def test_lives_of_documents(spark, tmp_path, cuts):
     if not cuts:
         # a batch goes by place, so an event that came late is in time
         assert {(r.document_id, r.seq, r.verdict) for r in got if r.document_id == "b" and r.round == 0} == {("b", 0, "accepted"), ("b", 1, "accepted"), ("b", 3, "accepted"), ("b", 3, "repeated")}
+
+
+class Store:
+    """A map state that counts its calls, as its own handle."""
+
+    def __init__(self):
+        self.kept, self.calls = {}, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def _called(self, found=None):
+        self.calls += 1
+        return found
+
+    def exists(self):
+        return self._called(bool(self.kept))
+
+    def keys(self):
+        return iter(self._called(list(self.kept)))
+
+    def getValue(self, key):
+        return self._called(self.kept.get(key))
+
+    def updateValue(self, key, value):
+        self._called(self.kept.update({key: value}))
+
+    def removeKey(self, key):
+        self._called(self.kept.pop(key))
+
+
+def test_documents_of_a_bucket_share_the_calls_to_the_store():
+    store, lives = Store(), status.Lives()
+    lives.init(store)
+    rows = [{"document_id": d and f"{d}", "round": 0, "seq": 0, "status": "Failed", "reason": None} for d in (None, *range(1, 500))]
+    assert {r.verdict for r in lives.handleInputRows((3,), iter(rows), None)} == {"illegal"}
+    assert store.calls == 1 and not store.kept
+    first = [{**rows[0], "status": "Uploaded", "document_id": d} for d in ("7", None)]
+    assert [r.verdict for r in lives.handleInputRows((3,), iter(first), None)] == ["accepted"] * 2
+    again = list(lives.handleInputRows((3,), iter([{**first[0], "seq": 1, "status": "Extracting"}, first[0], first[1]]), None))
+    assert [(r.document_id, r.seq, r.verdict) for r in again] == [(None, 0, "repeated"), ("7", 0, "repeated"), ("7", 1, "accepted")]
+    assert store.kept == {("7",): (0, 1, "Extracting"), (None,): (0, 0, "Uploaded")}
+
+
+def test_lives_of_documents_without_an_id(spark, tmp_path):
+    events = [(None, 0, 0, "Uploaded", None), (None, 0, 1, "Extracting", None), ("", 0, 0, "Uploaded", None)]
+    got = streamed(spark, tmp_path, cut(events, [1]), "document_id string, round long, seq int, status string, reason string", status.lives)
+    assert sorted((r.document_id or repr(r.document_id), r.seq, r.verdict) for r in got) == [("''", 0, "accepted"), ("None", 0, "accepted"), ("None", 1, "accepted")]
