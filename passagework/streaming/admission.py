@@ -70,20 +70,24 @@ class Gauge(StatefulProcessor):
         self.held = handle.getMapState("held", "id string", "at double", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = {k[0] for k in self.held.keys()}
+        before = {k[0] for k in self.held.keys()}
+        held = dict.fromkeys(before)
         # at one instant slots are freed before they are taken
         for row in sorted(rows, key=lambda r: (r["at"], r["kind"] != "end", r["id"])):
-            slot = (str(row["id"]),)
+            slot = str(row["id"])
             if row["kind"] == "end":
-                if slot[0] in held:
-                    held.remove(slot[0])
-                    self.held.removeKey(slot)
+                held.pop(slot, None)
                 continue
             free = len(held) < self.most
-            if free and slot[0] not in held:
-                held.add(slot[0])
-                self.held.updateValue(slot, (row["at"],))
+            if free and slot not in held:
+                held[slot] = row["at"]
             yield Row(key=key[0], id=row["id"], at=row["at"], admitted=free)
+        # a slot that is freed in the batch that took it never comes to the store
+        for slot in before - held.keys():
+            self.held.removeKey((slot,))
+        for slot, at in held.items():
+            if at is not None:
+                self.held.updateValue((slot,), (at,))
 
     def close(self) -> None:
         pass

@@ -152,3 +152,19 @@ def test_lives_of_documents_without_an_id(spark, tmp_path):
     events = [(None, 0, 0, "Uploaded", None), (None, 0, 1, "Extracting", None), ("", 0, 0, "Uploaded", None)]
     got = streamed(spark, tmp_path, cut(events, [1]), "document_id string, round long, seq int, status string, reason string", status.lives)
     assert sorted((r.document_id or repr(r.document_id), r.seq, r.verdict) for r in got) == [("''", 0, "accepted"), ("None", 0, "accepted"), ("None", 1, "accepted")]
+
+
+def test_slots_that_are_freed_in_their_batch_never_come_to_the_store():
+    store, gauge = Store(), admission.Gauge(2, 1000)
+    gauge.init(store)
+
+    def told(*rows):
+        return [(r.id, r.admitted) for r in gauge.handleInputRows((1,), iter([dict(zip(("id", "kind", "at"), r)) for r in rows]), None)]
+
+    pairs = [x for i in range(100) for x in ((i, "start", i), (i, "end", i + 0.5))]
+    assert told(*pairs, (200, "start", 200.0)) == [*((i, True) for i in range(100)), (200, True)]
+    assert store.calls == 2 and store.kept == {("200",): (200.0,)}
+    # one that was held is freed and taken again: its time is the new one's
+    assert told((200, "end", 201.0), (200, "start", 202.0), (201, "start", 203.0), (202, "start", 204.0)) == [(200, True), (201, True), (202, False)]
+    assert store.kept == {("200",): (202.0,), ("201",): (203.0,)}
+    assert told((200, "end", 205.0)) == [] and store.kept == {("201",): (203.0,)}
