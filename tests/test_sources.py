@@ -58,6 +58,25 @@ def test_html_chapters(source, want):
     assert html.html_chapters(source) == want
 
 
+def test_pages_are_parsed_in_slices_of_bounded_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    from passagework.sources import documents
+
+    texts = pa.array([None, "", "<p>a</p>", "<h1>A</h1>" + "b" * 300, "<p>é</p>", None, "<p>c</p>" * 20, "d"])
+    monkeypatch.setattr(html, "PAGE_BYTES", 200)
+    slices = list(html.parts(texts))
+    assert pa.concat_arrays(slices).equals(texts) and len(slices) > 2
+    assert all(len(x) == 1 or sum(len((t or "").encode()) for t in x.to_pylist()) <= 200 for x in slices)
+    assert list(html.parts(texts.slice(0, 0))) == []
+    df = spark.createDataFrame(list(enumerate(texts.to_pylist())), "i int, x string")
+    want = [(i, k, *c) for i, t in enumerate(texts.to_pylist()) for k, c in enumerate(html.html_chapters(t or ""))]
+    assert sorted(map(tuple, html.chapters(df, "i", "x").collect())) == want
+    got = {r.i: r.c and [tuple(c) for c in r.c] for r in df.select("i", documents._html_chapters(F.col("x")).alias("c")).collect()}
+    assert {i: c or None for i, c in got.items()} == {i: html.html_chapters(t or "") or None for i, t in enumerate(texts.to_pylist())}
+    assert got[0] is None and got[1] == []
+
+
 def test_pdf_pages(spark):
     spaced = "G o o d   m o r n i n g   t o   y o u   a l l   h e r e"
     got = many(spark, [spaced, "a b c", "I am a man " * 10], pdf.repaired)
