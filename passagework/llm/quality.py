@@ -184,7 +184,7 @@ def keyed(df: DataFrame, lang: str, source: str, min_group: int) -> DataFrame:
     return df.join(level, "_q_fine").drop("_q_lang", "_q_fine")
 
 
-def moments(df: DataFrame, key: str = "_q_key") -> DataFrame:
+def moments(df: DataFrame, *key: str) -> DataFrame:
     """Count, sums and sums of products per group; exact, whatever the order."""
     sums = [F.sum(F.col(a).cast("decimal(20,0)")).alias(f"s_{i}") for i, a in enumerate(VECTOR)]
     products = [
@@ -192,7 +192,7 @@ def moments(df: DataFrame, key: str = "_q_key") -> DataFrame:
         for i in range(len(VECTOR))
         for j in range(i + 1)
     ]
-    return df.groupBy(key).agg(F.count("v_length").alias("m_n"), *sums, *products)
+    return df.groupBy(*key).agg(F.count("v_length").alias("m_n"), *sums, *products)
 
 
 def estimates(sums: DataFrame, factor: float) -> DataFrame:
@@ -250,7 +250,7 @@ def middles(rows: DataFrame, values: list[Column]) -> DataFrame:
 def starts(rows: DataFrame) -> DataFrame:
     """First estimates per ``_q_key``, which begins with c for mean and covariance, r for medians and deviations."""
     p = len(VECTOR)
-    classical = settle(estimates(moments(rows), 1.0), "quality-step")
+    classical = settle(estimates(moments(rows, "_q_key"), 1.0), "quality-step")
     centre = settle(middles(rows, [F.col(v) for v in VECTOR]), "quality-centre")
     spread = middles(rows.join(centre, "_q_key"), [F.abs(F.col(v) - F.col(f"m_{i}")) for i, v in enumerate(VECTOR)])
     robust = centre.join(spread.withColumnsRenamed({f"m_{i}": f"d_{i}" for i in range(p)}), "_q_key").join(classical.select("_q_key", "m_n"), "_q_key")
@@ -267,22 +267,21 @@ def starts(rows: DataFrame) -> DataFrame:
 
 
 def step(rows: DataFrame, now: DataFrame, coverage: float) -> DataFrame:
-    """The estimates that the nearest ``coverage`` of each key's rows give."""
+    """The estimates that the nearest ``coverage`` of each key's rows give, and ``_q_before``, the log determinant of ``now``.
+
+    One pass: moments are summed for each bin of the distance, and a key adds up its bins up to the limit.
+    """
     from pyspark.sql import Window
 
-    placed = distance(rows.join(now, "_q_key")).withColumn("_q_bin", distance_bin())
-    counts = placed.groupBy("_q_key", "_q_bin").agg(F.count(F.lit(1)).alias("n"))
+    placed = distance(rows.join(now.drop("m_n"), "_q_key")).withColumn("_q_bin", distance_bin())
+    binned = moments(placed, "_q_key", "_q_bin")
     whole = Window.partitionBy("_q_key")
-    limit = (
-        counts.withColumns({"upto": F.sum("n").over(whole.orderBy("_q_bin")), "all": F.sum("n").over(whole)})
-        .where(F.col("upto") >= F.ceil(F.col("all") * coverage))
-        .groupBy("_q_key")
-        .agg(F.min("_q_bin").alias("_q_limit"))
-    )
-    # the limits are a row for each key; the plan reads the settled estimates and the narrow vectors
-    limit = settle(limit, "quality-limit")
-    inside = placed.select("_q_key", "_q_bin", *VECTOR).join(limit, "_q_key").where(F.col("_q_bin") <= F.col("_q_limit"))
-    return estimates(moments(inside), consistency(coverage, len(VECTOR)))
+    # a bin is inside unless those before it are enough
+    ranked = binned.withColumns({"upto": F.sum("m_n").over(whole.orderBy("_q_bin")), "all": F.sum("m_n").over(whole)})
+    inside = ranked.where(F.col("upto") - F.col("m_n") < F.ceil(F.col("all") * coverage))
+    sums = inside.groupBy("_q_key").agg(*(F.sum(c).alias(c) for c in binned.columns if c not in ("_q_key", "_q_bin")))
+    found = estimates(sums, consistency(coverage, len(VECTOR)))
+    return found.join(now.select("_q_key", F.col("log_det").alias("_q_before")), "_q_key")
 
 
 def mcd(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -293,7 +292,7 @@ def mcd(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     best = None
     while True:
         # settled starts take no further step
-        found = settle(step(rows, now, coverage).join(now.select("_q_key", F.col("log_det").alias("_q_before")), "_q_key"), "quality-step")
+        found = settle(step(rows, now, coverage), "quality-step")
         lower = found.where(F.col("log_det") < F.col("_q_before")).drop("_q_before")
         best = lower if best is None else settle(best.join(lower.select("_q_key"), "_q_key", "left_anti").unionByName(lower), "quality-best")
         now = found.where(F.col("log_det") < F.col("_q_before") - SETTLED).drop("_q_before")

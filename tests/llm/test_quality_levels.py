@@ -25,3 +25,26 @@ def test_small_groups_use_the_whole_level(spark):
     got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, DOCS), carry=["doc_id"]).collect()}
     assert len(got) == len(rows)
     assert {i for i, r in got.items() if not r.kept and not r.base_failed} == {1000, 2000, 4000}
+
+
+def test_a_concentration_step_is_one_pass_and_writes_nothing(spark, monkeypatch):
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    given = [(k, *(int(x) for x in rng.integers(0, 3 * quality.UNIT, 4))) for k in "ab" for _ in range(60)]
+    rows = spark.createDataFrame(given, ["_q_key", *quality.VECTOR])
+    now = quality.estimates(quality.moments(rows, "_q_key"), 1.0).persist()
+    before = {r["_q_key"]: r for r in now.collect()}
+    monkeypatch.setattr(quality, "settle", lambda *_: 1 / 0)
+    found = {r["_q_key"]: r for r in quality.step(rows, now, 0.6).collect()}
+    assert set(found) == {"a", "b"}
+    for k, e in before.items():
+        mine = np.array([r[1:] for r in given if r[0] == k]) / quality.UNIT
+        factor = np.array([[e[f"l_{i}_{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        d2 = (np.linalg.solve(factor, (mine - [e[f"mu_{i}"] for i in range(4)]).T) ** 2).sum(axis=0)
+        bins = np.floor(np.log2(d2 + 1) * quality.BINS)
+        inside = mine[bins <= np.sort(bins)[math.ceil(60 * 0.6) - 1]]
+        assert found[k]["m_n"] == len(inside) and found[k]["_q_before"] == e["log_det"]
+        assert np.allclose([found[k][f"mu_{i}"] for i in range(4)], inside.mean(axis=0))
