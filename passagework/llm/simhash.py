@@ -3,12 +3,14 @@
 1. ``fingerprints``: 64 majority bits of the XXH64 of each text's word shingles.
 2. Equal fingerprints are one trie leaf, named by its smallest document id.
 3. Two leaves at most ``budget`` bits apart agree on at least two of six blocks
-   of bits (budget 4), so each leaf goes to the 15 subtrees that two blocks
-   select.  In a task ``trie_links`` walks each subtree against itself: pairs of
-   nodes go down together, their differing bits add up, and a pair over the
-   budget is pruned with all below it.  A subtree with more than ``MOST_LEAVES``
-   leaves is dealt out anew by two of six blocks of its other bits; after
-   three levels at most 2^19 distinct leaves can share a subtree.
+   of bits (budget 4).  Each leaf is dealt out by one block, to all but the last,
+   and the task refines what it gets by each later block: five rows are shuffled
+   for the 15 subtrees that two blocks select.  ``trie_links`` walks each subtree
+   against itself: pairs of nodes go down together, their differing bits add up,
+   and a pair over the budget is pruned with all below it.  Where more than
+   ``MOST_LEAVES`` leaves share a block they are dealt out by both blocks, and
+   where they share both anew by the blocks of their other bits; after three
+   pairs of blocks at most 2^19 distinct leaves can share a subtree.
 4. A task gives each leaf one link to the smallest id of its own links' group,
    never all pairs; ``components`` joins those links over all subtrees.
 
@@ -171,34 +173,43 @@ def trie_links(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int = BUD
     return label
 
 
-def block_masks(free: int, budget: int) -> list[int]:
-    """Masks of each two of ``budget + 2`` blocks of the bits set in ``free``."""
+def block_masks(free: int, budget: int) -> dict[int, list[int]]:
+    """Of ``budget + 2`` blocks of the bits set in ``free``: the mask of each but the last, and those of it with each later one."""
     bits = [b for b in range(64) if free >> b & 1]
-    blocks = np.array_split(np.array(bits), budget + 2)
-    return [sum(1 << int(b) for b in np.concatenate(pair)) for pair in itertools.combinations(blocks, 2)]
+    blocks = [sum(1 << int(b) for b in block) for block in np.array_split(np.array(bits), budget + 2)]
+    return {a: [a | b for b in blocks[k:]] for k, a in enumerate(blocks[:-1], 1)}
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _link_batches(budget: int, most: int):
-    """Rows (mask, key, fp, id, trie) in order of mask, key: links of each subtree, and the rows of larger ones as they are."""
+def _link_batches(budget: int, most: int, walked: dict[int, list[int]]):
+    """Rows (mask, key, fp, id, trie) in order of mask, key: links of the subtrees that the ``walked`` masks select, and the rows of larger ones as they are."""
 
     def links(mask, key, fp, ids) -> pa.RecordBatch:
-        order = np.lexsort((fp.view(np.uint64), key, mask))
-        mask, key, fp, ids = mask[order], key[order], fp[order].view(np.uint64), ids[order]
-        new = np.concatenate([[True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
-        lo = np.flatnonzero(new)
-        hi = np.append(lo[1:], len(fp))
-        label = trie_links(fp, lo, hi, budget)
-        # the name of a group of leaves is the smallest id in it
-        least = np.full(len(fp), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, ids)
-        root = least[label]
-        out = root != ids
-        n = int(out.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(ids[out]), pa.array(root[out]), pa.nulls(n, pa.int32())], names=["mask", "fp", "u", "v", "trie"])
+        fp = fp.view(np.uint64)
+        group = np.cumsum(np.concatenate([[False], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))
+        kinds, kind = np.unique(mask, return_inverse=True)
+        finer = [walked[int(m)] for m in kinds]
+        us, vs = [], []
+        for k in range(max(map(len, finer))):
+            own = np.flatnonzero(np.array([k < len(x) for x in finer])[kind])
+            shared = fp[own] & np.array([x[k] if k < len(x) else 0 for x in finer], np.uint64)[kind[own]]
+            order = np.lexsort((fp[own], shared, group[own]))
+            own, shared = own[order], shared[order]
+            lo = np.flatnonzero(np.concatenate([[True], (group[own][1:] != group[own][:-1]) | (shared[1:] != shared[:-1])]))
+            label = trie_links(fp[own], lo, np.append(lo[1:], len(own)), budget)
+            # the name of a group of leaves is the smallest id in it
+            least = np.full(len(own), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, ids[own])
+            root = least[label]
+            out = root != ids[own]
+            us.append(ids[own][out])
+            vs.append(root[out])
+        pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
+        n = pairs.shape[1]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(n, pa.int32())], names=["mask", "fp", "u", "v", "trie"])
 
     def passed(mask, fp, ids, trie) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(mask), pa.array(fp), pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(trie)], names=["mask", "fp", "u", "v", "trie"])
@@ -247,7 +258,7 @@ def leaf_links(leaves: DataFrame, budget: int = BUDGET, most_leaves: int = MOST_
     spark = leaves.sparkSession
     found = None
     everything = (1 << 64) - 1
-    level = {0: block_masks(everything, budget)}  # mask so far to the masks that refine it
+    level = {0: block_masks(everything, budget)}  # mask so far to the masks that deal its rows out, and those to what they are refined by
     rows = leaves.select(F.lit(0).cast("long").alias("mask"), "fp", "id", trie.alias("trie"))
     while True:
         finer = F.create_map(*itertools.chain.from_iterable((F.lit(_signed(m)), F.array(*(F.lit(_signed(m | x)) for x in more))) for m, more in level.items()))
@@ -257,16 +268,21 @@ def leaf_links(leaves: DataFrame, budget: int = BUDGET, most_leaves: int = MOST_
         key = F.when(F.col("trie") == 0, shared).otherwise(F.xxhash64("trie", shared))
         # the key is worked out again where a row arrives: it would be a third of what is shuffled
         dealt = dealt.repartition(shuffle_width(spark), "mask", key).select("mask", key.alias("key"), "fp", "id", "trie").sortWithinPartitions("mask", "key")
-        next_masks = {m | x: None for m, more in level.items() for x in more}
-        free = min(bin(everything ^ m).count("1") for m in next_masks)
-        most = most_leaves if free > budget + 2 else 1 << 62  # at the last level 2^free bounds a subtree
-        made = settle(dealt.mapInArrow(_link_batches(budget, most), "mask long, fp long, u long, v long, trie int"), "simhash-links")
+        walked: dict[int, dict[int, None]] = {}
+        for m, more in level.items():
+            for x, both in more.items():
+                walked.setdefault(m | x, {}).update(dict.fromkeys(m | y for y in both))
+        whole = all(list(both) == [m] for m, both in walked.items())  # nothing is left to refine by
+        free = min(bin(everything ^ m).count("1") for m in walked)
+        most = most_leaves if not whole or free > budget + 2 else 1 << 62  # at the last level 2^free bounds a subtree
+        batches = _link_batches(budget, most, {_signed(m): list(both) for m, both in walked.items()})
+        made = settle(dealt.mapInArrow(batches, "mask long, fp long, u long, v long, trie int"), "simhash-links")
         links = made.where("v is not null").select("u", "v")
         found = links if found is None else found.unionByName(links)
         rows = made.where("v is null").select("mask", "fp", F.col("u").alias("id"), "trie")
         if rows.isEmpty():
             return found
-        level = {m: block_masks(everything ^ m, budget) for m in next_masks}
+        level = {m: block_masks(everything ^ m, budget) if whole else {y: [y] for y in both} for m, both in walked.items()}
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
@@ -289,6 +305,8 @@ NEAR_WIDTH, NEAR_BUDGET, SIMILARITY = 5, 7, 0.8
 #: Fingerprints of a text, independent of each other.  Two texts of a similarity of 0.8 are within ``NEAR_BUDGET`` bits in one of
 #: them with a chance of about 0.22, in any of nine with 0.9; at 0.85 it is 0.39 and 0.99.
 NEAR_PRINTS = 9
+#: Words of 64 row numbers that are sent to every task: of at least 134 million rows, whatever share of them is meant.
+MOST_WORDS = 1 << 21
 
 
 def mixed(hashes: np.ndarray, nth: int) -> np.ndarray:
@@ -336,6 +354,20 @@ def _shingle_sets(width: int):
     return run
 
 
+def _numbers(rows: DataFrame, name: str) -> DataFrame:
+    """(_s_word, _s_bits): the numbers in ``row`` as bits of words of 64, which go to every task up to ``MOST_WORDS`` of them."""
+    bit = F.expr("shiftleft(1L, cast(row % 64 as int))")
+    words = settle(rows.groupBy(F.shiftright("row", 6).alias("_s_word")).agg(F.bit_or(bit).alias("_s_bits")), name)
+    return F.broadcast(words) if words.count() <= MOST_WORDS else words
+
+
+def _where_numbered(docs: DataFrame, numbers: DataFrame, there: bool) -> DataFrame:
+    """The rows of ``docs`` whose ``_s_row`` is, or is not, among the numbers."""
+    bit = F.coalesce(F.getbit("_s_bits", F.col("_s_row") % 64), F.lit(0))
+    met = docs.withColumn("_s_word", F.shiftright("_s_row", 6)).join(numbers, "_s_word", "inner" if there else "left")
+    return met.where(bit == int(there)).drop("_s_word", "_s_bits")
+
+
 def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = NEAR_WIDTH, budget: int = NEAR_BUDGET, similarity: float = SIMILARITY, prints: int = NEAR_PRINTS) -> DataFrame:
     """The rows of ``docs`` but for near-duplicates: of each group the one with the smallest id stays.
 
@@ -357,15 +389,16 @@ def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text_column:
     found = leaf_links(leaves, budget).unionByName(equal)
     links = settle(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-near")
     met = links.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    # shingles of linked rows alone; these are payload and no side to broadcast, whatever their estimate
-    sets = settle(given.select("row", "text").join(met, "row", "left_semi").mapInArrow(_shingle_sets(width), "row long, shingles array<long>"), "simhash-shingles")
+    # shingles of linked rows alone, whose texts are read where they are; these are payload and no side to broadcast, whatever their estimate
+    linked = _where_numbered(given.select(F.col("row").alias("_s_row"), "text"), _numbers(met, "simhash-met"), True)
+    sets = settle(linked.select(F.col("_s_row").alias("row"), "text").mapInArrow(_shingle_sets(width), "row long, shingles array<long>"), "simhash-shingles")
     both = links.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("a")).hint("merge"), "u").join(sets.select(F.col("row").alias("v"), F.col("shingles").alias("b")).hint("merge"), "v")
     shared = F.size(F.array_intersect("a", "b"))
     every = F.size("a") + F.size("b") - shared
     verified = both.where((shared >= similarity * every)).select("u", "v")
     joined = components(verified)
     named = texts.join(joined.withColumnsRenamed({"u": "name", "v": "root"}), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    # the few rows that go are told from the others by their numbers; texts stay where they are as long as these are few
+    # the rows that go are told from the others by their numbers; texts stay where they are
     stays = named.groupBy("root").agg(F.min("first")["row"].alias("keeps"))
-    goes = rows.select("row", "same").join(named.select("same", "root"), "same").join(stays, "root").where(F.col("row") != F.col("keeps")).select(F.col("row").alias("_s_row"))
-    return docs.withColumn("_s_row", row).join(settle(goes, "simhash-goes"), "_s_row", "left_anti").drop("_s_row")
+    goes = rows.select("row", "same").join(named.select("same", "root"), "same").join(stays, "root").where(F.col("row") != F.col("keeps")).select("row")
+    return _where_numbered(docs.withColumn("_s_row", row), _numbers(goes, "simhash-goes"), False).drop("_s_row")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pytest
 import reference as R
 from test_corpus_operators import check_packing
 
@@ -107,6 +108,42 @@ def test_distinct_documents_against_all_pairs(spark):
     assert stays == {rows[k] for k in R.distinct(rows)}
 
 
+def test_a_leaf_is_shuffled_once_for_each_block_but_the_last(spark, monkeypatch):
+    """Not once for each two blocks, which would be 36 times."""
+    fps = [int(x) for x in np.random.default_rng(4).integers(0, 1 << 62, 90)]
+    leaves = spark.createDataFrame([(f, i, i % 9) for i, f in enumerate(fps)], "fp long, id long, trie int")
+    dealt = []
+    repartition = type(leaves).repartition
+    monkeypatch.setattr(type(leaves), "repartition", lambda self, *by: dealt.append(self.count()) or repartition(self, *by))
+    simhash.leaf_links(leaves, 7)
+    assert dealt == [8 * 90]
+    walked = [m for both in simhash.block_masks((1 << 64) - 1, 7).values() for m in both]
+    assert len(set(walked)) == 36 and sum(bin(m).count("1") for m in walked) == 64 * 8
+
+
+@pytest.mark.parametrize("most", [simhash.MOST_WORDS, 0])
+def test_texts_stay_where_they_are(spark, monkeypatch, most):
+    """Neither the texts of linked rows nor those of the rows that stay are shuffled, though no table is small enough to be sent."""
+    monkeypatch.setattr(simhash, "MOST_WORDS", most)
+    plans = {}
+    monkeypatch.setattr(simhash, "settle", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().toString()) and settle(df, name))
+    words = [" ".join(f"{k}w{i}" for i in range(100)) for k in range(300)]
+    rows = [(i, t + (" tail" if i % 2 else "")) for i, t in enumerate(t for t in words for _ in range(2))] + [(None, words[0]), (1000, words[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    docs = settle(docs, "test-texts")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = simhash.distinct_documents(docs)
+        plans["left"] = left._jdf.queryExecution().toString()
+        stays = left.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.doc_id, r.text) for r in stays) == [rows[k] for k in R.distinct(rows)]
+    assert len(stays) < len(rows) and left.columns == docs.columns
+    for name in ("simhash-shingles", "left"):
+        assert ("hashpartitioning" in plans[name]) == (most == 0)
+
+
 def test_pipeline_of_an_empty_table(spark, sf_dir):
     docs = queries.table(spark, sf_dir, "documents").where("false")
     for _, stage in corpus_pipeline.STAGES:
