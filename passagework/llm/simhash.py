@@ -157,20 +157,31 @@ def _walk(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> Iterat
             stack.append((d + 1, below[:, ~leaf]))
 
 
+def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels (first positions reached) after the positions ``i`` are linked to ``j``."""
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return label
+        low = np.minimum(a, b)
+        for x in (a, b, i, j):
+            np.minimum.at(label, x, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _labels(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each leaf the first position that it reaches inside its subtree, and the number of its own links there."""
+    label, degree = np.arange(len(fp)), np.zeros(len(fp), np.int64)
+    for i, j in _walk(fp, lo, hi, budget):
+        degree += np.bincount(i, minlength=len(fp)) + np.bincount(j, minlength=len(fp))
+        label = _united(label, i, j)
+    return label, degree
+
+
 def trie_links(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int = BUDGET) -> np.ndarray:
     """For each leaf the first position of the leaves that it reaches inside its subtree."""
-    label = np.arange(len(fp))
-    for i, j in _walk(fp, lo, hi, budget):
-        while True:
-            a, b = label[i], label[j]
-            if (a == b).all():
-                break
-            low = np.minimum(a, b)
-            for x in (a, b, i, j):
-                np.minimum.at(label, x, low)
-            while (label[label] != label).any():
-                label = label[label]
-    return label
+    return _labels(fp, lo, hi, budget)[0]
 
 
 def block_masks(free: int, budget: int) -> dict[int, list[int]]:
@@ -192,22 +203,25 @@ def _link_batches(budget: int, most: int, walked: dict[int, list[int]]):
         group = np.cumsum(np.concatenate([[False], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))
         kinds, kind = np.unique(mask, return_inverse=True)
         finer = [walked[int(m)] for m in kinds]
-        us, vs = [], []
+        label, degree = np.arange(len(fp)), np.zeros(len(fp), np.int64)
         for k in range(max(map(len, finer))):
             own = np.flatnonzero(np.array([k < len(x) for x in finer])[kind])
             shared = fp[own] & np.array([x[k] if k < len(x) else 0 for x in finer], np.uint64)[kind[own]]
             order = np.lexsort((fp[own], shared, group[own]))
             own, shared = own[order], shared[order]
             lo = np.flatnonzero(np.concatenate([[True], (group[own][1:] != group[own][:-1]) | (shared[1:] != shared[:-1])]))
-            label = trie_links(fp[own], lo, np.append(lo[1:], len(own)), budget)
-            # the name of a group of leaves is the smallest id in it
-            least = np.full(len(own), np.iinfo(np.int64).max)
-            np.minimum.at(least, label, ids[own])
-            root = least[label]
-            out = root != ids[own]
-            us.append(ids[own][out])
-            vs.append(root[out])
-        pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
+            part, links = _labels(fp[own], lo, np.append(lo[1:], len(own)), budget)
+            degree[own] += links
+            moved = np.flatnonzero(part != np.arange(len(own)))
+            label = _united(label, own[moved], own[part[moved]])
+        # all refinements of a group give each of its leaves one link, to the leaf that has most of its own: the likeliest to be similar
+        order = np.lexsort((ids, -degree, label))
+        hub = np.empty(len(fp), np.int64)
+        first = order[np.concatenate([[True], label[order][1:] != label[order][:-1]])]
+        hub[label[first]] = ids[first]
+        root = hub[label]
+        out = root != ids
+        pairs = np.unique(np.stack([ids[out], root[out]]), axis=1)
         n = pairs.shape[1]
         return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(n, pa.int32())], names=["mask", "fp", "u", "v", "trie"])
 
@@ -368,6 +382,50 @@ def _where_numbered(docs: DataFrame, numbers: DataFrame, there: bool) -> DataFra
     return met.where(bit == int(there)).drop("_s_word", "_s_bits")
 
 
+def _similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) of the links whose sets of shingles are similar."""
+    # these are payload and no side to broadcast, whatever their estimate
+    a, b = (sets.select(F.col("row").alias(row), F.col("shingles").alias(name)).hint("merge") for row, name in (("u", "a"), ("v", "b")))
+    shared = F.size(F.array_intersect("a", "b"))
+    every = F.size("a") + F.size("b") - shared
+    return links.select("u", "v").join(a, "u").join(b, "v").where(shared >= similarity * every).select("u", "v")
+
+
+def _unsettled(links: DataFrame, verified: DataFrame) -> DataFrame:
+    """(row, near, label): the texts of groups that links join but verified ones do not, with the group of each kind.
+
+    A task links a leaf to one other of its group.  Where that is not similar enough a third may be; groups of two have none.
+    """
+    near, joined = components(links), components(verified)
+    members = near.unionByName(near.select(F.col("v").alias("u"), "v").distinct()).withColumnsRenamed({"u": "row", "v": "near"})
+    named = members.join(joined.withColumnsRenamed({"u": "row", "v": "label"}), "row", "left").withColumn("label", F.coalesce("label", "row"))
+    named = settle(named, "simhash-named")
+    several = named.groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("n > 2 and a <> b").select("near")
+    return named.join(several, "near").select("row", "near", "label")
+
+
+def _prefix_pairs(unsettled: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): all pairs of a group with different labels that may be similar, by their rarest shingles.
+
+    Similar sets share one of the first ``n - ceil(similarity * n) + 1`` of their shingles in any common order, and from the
+    first that they share on both have enough left.  Shingles of one label alone come first here, where they can only use up places.
+    """
+    # pairs inside the largest label, which may be most of a group, are not even looked at
+    largest = unsettled.groupBy("near", "label").count().groupBy("near").agg(F.max(F.struct("count", "label"))["label"].alias("largest"))
+    known = unsettled.join(largest, "near").select("row", "near", "label", (F.col("label") == F.col("largest")).alias("main"))
+    tokens = sets.join(settle(known, "simhash-known"), "row").select("row", "near", "label", "main", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    met = tokens.groupBy("near", "s").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("near", "s", "often")
+    ranked = tokens.join(met, ["near", "s"]).groupBy("row", "near", "label", "main", "n").agg(F.array_sort(F.collect_list(F.struct("often", "s"))).alias("own"))
+    # what a text has left from a shingle on, that one included
+    placed = ranked.select("row", "near", "label", "main", "n", F.size("own").alias("all"), F.posexplode("own").alias("k", "t")).select("row", "near", "label", "main", "n", "t.s", (F.col("all") - F.col("k")).alias("left"))
+    placed = settle(placed.where(F.col("left") >= similarity * F.col("n") - 1e-6), "simhash-prefixes")
+    u, v = (placed.select("near", "s", *(F.col(c).alias(f"{c}_{x}") for c in ("row", "label", "main", "n", "left"))) for x in "uv")
+    enough = F.least("left_u", "left_v") * (1 + similarity) >= similarity * (F.col("n_u") + F.col("n_v")) - 1e-6
+    once = F.col("main_v") | (F.col("row_u") < F.col("row_v"))
+    pairs = u.where("not main_u").join(v, ["near", "s"]).where((F.col("label_u") != F.col("label_v")) & once & enough)
+    return pairs.select(F.least("row_u", "row_v").alias("u"), F.greatest("row_u", "row_v").alias("v")).distinct()
+
+
 def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = NEAR_WIDTH, budget: int = NEAR_BUDGET, similarity: float = SIMILARITY, prints: int = NEAR_PRINTS) -> DataFrame:
     """The rows of ``docs`` but for near-duplicates: of each group the one with the smallest id stays.
 
@@ -389,13 +447,14 @@ def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text_column:
     found = leaf_links(leaves, budget).unionByName(equal)
     links = settle(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-near")
     met = links.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    # shingles of linked rows alone, whose texts are read where they are; these are payload and no side to broadcast, whatever their estimate
+    # shingles of linked rows alone, whose texts are read where they are
     linked = _where_numbered(given.select(F.col("row").alias("_s_row"), "text"), _numbers(met, "simhash-met"), True)
     sets = settle(linked.select(F.col("_s_row").alias("row"), "text").mapInArrow(_shingle_sets(width), "row long, shingles array<long>"), "simhash-shingles")
-    both = links.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("a")).hint("merge"), "u").join(sets.select(F.col("row").alias("v"), F.col("shingles").alias("b")).hint("merge"), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    every = F.size("a") + F.size("b") - shared
-    verified = both.where((shared >= similarity * every)).select("u", "v")
+    verified = settle(_similar(links, sets, similarity), "simhash-verified")
+    unsettled = settle(_unsettled(links, verified), "simhash-unsettled")
+    if not unsettled.isEmpty():
+        more = settle(_prefix_pairs(unsettled, sets, similarity), "simhash-pairs")
+        verified = verified.unionByName(_similar(more, sets, similarity))
     joined = components(verified)
     named = texts.join(joined.withColumnsRenamed({"u": "name", "v": "root"}), "name", "left").withColumn("root", F.coalesce("root", "name"))
     # the rows that go are told from the others by their numbers; texts stay where they are

@@ -121,6 +121,54 @@ def test_a_leaf_is_shuffled_once_for_each_block_but_the_last(spark, monkeypatch)
     assert len(set(walked)) == 36 and sum(bin(m).count("1") for m in walked) == 64 * 8
 
 
+def changed_copies(n, seed=6):
+    """Copies of one text of 150 words, each with up to 12 words changed, so that many are similar to some of the others alone."""
+    rng = np.random.default_rng(seed)
+    base = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(150)]
+    texts = []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.integers(0, 150, rng.integers(1, 13)):
+            words[at] = "".join(rng.choice(list("xyzuvw"), 5))
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("size", [400, 1600])
+def test_links_of_a_large_group_stay_in_proportion(spark, size):
+    """A leaf gets one link for each time that it is dealt out, not one for each refinement, whatever the size of its group."""
+    rng = np.random.default_rng(7)
+    centre = int(rng.integers(0, 1 << 62))
+    fps = sorted({centre ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(1, 7), replace=False)) for _ in range(size)})
+    links = simhash.leaf_links(spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, id long"), 7)
+    assert len(fps) - 1 <= links.count() <= 8 * len(fps)
+    found = {r.u for r in simhash.components(links).collect()}
+    assert found == set(range(1, len(fps)))
+
+
+def test_a_text_that_is_similar_to_others_than_its_link_goes(spark):
+    """Every similar pair of a group counts, also where neither text is the one that the group's links lead to."""
+    rows = list(enumerate(changed_copies(250)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    stays = {r.doc_id for r in simhash.distinct_documents(docs).collect()}
+    assert stays == set(R.distinct(rows))
+    assert 20 < len(stays) < 230
+
+
+def test_prefix_pairs_against_all_pairs(spark):
+    """Whatever the labels, each similar pair of different labels is among the pairs, and no pair of one label."""
+    texts = changed_copies(80, 8)
+    sets = [sorted(int(h) - (1 << 64) if h >> 63 else int(h) for h in set(simhash.shingle_hashes(t.encode(), 5))) for t in texts]
+    label = [k % 7 if k % 3 else 100 + k for k in range(80)]
+    unsettled = spark.createDataFrame([(k, k % 2, label[k]) for k in range(80)], "row long, near long, label long")
+    table = spark.createDataFrame(list(enumerate(sets)), "row long, shingles array<long>")
+    got = {(r.u, r.v) for r in simhash._prefix_pairs(unsettled, table, 0.8).collect()}
+    similar = {(a, b) for b in range(80) for a in range(b) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    apart = {(a, b) for a, b in similar if a % 2 == b % 2 and label[a] != label[b]}
+    assert apart and apart <= got
+    assert all(a % 2 == b % 2 and label[a] != label[b] for a, b in got)
+
+
 @pytest.mark.parametrize("most", [simhash.MOST_WORDS, 0])
 def test_texts_stay_where_they_are(spark, monkeypatch, most):
     """Neither the texts of linked rows nor those of the rows that stay are shuffled, though no table is small enough to be sent."""
