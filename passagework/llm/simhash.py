@@ -7,9 +7,12 @@
    and the task refines what it gets by each later block: five rows are shuffled
    for the 15 subtrees that two blocks select.  ``trie_links`` walks each subtree
    against itself: pairs of nodes go down together, their differing bits add up,
-   and a pair over the budget is pruned with all below it.  Where more than
-   ``MOST_LEAVES`` leaves share a block they are dealt out by both blocks, and
-   where they share both anew by the blocks of their other bits; after three
+   and a pair over the budget is pruned with all below it; nodes of at most
+   ``BUCKET`` leaves are not split, their leaves are compared.  With so many leaves
+   that two blocks would leave more than ``MOST_SHARED`` in a subtree, smaller
+   blocks of which three or more agree are taken instead.  Where more than
+   ``MOST_LEAVES`` leaves share a block they are dealt out by all those blocks, and
+   where they share all anew by the blocks of their other bits; after three
    pairs of blocks at most 2^19 distinct leaves can share a subtree.
 4. A task gives each leaf one link to the smallest id of its own links' group,
    never all pairs; ``components`` joins those links over all subtrees.
@@ -43,8 +46,13 @@ SHINGLE = 4
 BUDGET = 4
 SEED = 42
 MOST_LEAVES = 1 << 18
-#: Shingle hashes whose bits are counted at once, node pairs that are expanded at once, leaves that are walked at once.
-COUNT_BATCH, PAIR_BATCH, WALK_BATCH = 1 << 17, 1 << 20, 1 << 16
+#: Shingle hashes whose bits are counted at once, node pairs that are expanded at once, leaves that are walked at once, leaves
+#: that are compared at once.
+COUNT_BATCH, PAIR_BATCH, WALK_BATCH, ROW_BATCH = 1 << 17, 1 << 20, 1 << 16, 1 << 14
+#: Nodes of at most so many leaves are not split: to compare two leaves takes far less than to split two nodes.
+BUCKET = 256
+#: With more leaves than this in the subtrees of even fingerprints, comparing them would take longer than to sort leaves into more subtrees.
+MOST_SHARED = 512
 
 
 def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> list[int]:
@@ -114,6 +122,28 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
+def _compared(fp: np.ndarray, nodes: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked leaves (as positions) of pairs of nodes ``[a0, a2) x [b0, b2)``, or of a node with itself: leaf by leaf."""
+    wide = nodes[1] - nodes[0]
+    for part in np.split(np.arange(nodes.shape[1]), np.flatnonzero(np.diff(np.cumsum(wide) // ROW_BATCH)) + 1):
+        a0, _, b0, b2, _ = nodes[:, part]
+        rows = wide[part]
+        i = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows - a0, rows)
+        at = np.where(np.repeat(a0 == b0, rows), i + 1, np.repeat(b0, rows))
+        left = np.repeat(b2, rows) - at
+        # those with most to be compared with come first: at each step the others are a tail that is done
+        order = np.argsort(-left, kind="stable")
+        i, at = i[order], at[order]
+        own, going = fp[i], len(left) - np.cumsum(np.bincount(left))
+        found = []
+        for k, n in enumerate(going[:-1]):
+            near = np.flatnonzero(popcount(own[:n] ^ fp[at[:n] + k]) <= budget)
+            if len(near):
+                found.append((i[near], at[near] + k))
+        if found:
+            yield tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _walk(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked leaves (as positions) of the subtrees [lo, hi) of ascending ``fp``, a batch at a time."""
     ones = {}
@@ -128,6 +158,9 @@ def _walk(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> Iterat
     stack = [(0, nodes)]
     while stack:
         d, n = stack.pop()
+        few = (np.maximum(n[1] - n[0], n[3] - n[2]) <= BUCKET) | (d == 64)
+        yield from _compared(fp, n[:, few], budget)
+        n = n[:, ~few]
         if not n.shape[1]:
             continue
         if n.shape[1] > PAIR_BATCH:
@@ -146,26 +179,19 @@ def _walk(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> Iterat
             ],
             axis=1,
         )
-        wide_a, wide_b = below[1] - below[0], below[3] - below[2]
-        alive = (wide_a > 0) & (wide_b > 0) & (below[4] <= budget) & ~((below[0] == below[2]) & (wide_a == 1))
-        below, leaf = below[:, alive], (wide_a[alive] == 1) & (wide_b[alive] == 1)
-        i, j = below[0][leaf], below[2][leaf]
-        near = popcount(fp[i] ^ fp[j]) <= budget
-        if near.any():
-            yield i[near], j[near]
-        if d < 63:
-            stack.append((d + 1, below[:, ~leaf]))
+        stack.append((d + 1, below[:, (below[1] > below[0]) & (below[3] > below[2]) & (below[4] <= budget)]))
 
 
 def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The labels (first positions reached) after the positions ``i`` are linked to ``j``."""
     while True:
-        a, b = label[i], label[j]
-        if (a == b).all():
+        apart = label[i] != label[j]
+        if not apart.any():
             return label
-        low = np.minimum(a, b)
-        for x in (a, b, i, j):
-            np.minimum.at(label, x, low)
+        i, j = i[apart], j[apart]
+        a, b = label[i], label[j]
+        # labels alone are lowered, which takes along all that have them: a position on its own would leave those behind
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
         while (label[label] != label).any():
             label = label[label]
 
@@ -184,11 +210,19 @@ def trie_links(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int = BUD
     return _labels(fp, lo, hi, budget)[0]
 
 
-def block_masks(free: int, budget: int) -> dict[int, list[int]]:
-    """Of ``budget + 2`` blocks of the bits set in ``free``: the mask of each but the last, and those of it with each later one."""
+def block_masks(free: int, budget: int, agreed: int = 2) -> dict[int, list[int]]:
+    """Of ``budget + agreed`` blocks of the bits set in ``free``: the mask of each that has enough later ones, and those of it with ``agreed - 1`` of them."""
     bits = [b for b in range(64) if free >> b & 1]
-    blocks = [sum(1 << int(b) for b in block) for block in np.array_split(np.array(bits), budget + 2)]
-    return {a: [a | b for b in blocks[k:]] for k, a in enumerate(blocks[:-1], 1)}
+    blocks = [sum(1 << int(b) for b in block) for block in np.array_split(np.array(bits), budget + agreed)]
+    return {a: [a | sum(more) for more in itertools.combinations(blocks[k:], agreed - 1)] for k, a in enumerate(blocks[: budget + 1], 1)}
+
+
+def agreed_blocks(leaves: int, budget: int) -> int:
+    """How many blocks two leaves of a subtree agree on, at least two: so many that even fingerprints leave at most ``MOST_SHARED`` leaves in one."""
+    agreed = 2
+    while leaves >> 64 * agreed // (budget + agreed) > MOST_SHARED:
+        agreed += 1
+    return agreed
 
 
 def _signed(x: int) -> int:
@@ -201,16 +235,21 @@ def _link_batches(budget: int, most: int, walked: dict[int, list[int]]):
     def links(mask, key, fp, ids) -> pa.RecordBatch:
         fp = fp.view(np.uint64)
         group = np.cumsum(np.concatenate([[False], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))
+        # bits of its own for each group; should two ever meet, that only compares more leaves
+        tag = mixed(group.astype(np.uint64), 1)
         kinds, kind = np.unique(mask, return_inverse=True)
         finer = [walked[int(m)] for m in kinds]
         label, degree = np.arange(len(fp)), np.zeros(len(fp), np.int64)
         for k in range(max(map(len, finer))):
             own = np.flatnonzero(np.array([k < len(x) for x in finer])[kind])
-            shared = fp[own] & np.array([x[k] if k < len(x) else 0 for x in finer], np.uint64)[kind[own]]
-            order = np.lexsort((fp[own], shared, group[own]))
+            shared = (fp[own] & np.array([x[k] if k < len(x) else 0 for x in finer], np.uint64)[kind[own]]) ^ tag[own]
+            order = np.argsort(shared)
             own, shared = own[order], shared[order]
-            lo = np.flatnonzero(np.concatenate([[True], (group[own][1:] != group[own][:-1]) | (shared[1:] != shared[:-1])]))
-            part, links = _labels(fp[own], lo, np.append(lo[1:], len(own)), budget)
+            lo = np.flatnonzero(np.concatenate([[True], shared[1:] != shared[:-1]]))
+            hi = np.append(lo[1:], len(own))
+            for a, b in zip(lo[hi - lo > BUCKET], hi[hi - lo > BUCKET]):  # the others are not split
+                own[a:b] = own[a:b][np.argsort(fp[own[a:b]])]
+            part, links = _labels(fp[own], lo, hi, budget)
             degree[own] += links
             moved = np.flatnonzero(part != np.arange(len(own)))
             label = _united(label, own[moved], own[part[moved]])
@@ -272,7 +311,8 @@ def leaf_links(leaves: DataFrame, budget: int = BUDGET, most_leaves: int = MOST_
     spark = leaves.sparkSession
     found = None
     everything = (1 << 64) - 1
-    level = {0: block_masks(everything, budget)}  # mask so far to the masks that deal its rows out, and those to what they are refined by
+    most_of_a_trie = leaves.groupBy(trie.alias("trie")).count().agg(F.max("count")).first()[0] or 0
+    level = {0: block_masks(everything, budget, agreed_blocks(most_of_a_trie, budget))}  # mask so far to the masks that deal its rows out, and those to what they are refined by
     rows = leaves.select(F.lit(0).cast("long").alias("mask"), "fp", "id", trie.alias("trie"))
     while True:
         finer = F.create_map(*itertools.chain.from_iterable((F.lit(_signed(m)), F.array(*(F.lit(_signed(m | x)) for x in more))) for m, more in level.items()))

@@ -171,6 +171,68 @@ def test_trie_links_against_all_pairs(seed):
     assert [int(x) for x in label] == [want[k] for k in range(len(fp))]
 
 
+def test_united_labels_keep_earlier_links():
+    """A position that gets another label takes along those that it had been linked to before."""
+    label = simhash._united(np.arange(7), np.array([5, 6]), np.array([3, 3]))
+    label = simhash._united(label, np.array([5, 6]), np.array([2, 0]))
+    assert label.tolist() == [0, 1, 0, 0, 4, 0, 0]
+
+
+@pytest.mark.parametrize("bucket", [1, 20, 1000])
+def test_labels_and_links_of_subtrees_against_all_pairs(bucket, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "ROW_BATCH", 64)
+    rng = np.random.default_rng(5)
+    trees, lo = [], [0]
+    for size in (1, 2, 90, 300):
+        centres = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+        trees.append(np.unique(np.array([rng.choice(centres) ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 8), replace=False))) for _ in range(size)], np.uint64)))
+        lo.append(lo[-1] + len(trees[-1]))
+    label, degree = simhash._labels(np.concatenate(trees), np.array(lo[:-1]), np.array(lo[1:]), 7)
+    for fp, a, b in zip(trees, lo, lo[1:]):
+        near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 7
+        assert degree[a:b].tolist() == (near.sum(axis=1) - 1).tolist()
+        want = R.components(dict(enumerate(map(int, fp))), 7)
+        assert (label[a:b] - a).tolist() == [want[k] for k in range(len(fp))]
+
+
+def test_crowded_subtrees_take_little_longer():
+    """With 16 times the leaves, those of a subtree are 16 times as many; pairs of nodes took 13 times as long then."""
+    fp = np.random.default_rng(6).integers(0, 1 << 64, 1 << 16, dtype=np.uint64)
+
+    def took(size: int) -> float:
+        parts = np.sort(fp.reshape(-1, size), axis=1).ravel()
+        lo = np.arange(0, len(fp), size)
+        began = time.process_time()
+        simhash.trie_links(parts, lo, lo + size, 7)
+        return time.process_time() - began
+
+    took(8)
+    assert min(took(128) for _ in range(3)) < 6 * min(took(8) for _ in range(3))
+
+
+def test_more_blocks_agree_where_leaves_are_many():
+    assert [simhash.agreed_blocks(n, 7) for n in (0, 236_000, 2_800_000, 9_000_000, 300_000_000)] == [2, 2, 2, 3, 4]
+    masks = simhash.block_masks((1 << 64) - 1, 7, 3)
+    assert len(masks) == 8 and sum(map(len, masks.values())) == 120
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        apart = sum(1 << int(b) for b in rng.choice(64, 7, replace=False))
+        assert any(not apart & m for more in masks.values() for m in more)
+
+
+@pytest.mark.parametrize("most", [5, 1 << 18])
+def test_links_of_three_blocks_against_all_pairs(spark, most, monkeypatch):
+    monkeypatch.setattr(simhash, "agreed_blocks", lambda leaves, budget: 3)
+    rng = np.random.default_rng(9)
+    centres = rng.integers(0, 1 << 62, 4)
+    fps = sorted({int(c) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 5), replace=False)) for c in centres for _ in range(20)})
+    leaves = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, id long")
+    found = {r.u: r.v for r in components.components(simhash.leaf_links(leaves, most_leaves=most)).collect()}
+    want = R.components(dict(enumerate(fps)))
+    assert {i: found.get(i, i) for i in want} == want
+
+
 @pytest.mark.parametrize("most", [1, 5, 1 << 18])
 def test_large_subtrees_are_dealt_anew(spark, most, monkeypatch):
     monkeypatch.setattr(simhash, "WALK_BATCH", 1)
